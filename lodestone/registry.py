@@ -11,7 +11,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("plans.star",)
+_MODULES = (
+    "plans.star",
+    "sources.formats",
+    "operators.project",
+    "operators.joins",
+    "operators.aggregates",
+    "operators.windows",
+    "operators.sets",
+    "operators.udfs",
+    "functions.scalars",
+    "streaming.events",
+)
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
