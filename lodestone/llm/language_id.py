@@ -14,6 +14,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from .common import id_bucket, ship, slices, table
 
 SIZES = (1, 2, 3)
 PROFILE = 300
-#: Words kept in a worker's table, and n-gram counts that a worker gathers before it passes them on.
-MOST_WORDS, MOST_GRAMS = 200_000, 300_000
+#: Distinct words that a worker gathers before it passes their n-grams on.
+MOST_WORDS = 200_000
 #: Languages times n-grams that the driver gathers and broadcasts.
 MOST_PROFILE_ROWS = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,66 +44,66 @@ def grams_of(word: str) -> list[str]:
     return [g for n in SIZES for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g != "_"]
 
 
-class Grams:
-    """n-grams of words, with a bounded table."""
+def code_of(gram: str) -> int:
+    """A number for an n-gram; numbers order as the n-grams do."""
+    return sum(ord(c) << 21 * (2 - i) for i, c in enumerate(gram))
 
-    def __init__(self) -> None:
-        self.known: dict[str, list[str]] = {}
 
-    def counts(self, words: dict[str, int]) -> dict[str, int]:
-        out: dict[str, int] = defaultdict(int)
-        known = self.known
-        for word, n in words.items():
-            grams = known.get(word)
-            if grams is None:
-                grams = grams_of(word)
-                if len(word) <= 32:
-                    if len(known) >= MOST_WORDS:
-                        known.clear()
-                    known[word] = grams
-            for gram in grams:
-                out[gram] += n
-        return out
+def gram_counts(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words' n-grams, in order, and how often each occurs."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chars = np.frombuffer(f"_{'__'.join(words)}_".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))
+    one, two, three = np.flatnonzero(chars != ord("_")), np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
+    codes = np.concatenate([chars[one] << 42, chars[two] << 42 | chars[two + 1] << 21, chars[three] << 42 | chars[three + 1] << 21 | chars[three + 2]])
+    times = np.concatenate([times[one], times[two], times[three]])
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(times[order], first)
 
 
-def ranked(counts: dict[str, int], most: int = PROFILE) -> list[str]:
-    if len(counts) > most:
-        floor = sorted(counts.values(), reverse=True)[most - 1]
-        counts = {g: n for g, n in counts.items() if n >= floor}
-    return sorted(counts, key=lambda g: (-counts[g], g))[:most]
+def ranked(codes: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndarray:
+    """Codes of the most frequent n-grams, most frequent first, ties in the order of the n-grams."""
+    if len(codes) > most:
+        some = counts >= np.partition(counts, len(counts) - most)[len(counts) - most]
+        codes, counts = codes[some], counts[some]
+    return codes[np.argsort(-counts, kind="stable")][:most]
 
 
-def distance(profile: dict[str, int], own: list[str], most: int = PROFILE) -> int:
-    """Sum over the document's n-grams of how far each is out of place; most for one that the profile lacks."""
-    return sum(abs(profile[g] - i) if g in profile else most for i, g in enumerate(own))
-
-
-def learn(docs: DataFrame, most: int = PROFILE) -> dict[str, list[str]]:
-    """Profiles by language from the rows whose text and lang aren't null."""
+def learn(docs: DataFrame, most: int = PROFILE) -> dict[str, list[int]]:
+    """Profiles (codes of n-grams) by language from the rows whose text and lang aren't null."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, size = Grams(), defaultdict(Counter), 0
+        held: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, gram, n) for lang, words in held.items() for gram, n in grams.counts(words).items()]
+            langs, codes, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lang, words in held.items():
+                own, n = gram_counts(words)
+                langs += [lang] * len(own)
+                codes.append(own)
+                counts.append(n)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts))], names=["lang", "gram", "n"])
 
         for batch in batches:
             for piece in slices(batch, "text"):
                 for text, lang in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     held[lang].update(letter_words(text))
-                size = sum(map(len, held.values()))
-                if size > MOST_GRAMS:
+                if sum(map(len, held.values())) > MOST_WORDS:
                     yield out()
         yield out()
 
-    counted = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, gram string, n bigint")
+    counted = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram"))
     best = summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    profiles: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    profiles: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for row in best.limit(MOST_PROFILE_ROWS + 1).collect():
         profiles[row.lang].append((row.place, row.gram))
     if sum(map(len, profiles.values())) > MOST_PROFILE_ROWS:
@@ -111,20 +112,28 @@ def learn(docs: DataFrame, most: int = PROFILE) -> dict[str, list[str]]:
 
 
 class Judge:
-    def __init__(self, profiles: dict[str, list[str]], most: int = PROFILE):
-        self.profiles = {lang: {g: i for i, g in enumerate(grams)} for lang, grams in sorted(profiles.items())}
-        self.grams, self.most = Grams(), most
+    def __init__(self, profiles: dict[str, list[int]], most: int = PROFILE):
+        self.most, self.langs = most, sorted(profiles)
+        self.codes = np.array(sorted({g for profile in profiles.values() for g in profile}), np.int64)
+        # each profile's place of each of these n-grams, -1 for one that it lacks; the last column is for all others
+        self.ranks = np.full((len(profiles), len(self.codes) + 1), -1, np.int64)
+        for row, lang in enumerate(self.langs):
+            self.ranks[row, np.searchsorted(self.codes, profiles[lang])] = np.arange(len(profiles[lang]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = letter_words(text)
-        if not words or not self.profiles:
+        if not words or not self.langs:
             return "und", 0.0
-        own = ranked(self.grams.counts(Counter(words)), self.most)
-        far, lang = min((distance(p, own, self.most), lang) for lang, p in self.profiles.items())
-        return lang, 1 - far / (self.most * len(own))
+        own = ranked(*gram_counts(Counter(words)), self.most)
+        at = np.searchsorted(self.codes, own)
+        at[self.codes[np.minimum(at, len(self.codes) - 1)] != own] = len(self.codes)
+        places = self.ranks[:, at]
+        far = np.where(places < 0, self.most, np.abs(places - np.arange(len(own)))).sum(axis=1)
+        best = int(np.argmin(far))
+        return self.langs[best], 1 - float(far[best]) / (self.most * len(own))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[str]], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]], pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score; lang is no input."""
     spark = docs.sparkSession
     ship(spark)
@@ -148,7 +157,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], pred: str = "lang_
 FOLDS, HELD_OUT = 4, 2
 
 
-def profiles_of(docs: DataFrame) -> dict[str, list[str]]:
+def profiles_of(docs: DataFrame) -> dict[str, list[int]]:
     return learn(docs.where(id_bucket("doc_id", FOLDS) != HELD_OUT))
 
 

@@ -27,7 +27,7 @@ from .common import ship, slices, table
 
 SPACE = "▁"
 #: What a byte piece costs, beside any piece's score; and the splits in a worker's table.
-BYTE_SCORE, MOST_SPLITS = -1e6, 500_000
+BYTE_SCORE, MOST_SPLITS = -1e6, 250_000
 #: Bytes of a split that goes through the automaton beside others, and the number of these at once.
 SHORT, BESIDE = 48, 20_000
 _MARK = SPACE.encode()
