@@ -208,18 +208,22 @@ def _prefix(sizes: str, block: int = 128) -> str:
     )
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with name for value. Columns don't do for this: the optimiser moves the expression of a column that
+    is read once to where it is read, which may be a lambda that runs for every match."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _matches(frame: DataFrame, name: str, pattern: str) -> DataFrame:
     """Adds name: an array of (x, l, r, s), a match with the text before it, the next character and its start."""
-    gaps, found, text = f"__{name}_gaps", f"__{name}_found", "__text"
-    frame = frame.withColumns({found: F.expr(f"regexp_extract_all({text}, r'{pattern}', 0)")})
-    frame = frame.withColumns({gaps: F.expr(f"if(size({found}) = 0, array({text}), split({text}, r'{pattern}', -1))")})
-    frame = frame.withColumns({f"__{name}_sizes": F.expr(f"transform({found}, (x, i) -> length(x) + length(element_at({gaps}, i + 1)))")})
-    frame = frame.withColumns({f"__{name}_before": F.expr(_prefix(f"__{name}_sizes"))})
-    value = (
-        f"transform({found}, (x, i) -> named_struct('x', x, 'l', lower(right(element_at({gaps}, i + 1), 24)), 'r', left(element_at({gaps}, i + 2), 1), "
-        f"'s', element_at(__{name}_before, i + 1) + length(element_at({gaps}, i + 1))))"
+    text = "__text"
+    each = (
+        "transform(f.x, (x, i) -> named_struct('x', x, 'l', lower(right(element_at(f.g, i + 1), 24)), 'r', left(element_at(f.g, i + 2), 1), "
+        "'s', element_at(o, i + 1) + length(element_at(f.g, i + 1))))"
     )
-    return frame.withColumns({name: F.expr(value)}).drop(gaps, found, f"__{name}_sizes", f"__{name}_before")
+    starts = _let("o", _let("n", "transform(f.x, (x, i) -> length(x) + length(element_at(f.g, i + 1)))", _prefix("n")), each)
+    cut = f"named_struct('x', x, 'g', if(size(x) = 0, array({text}), split({text}, r'{pattern}', -1)))"
+    return frame.withColumns({name: F.expr(_let("x", f"regexp_extract_all({text}, r'{pattern}', 0)", _let("f", cut, starts)))})
 
 
 def _span(kind: str, start: str, end: str) -> str:
@@ -251,11 +255,10 @@ def spans(docs: DataFrame) -> DataFrame:
 
     frame = _matches(frame, "__numbers", NUMBERS)
     # a run whole, and each of its parts between spaces if there are several
-    parts = (
-        "transform(__numbers, m -> concat(array(m), if(contains(m.x, ' '), transform(filter(transform(sequence(1, size(split(m.x, ' '))), j -> "
-        "named_struct('x', element_at(split(m.x, ' '), j), 's', m.s + length(array_join(slice(split(m.x, ' '), 1, j - 1), ' ')) + if(j > 1, 1, 0), 'j', j)), p -> length(p.x) > 6), "
-        "p -> named_struct('x', p.x, 'l', if(p.j = 1, m.l, ' '), 'r', ' ', 's', p.s)), cast(array() as array<struct<x:string,l:string,r:string,s:int>>))))"
-    )
+    part = "named_struct('x', x, 'l', if(i = 0, m.l, ' '), 'r', ' ', 's', m.s + element_at(o, i + 1))"
+    starts = _let("o", _let("n", "transform(w, x -> length(x) + 1)", _prefix("n")), f"filter(transform(w, (x, i) -> {part}), p -> length(p.x) > 6)")
+    none = "cast(array() as array<struct<x:string,l:string,r:string,s:int>>)"
+    parts = f"transform(__numbers, m -> concat(array(m), if(contains(m.x, ' '), {_let('w', "split(m.x, ' ')", starts)}, {none})))"
     known = "exists(__base, b -> b.s < q.s + length(q.x) and b.e > q.s)"
     frame = frame.withColumns({"__numbers": F.expr(parts)})
     kind_of = f"case when {known} then -1 " + " ".join(f"when {judged(kind, 'g')} then {KINDS.index(kind)}" for kind in ("card", "phone", "ip")) + " else -1 end"

@@ -41,7 +41,6 @@ def base_spans(text):
     return out
 
 
-@pytest.mark.skip(reason="does not end within 170 s, a known defect of op1 that README.md describes")
 def test_pii(spark, docs):
     for row in pii.find(docs).collect():
         want = base_spans(TEXTS[row.doc_id])
