@@ -259,16 +259,23 @@ def spans(docs: DataFrame) -> DataFrame:
     starts = _let("o", _let("n", "transform(w, x -> length(x) + 1)", _prefix("n")), f"filter(transform(w, (x, i) -> {part}), p -> length(p.x) > 6)")
     none = "cast(array() as array<struct<x:string,l:string,r:string,s:int>>)"
     parts = f"transform(__numbers, m -> concat(array(m), if(contains(m.x, ' '), {_let('w', "split(m.x, ' ')", starts)}, {none})))"
-    known = "exists(__base, b -> b.s < q.s + length(q.x) and b.e > q.s)"
+    # base spans in blocks by start, so that a proposal is held against few of them
+    known = "exists(z, b -> b.s < q.s + length(q.x) and b.e > q.s and exists(b.v, v -> v.s < q.s + length(q.x) and v.e > q.s))"
+    block = "named_struct('v', v, 's', v[0].s, 'e', array_max(transform(v, y -> y.e)))"
+    blocks = (
+        "if(size(a) = 0, cast(array() as array<struct<v:array<struct<s:int,e:int>>,s:int,e:int>>), "
+        f"transform(transform(sequence(0, (size(a) - 1) div 128), j -> slice(a, cast(j * 128 + 1 as int), 128)), v -> {block}))"
+    )
+    beside = lambda body: _let("a", "array_sort(transform(__base, v -> named_struct('s', v.s, 'e', v.e)))", _let("z", blocks, body))
     frame = frame.withColumns({"__numbers": F.expr(parts)})
     kind_of = f"case when {known} then -1 " + " ".join(f"when {judged(kind, 'g')} then {KINDS.index(kind)}" for kind in ("card", "phone", "ip")) + " else -1 end"
     one = f"named_struct('k', element_at(transform(array({_bound('named_struct(' + ', '.join(f'{chr(39)}{n}{chr(39)}, {s}' for n, s in NUMBER_FEATURES.items()) + ')', 'q')}), g -> {kind_of}), 1), 's', q.s, 'e', q.s + length(q.x))"
-    frame = frame.withColumns({"__numbers": F.expr(f"transform(__numbers, c -> filter(transform(c, q -> {one}), v -> v.k >= 0))")})
+    frame = frame.withColumns({"__numbers": F.expr(beside(f"transform(__numbers, c -> filter(transform(c, q -> {one}), v -> v.k >= 0))"))})
     # the whole run, which comes first, stands in for its parts
     frame = frame.withColumns({"__numbers": F.expr("flatten(transform(__numbers, c -> filter(c, v -> v.s = c[0].s and v.e = c[0].e or v.s >= c[0].e or c[0].e >= v.e and c[0].s > v.s)))")})
     frame = _matches(frame, "__spelled", SPELLED)
     email = f"element_at(transform(array({_bound('named_struct(' + ', '.join(f'{chr(39)}{n}{chr(39)}, {s}' for n, s in EMAIL_FEATURES.items()) + ')', 'q')}), g -> {judged('email', 'g')}), 1)"
-    frame = frame.withColumns({"__spelled": F.expr(f"transform(filter(__spelled, q -> not {known} and {email}), q -> {_span('email', 'q.s', 'q.s + length(q.x)')})")})
+    frame = frame.withColumns({"__spelled": F.expr(beside(f"transform(filter(__spelled, q -> not {known} and {email}), q -> {_span('email', 'q.s', 'q.s + length(q.x)')})"))})
     return frame.withColumns({"__spans": F.expr("array_sort(concat(__base, __numbers, __spelled))")}).drop("__numbers", "__spelled", "__text")
 
 

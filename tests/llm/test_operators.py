@@ -54,6 +54,13 @@ def test_pii(spark, docs):
     assert "[EMAIL]" in redacted[5].text
 
 
+def test_pii_of_many_numbers(spark):
+    texts = [" ".join(str(100_000 + i) for i in range(5000)), " and ".join(f"1.2.{i % 256}.{i // 256}" for i in range(5000)), " x ".join(f"+1 555 {i:07d}" for i in range(5000))]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in (1, 2)] == [",".join(base_spans(t)) for t in texts[1:]]
+    assert pii.find(empty(spark)).count() == pii.redact(empty(spark)).count() == 0
+
+
 def test_quality_rules(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
     out = quality_rules.judge(docs, quality_rules.train(docs, labels)).collect()
