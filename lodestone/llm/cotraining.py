@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbm
-from .common import ship, slices, split_words, table
+from .common import cut, ship, slices, split_words, table
 
 TARGETS = ("quality", "toxic")
 TEXT_SIZE, META_SIZE = 1 << 18, 1 << 10
@@ -33,23 +34,28 @@ TEXT_SIZE, META_SIZE = 1 << 18, 1 << 10
 LEAST, HALF = 5, 10
 #: Labelled rows that are learned from at most, rounds, and the probabilities from which a view is confident.
 MOST_LABELLED, ROUNDS, SURE = 20_000, 2, 0.95
+#: Words whose feature numbers a worker remembers.
+MOST_KNOWN = 300_000
 _TRIM = b".,;:!?\"'()[]"
 _LETTERS = bytes.maketrans(bytes([*range(65, 91), *range(97, 123), *range(48, 58)]), b"A" * 26 + b"a" * 26 + b"9" * 10)
 _RUNS = re.compile(rb"(.)\1+", re.S)
 
 
-def text_features(text: str | None, known: dict[bytes, tuple[int, ...]]) -> np.ndarray:
+class Known(dict):
+    """Feature numbers of words; remembers those of the first words that it is asked for."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        shape = _RUNS.sub(rb"\1", word.translate(_LETTERS))
+        trimmed = word.strip(_TRIM).lower()
+        ids = zlib.crc32(b"w" + trimmed) % TEXT_SIZE, zlib.crc32(b"s" + shape[-6:]) % TEXT_SIZE
+        if len(self) < MOST_KNOWN:
+            self[word] = ids
+        return ids
+
+
+def text_features(text: str | None, known: Known) -> np.ndarray:
     """Distinct feature numbers of a text's words."""
-    out: set[int] = set()
-    for word in set(split_words(text)):
-        ids = known.get(word)
-        if ids is None:
-            shape = _RUNS.sub(rb"\1", word.translate(_LETTERS))
-            trimmed = word.strip(_TRIM).lower()
-            ids = (zlib.crc32(b"w" + trimmed) % TEXT_SIZE, zlib.crc32(b"s" + shape[-6:]) % TEXT_SIZE)
-            if len(known) < 300_000:
-                known[word] = ids
-        out.update(ids)
+    out = set(chain.from_iterable(map(known.__getitem__, set(split_words(text)))))
     lines = [line for line in (text or "").split("\n") if line.strip()]
     repeated = len(lines) - len(set(lines))
     out.add(zlib.crc32(b"d%d" % min(8, 10 * repeated // max(1, len(lines)))) % TEXT_SIZE)
@@ -73,20 +79,21 @@ class View:
         # a feature of few documents says little
         seen = counts[:, :, :-1].sum(axis=1)
         self.odds *= np.where(seen < LEAST, 0, seen / (seen + HALF))
+        self.odds = np.ascontiguousarray(self.odds.T)
         self.prior = np.log(documents[:, 1, 0] + 1) - np.log(documents[:, 0, 0] + 1)
 
     def margin(self, features: np.ndarray) -> np.ndarray:
         """Log odds per target: the strongest features speak, so that long texts aren't surer by length alone."""
-        odds = self.odds[:, features]
+        odds = self.odds[features]
         top = 12
-        if odds.shape[1] > 2 * top:
-            odds = np.sort(odds, axis=1)
-            odds = np.concatenate([odds[:, :top], odds[:, -top:]], axis=1)
-        return odds.sum(axis=1) + self.prior
+        if len(odds) > 2 * top:
+            odds = np.partition(odds, (top, len(odds) - top), axis=0)
+            odds = np.concatenate([odds[:top], odds[-top:]])
+        return odds.sum(axis=0) + self.prior
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[list[int]]]]:
-    known: dict[bytes, tuple[int, ...]] = {}
+    known = Known()
     for batch in batches:
         for piece in slices(batch, "text"):
             text = [text_features(t, known) for t in piece.column("text").to_pylist()]
@@ -131,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int =
     docs = _columns(docs)
     some = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled_id"), *(F.col(t).cast("int").alias(t) for t in TARGETS))
     some = some.orderBy(F.xxhash64("labelled_id"), "labelled_id", *TARGETS).limit(most)
-    labelled = docs.join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id"))
+    # these few rows are read again and again
+    labelled = cut(docs.join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")))
 
     def known(batches):
         text, meta = np.zeros((2, 2, TEXT_SIZE + 1), np.int64), np.zeros((2, 2, META_SIZE + 1), np.int64)
