@@ -2,14 +2,12 @@
 
 1. One pass over the texts gives each a content key and its band hashes; equal word sequences become one text.
 2. Texts meet on band hashes. Each bucket has a hub, its smallest id, and every other text of the bucket is
-   compared with the hub on full shingle sets: as many pairs as rows, however large a group of copies is.
-3. Classes are the connected components of the links found.
-4. Texts of different classes that share a hub are candidates of each other only if their prefixes share a shingle:
-   with shingles in one order for all texts of a hub, two texts of the wanted similarity share one among the first
-   n - ceil(threshold * n) + 1 of each. What the hub lacks comes first, rare shingles before common ones. A shingle
-   that only one text of the hub has can't be shared, which bounds the similarity of a pair further. So a group of
-   many copies, each with its own edits, doesn't become pairs of all of them, and each pair of texts that meets in a
-   bucket is linked, connected through links, or less similar than the threshold.
+   held against the hub on full shingle sets: what it has that the hub lacks, and what it lacks of the hub.
+3. From these two differences the similarity of any two texts of a hub follows exactly, without their texts: each
+   pair of texts of a hub is judged, and counted under the smallest hub that both have. The texts of a large hub are
+   dealt to blocks, and each pair of blocks is a group of its own, so pairs are never rows: a group gives the number
+   of links of each text and as many links as connect it.
+4. Classes are the connected components of the links.
 
 Bands and rows come from the wanted recall of a pair at the threshold (plan()).
 
@@ -36,6 +34,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
 MOST_HASHES = 256
 #: Ids (8 bytes each) that may be broadcast to pick rows from the documents; beyond it both sides are shuffled.
 MOST_BROADCAST_IDS = 400_000
+#: Texts of a block of a hub, and shingles of their differences.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2_000, 1_000_000
 
 
 @lru_cache(maxsize=8)
@@ -126,42 +126,144 @@ def shingles(text: str | None) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
-def _small(part: set[tuple[bytes, ...]]) -> list[int]:
-    """32-bit hashes in order; where two meet, a pair more is compared."""
+def _hashes(part: set[tuple[bytes, ...]]) -> list[int]:
     import xxhash
 
-    return sorted(xxhash.xxh32_intdigest(b" ".join(s)) - 2**31 for s in part)
+    return [xxhash.xxh3_64_intdigest(b" ".join(s)) - 2**63 for s in part]
 
 
-def compare(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
-    """pairs (a, b) with their similarity j on full shingle sets; and for a, with b as the hub, the shingles that
-    the hub lacks (alone), the first of those that it has (both), their full number (n) and the prefix's length."""
+def differences(pairs: DataFrame, docs: DataFrame, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """For pairs (a, b) with b as the hub: the number of shingles of each (n, hub_n), hashes of those that the hub lacks
+    (alone), and the places of those that a lacks in the order of the hub's (missing)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted_id")).distinct()
     if wanted.limit(most_broadcast + 1).count() <= most_broadcast:
         wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi").dropDuplicates(["doc_id"])
     left, right = (texts.select(F.col("doc_id").alias(f"{x}_id"), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
     both = pairs.hint("merge").join(left.hint("merge"), F.col("a") == F.col("a_id")).select("a", "b", "a_text")
     both = both.hint("merge").join(right.hint("merge"), F.col("b") == F.col("b_id")).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hub = None, set()
+        held, hub, places = None, set(), {}
         for batch in batches:
             rows = []
             for a_text, b, b_text in zip(batch.column(2), batch.column(1).to_pylist(), batch.column(3), strict=True):
-                if held is None or b != held[0] or b_text != held[1]:
-                    held, hub = (b, b_text), shingles(b_text.as_py())
+                if b != held:
+                    held, hub = b, shingles(b_text.as_py())
+                    places = {s: i for i, s in enumerate(sorted(hub))}
                 own = shingles(a_text.as_py())
-                met = len(own & hub)
-                size = len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1
-                alone = _small(own - hub)
-                both = _small(own & hub)[: size - len(alone)] if size > len(alone) else []
-                rows.append((met / max(1, len(own) + len(hub) - met), alone, both, len(own), size))
-            kinds = (pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32())
+                rows.append((len(own), len(hub), _hashes(own - hub), [places[s] for s in hub - own]))
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["a", "b", "j", "alone", "both", "n", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *columns], names=["hub", "node", "n", "hub_n", "alone", "missing"])
+
+    return both.mapInArrow(run, "hub bigint, node bigint, n int, hub_n int, alone array<bigint>, missing array<int>")
+
+
+class _Shared:
+    """How many values each list shares with one of them."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.rows, self.empty = len(lists), not sizes.any()
+        if self.empty:
+            return
+        _, self.codes, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.owners = np.repeat(np.arange(len(lists)), sizes)[np.argsort(self.codes, kind="stable")]
+        self.ends = np.cumsum(counts)
+        self.counts = counts
+
+    def __call__(self, row: int) -> np.ndarray:
+        if self.empty or self.starts[row] == self.starts[row + 1]:
+            return np.zeros(self.rows, np.int64)
+        own = self.codes[self.starts[row] : self.starts[row + 1]]
+        own = own[self.counts[own] > 1]
+        if not len(own):
+            return np.zeros(self.rows, np.int64)
+        sizes = self.counts[own]
+        at = np.repeat(self.ends[own] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.owners[at], minlength=self.rows)
+
+
+def _linked(hub_n: int, two: bool, nodes: np.ndarray, side: np.ndarray, n: np.ndarray, alone: list, missing: list, lower: list, threshold: float):
+    """Of one group: the nodes with their number of links, and links that connect all that its links connect."""
+    count, size = len(nodes), np.fromiter(map(len, missing), np.int64, len(missing))
+    more, less, known = _Shared(alone), _Shared(missing), _Shared(lower)
+    degree, label, edges = np.zeros(count, np.int64), np.arange(count), []
+    for row in range(count):
+        met = hub_n - size[row] - size + less(row) + more(row)
+        near = met / np.maximum(1, n[row] + n - met) >= threshold
+        near &= side > side[row] if two else np.arange(count) > row
+        if not near.any():
+            continue
+        # a pair that a smaller hub has too is counted there
+        fresh = near & (known(row) == 0)
+        degree[row] += fresh.sum()
+        degree += fresh
+        found = np.flatnonzero(near)
+        names, first = np.unique(label[found], return_index=True)
+        first = found[first[names != label[row]]]
+        if len(first):
+            edges += [(nodes[row], nodes[other]) for other in first]
+            label[np.isin(label, label[first])] = label[row]
+    return degree, edges
+
+
+def links_of(held: DataFrame, threshold: float) -> DataFrame:
+    """From differences of texts and hubs: node with links, the number of its links as far as one group counts them,
+    and node with other, a link."""
+    own = held.groupBy("hub").agg(F.first("hub_n").alias("n"), F.count(F.lit(1)).alias("texts"), F.sum(F.size("alone") + F.size("missing")).alias("shingles"))
+    own = cut(own.withColumns({"blocks": F.greatest(F.ceil((F.col("texts") + 1) / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")}))
+    itself = own.select("hub", F.col("hub").alias("node"), "n", F.col("n").alias("hub_n"), F.array().cast("array<bigint>").alias("alone"), F.array().cast("array<int>").alias("missing"))
+    rows = held.unionByName(itself)
+    hubs = rows.select("hub", "node").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    rows = rows.join(hubs, "node").join(own.select("hub", "blocks"), "hub").withColumns({"lower": F.expr("filter(hubs, h -> h < hub)"), "block": F.expr("cast(pmod(xxhash64(node), blocks) as int)")})
+    rows = rows.withColumns({"other": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    rows = rows.select("hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "n", "hub_n", "alone", "missing", "lower")
+    rows = rows.repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two")
+
+    def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        whole = pa.Table.from_batches(parts)
+        of = lambda name: whole[name].combine_chunks()
+        numbers = {name: of(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("one", "two", "block", "node", "n", "hub_n")}
+
+        def lists(name: str) -> list[np.ndarray]:
+            column = of(name)
+            at = column.offsets.to_numpy()
+            return np.split(column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at[1:-1] - at[0])
+
+        degree, edges = _linked(int(numbers["hub_n"][0]), bool(numbers["one"][0] != numbers["two"][0]), numbers["node"], numbers["block"], numbers["n"], lists("alone"), lists("missing"), lists("lower"), threshold)
+        if not edges:
+            return None
+        some = np.flatnonzero(degree)
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        node = pa.array(np.concatenate([numbers["node"][some], ends[:, 0]]))
+        other = pa.array([None] * len(some) + ends[:, 1].tolist(), pa.int64())
+        return pa.RecordBatch.from_arrays([node, other, pa.array(np.concatenate([degree[some], np.zeros(len(ends), np.int64)]))], names=["node", "other", "links"])
 
-    return both.mapInArrow(run, "a bigint, b bigint, j double, alone array<int>, both array<int>, n int, size int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                key = tuple(keys[start])
+                if key != last and parts:
+                    out = judged(parts)
+                    if out is not None:
+                        yield out
+                    parts = []
+                last = key
+                parts.append(batch.slice(start, end - start))
+        if parts:
+            out = judged(parts)
+            if out is not None:
+                yield out
+
+    return rows.mapInArrow(run, "node bigint, other bigint, links bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,8 +281,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
-    """Per row: doc_id, class_id (smallest id of the class), n_links (links to other texts that were compared and
-    found, by which the class hangs together) and n_copies (other rows with the same words)."""
+    """Per row: doc_id, class_id (smallest id of the class), n_links (other texts, different in words,
+    that are as similar as the threshold) and n_copies (other rows with the same words)."""
     signed = cut(sign(docs, *plan(threshold, recall)))
     texts = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
     texts = cut(texts.select("key", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands"), "copies"))
@@ -188,14 +290,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).drop("size")
     met = cut(rows.join(hubs, "band"))
     pairs = cut(met.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    judged = cut(compare(pairs, docs, threshold, most_broadcast))
-    links = judged.where(F.col("j") >= threshold).select("a", "b").distinct()
-    groups = components(links)
-    more = _across(judged, groups, docs, threshold, most_broadcast)
-    if more is not None:
-        links = cut(links.unionByName(more).distinct())
-        groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    found = cut(links_of(cut(differences(pairs, docs, most_broadcast)), threshold))
+    groups = components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    degree = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = texts.select("key", "node", "copies").join(groups, "node", "left").join(degree, "node", "left")
     known = known.select("key", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "copies")
     held = signed.select("doc_id", "key").where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).join(known.hint("merge"), "key")
@@ -205,32 +302,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     )
 
 
-def _across(judged: DataFrame, groups: DataFrame, docs: DataFrame, threshold: float, most_broadcast: int) -> DataFrame | None:
-    """Links between texts of different classes that share a hub; None if there are none."""
-    near = judged.join(groups.withColumnRenamed("node", "a"), "a", "left").withColumns({"node": F.col("a"), "component": F.coalesce("component", "a")})
-    mixed = near.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("b")
-    near = cut(near.join(mixed, "b", "left_semi").select(F.col("b").alias("hub"), "node", "component", "alone", "both", "n", "size"))
-    rows = near.select("hub", "node", F.explode("alone").alias("shingle"))
-    held = rows.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    # unique shingles come first in the order and are in nobody else's prefix: their number is all that counts
-    shared = rows.join(held, ["hub", "shingle"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("shared"))
-    near = near.join(shared, ["hub", "node"], "left").withColumns({"unique": F.size("alone") - F.when(F.col("shared").isNull(), 0).otherwise(F.size("shared"))})
-    first = F.when(F.col("shared").isNull() | (F.col("unique") >= F.col("size")), F.array().cast("array<int>")).otherwise(F.expr("slice(shared.shingle, 1, size - unique)"))
-    # a text with too many unique shingles is like no other
-    able = near.where(F.col("n") <= (F.col("n") - F.col("unique")) / threshold + 1e-6)
-    rows = able.select("hub", "node", "component", "unique", (F.col("n") - F.col("unique")).alias("rest"), F.explode(F.array_distinct(F.concat(first, "both"))).alias("shingle"))
-    rows = cut(rows)
-    mixed = rows.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "shingle")
-    rows = cut(rows.join(mixed, ["hub", "shingle"], "left_semi"))
-    one, two = (rows.select("hub", "shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "unique", "rest"))) for x in ("a", "b"))
-    union = F.col("unique_a") + F.col("unique_b") + F.greatest("rest_a", "rest_b")
-    possible = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") > F.col("node_b")) & (F.least("rest_a", "rest_b") >= threshold * union - 1e-6)
-    pairs = cut(one.join(two, ["hub", "shingle"]).where(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    if not pairs.limit(1).count():
-        return None
-    return cut(compare(pairs, docs, threshold, most_broadcast).where(F.col("j") >= threshold).select("a", "b").distinct())
-
-
 def one_of_each(docs: DataFrame, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
     """The rows of docs whose id is the smallest of their class, one of rows that repeat it, and rows without id."""
     judged = cut(classes(docs, most_broadcast=most_broadcast))

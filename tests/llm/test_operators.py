@@ -179,6 +179,26 @@ def test_jaccard_join(spark):
     assert jaccard_join.classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_counts_all_links(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(60):
+        own = list(words)
+        for at in rng.integers(0, 80, rng.integers(0, 4)):
+            own[at] = f"e{at}_{rng.integers(0, 3)}"
+        texts.append(" ".join(own[rng.integers(0, 3) :] if i % 2 else own))
+    texts = sorted(set(texts), key=lambda t: hashlib.sha256(t.encode()).digest()) + ["other words entirely"]
+    sets = [jaccard_join.shingles(t) for t in texts]
+    want = [sum(a != b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for b in range(len(texts))) for a in range(len(texts))]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, texts[0]), (0, texts[0])], "doc_id long, text string")
+    for block in (2000, 7):
+        monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", block)
+        out = jaccard_join.classes(docs).collect()
+        assert len(out) == len(texts) + 2
+        assert all(r.n_links == want[r.doc_id % 1000] for r in out)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.example.NET/en/1", "https://x.net", "https://x.net/", "http://example.com/de/?q", "http://y.org/fr/a#b", "http://m.z.org/en/1/?utm_source=f", "http://z.org/en/1", "http://z.org/en/2"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
