@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie of three levels.
 
 Words are known by 62-bit hashes. Level 1 holds every training token with its exact count. Levels 2 and 3 hold
-the n-grams that occur MIN_COUNT times or more, of words that occur MIN_WORD times or more: for each context
+all n-grams inside a text, however rare: for each context
 a monotone pointer to its successors, the successors as one monotone sequence, searched relative to their
 context's pointers, and the discounted probability in an 8-bit step of its logarithm. What the discount leaves to
 a context is kept likewise. Probabilities interpolate: p(w|c) = seen(c, w) + left(c) * p(w|shorter c), down to
@@ -33,7 +33,7 @@ from .common import ASCII_LOWER, checkpoint_root, id_bucket, ship, slices, table
 from .elias_fano import EliasFano
 
 FOLDS, HELD_OUT = 7, 2
-MIN_WORD, MIN_COUNT, DISCOUNT = 20, 5, 0.75
+DISCOUNT = 0.75
 #: Text bytes that a worker handles at once, those whose tokens are cut at once, and rows that it gathers.
 CHUNK, BLOCK, MOST_ROWS = 2_000_000, 200_000, 1_500_000
 #: A logarithm takes 256 steps of this size.
@@ -397,13 +397,12 @@ class Model:
         count, seen = self.gram_counts[n](pair(contexts, words), contexts, words)
         return count, seen
 
-    def bigrams(self, flat: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Places of the second words of pairs inside a text whose words are frequent enough."""
-        frequent = counts >= MIN_WORD
+    def bigrams(self, flat: np.ndarray, ends: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Places of the second words of pairs of known words inside a text."""
         inside = np.ones(len(flat), bool)
         inside[0] = False
         inside[ends[:-1]] = False
-        return np.flatnonzero(inside & frequent & np.concatenate([[False], frequent[:-1]]))
+        return np.flatnonzero(inside & known & np.concatenate([[False], known[:-1]]))
 
     def scores(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens known, base score and score."""
@@ -412,11 +411,11 @@ class Model:
         starts = np.concatenate([[0], ends[:-1]])
         base = np.add.reduceat(np.log10(p), starts)
         known = np.add.reduceat((counts > 0).astype(np.int64), starts)
-        at = self.bigrams(flat, ends, counts)
+        at = self.bigrams(flat, ends, counts > 0)
         if len(at):
             inside = np.ones(len(flat), bool)
             inside[starts] = False
-            after = np.flatnonzero(inside & np.concatenate([[False], counts[:-1] >= MIN_WORD]))
+            after = np.flatnonzero(inside & np.concatenate([[False], counts[:-1] > 0]))
             p[after] *= self.left_over[2](flat[after - 1])[0]
             pair_count, seen = self.seen_grams(2, flat[at - 1], flat[at])
             p[at] += seen
@@ -519,7 +518,7 @@ def train(docs: DataFrame) -> Model:
             for batch in batches:
                 for piece in slices(batch, "text", CHUNK):
                     flat, ends = _spans(piece, 0)
-                    at = own.bigrams(flat, ends, own.seen_words(flat))
+                    at = own.bigrams(flat, ends, np.ones(len(flat), bool))
                     columns = [flat[at - 1], flat[at]]
                     if order == 3:
                         met = np.zeros(len(flat), np.int64)
@@ -541,10 +540,8 @@ def train(docs: DataFrame) -> Model:
                 size = rows["size"].astype(np.int64)
                 context = np.repeat(rows["context"], size)
                 (context, codes, *whole), n = counted(context, rows["code"].astype(np.int64), *([np.repeat(rows["whole"].astype(np.int64), size)] if order == 3 else []), counts=rows["n"].astype(np.int64))
-                keep = n >= MIN_COUNT
-                context, codes, n = context[keep], codes[keep], n[keep]
                 if len(n):
-                    full = whole[0][keep] if order == 3 else own.seen_words(context).astype(np.int64)
+                    full = whole[0] if order == 3 else own.seen_words(context).astype(np.int64)
                     write(f"{folder}/{order}", str(part), Grams.pack(context, codes, n, (n - DISCOUNT) / full))
                     (context, full), taken = counted(context, full, counts=n - DISCOUNT)
                     yield _parcels(context % parts, lambda at, c=context, f=full, t=taken: packed(context=c[at], whole=f[at], taken=t[at]))

@@ -117,6 +117,37 @@ def test_lm_scoring(spark, docs):
     assert ngram_lm.train(empty(spark)).total == 0
 
 
+def test_lm_scoring_keeps_rare_ngrams(spark):
+    texts = [LONG, "once upon a time there was a fox", None, "time upon a once fox a was there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = ngram_lm.train(docs.where("doc_id < 3"))
+    grams = [Counter(), Counter(), Counter()]
+    split = [(t or "").split() + ["\n"] for t in texts]
+    for words in split[:3]:
+        for n in range(3):
+            grams[n].update(tuple(words[i - n : i + 1]) for i in range(n, len(words)))
+    total, kinds = sum(grams[0].values()), len(grams[0])
+    follow = [{}, {}]
+    for n in (1, 2):
+        for g, c in grams[n].items():
+            follow[n - 1][g[:-1]] = follow[n - 1].get(g[:-1], 0) + c - 0.75
+
+    def chance(words, i):
+        p = (grams[0][(words[i],)] + 1) / (total + kinds + 1)
+        for n in (1, 2):
+            before = tuple(words[i - n : i])
+            if i >= n and grams[n - 1][before]:
+                seen = grams[n][(*before, words[i])]
+                p = p * max(1 - follow[n - 1].get(before, 0) / grams[n - 1][before], 1e-9) + (max(seen - 0.75, 0) / grams[n - 1][before])
+        return p
+
+    scores = {r.doc_id: r for r in ngram_lm.score(docs, model).collect()}
+    for i, words in enumerate(split):
+        # probabilities are kept in steps of 10 ** 0.04
+        assert scores[i].score == pytest.approx(sum(math.log10(chance(words, at)) for at in range(len(words))), abs=0.04 * len(words))
+    assert scores[0].score > scores[0].base_score and scores[1].score > scores[1].base_score and scores[1].score > scores[3].score
+
+
 def test_decontamination(spark, docs):
     bench = [(1, "one TWO three"), (2, None), (3, ""), (4, " ".join(LONG.split()[500:530])), (4, " ".join(LONG.split()[500:530])), (5, "no such words in any document at all, never, not one")]
     items = spark.createDataFrame(bench, "item_id long, text string")
