@@ -1,9 +1,11 @@
 """Personal data by candidate gradient boosting. Spark SQL expressions only where rows are handled.
 
 Fixed base rules find emails, IP addresses, cards and phones; their spans always stay. Generators of high recall
-propose further spans, which may overlap: every number-like run whole and each of its parts, and spelled-out or
-bracketed emails. Boosted trees, trained here on drawn examples and written out as CASE expressions, judge a
-proposal by its format and the text beside it; it is taken from a threshold that is calibrated for PRECISION.
+propose further spans, which may overlap: every number-like run whole, each of its parts between spaces and each
+sequence of such parts of up to MOST_DIGITS digits, and spelled-out or bracketed emails. Boosted trees, trained here on
+drawn examples and written out as CASE expressions, judge a proposal by its format and the text beside it; it is taken
+from a threshold that is calibrated for PRECISION. Of overlapping proposals of a run, the likelier is
+taken; a run that is taken as a whole stays beside a likelier part, so that nothing of it goes free.
 
 Offsets are code points, ends exclusive. Rows: null and empty texts have no spans. Repeated rows are judged each;
 other columns are carried along by redact() and not read by find(); an empty table gives an empty result.
@@ -23,6 +25,8 @@ from . import gbm
 KINDS = ("email", "ip", "card", "phone")
 #: Share of right ones among the drawn examples that a threshold lets through.
 PRECISION = 0.995
+#: A card has the most digits of all kinds.
+MOST_DIGITS = 19
 
 #: Base patterns. Runs are possessive and start at their first character, which changes no match but keeps the
 #: search linear in the text.
@@ -242,21 +246,39 @@ def spans(docs: DataFrame) -> DataFrame:
         frame = frame.withColumns({f"__{kind}": F.expr(f"transform(filter(__{kind}, m -> {VALID[kind].replace('(x,', '(m.x,').replace('x rlike', 'm.x rlike')}), m -> {_span(kind, 'm.s', 'm.s + length(m.x)')})")})
     frame = frame.withColumns({"__base": F.expr("array_sort(concat(" + ", ".join(f"__{kind}" for kind in KINDS) + "))")}).drop(*(f"__{kind}" for kind in KINDS))
 
-    def judged(kind: str, row: str) -> str:
-        trees, slope, intercept, threshold = trained(kind, spark)
-        names = list(EMAIL_FEATURES if kind == "email" else NUMBER_FEATURES)
+    def margin(kind: str, row: str) -> str:
+        return margin_sql(trained(kind, spark)[0], list(EMAIL_FEATURES if kind == "email" else NUMBER_FEATURES), row)
+
+    def least(kind: str) -> str:
+        _, slope, intercept, threshold = trained(kind, spark)
         at = np.log(threshold / (1 - threshold)) if threshold < 1 else np.inf
-        least = (at - intercept) / slope if slope > 0 and np.isfinite(at) else 1e9
-        return f"({margin_sql(trees, names, row)} >= {least:.9g}D)"
+        return f"{(at - intercept) / slope if slope > 0 and np.isfinite(at) else 1e9:.9g}D"
+
+    def judged(kind: str, row: str) -> str:
+        return f"({margin(kind, row)} >= {least(kind)})"
+
+    def likely(kind: str, value: str) -> str:
+        """The calibrated logarithm of the odds, which kinds have in common."""
+        _, slope, intercept, _ = trained(kind, spark)
+        return f"({slope:.9g}D * {value} + {intercept:.9g}D)"
 
     def fields(features: dict[str, str], row: str) -> str:
         named = ", ".join(f"'{name}', {sql}" for name, sql in features.items())
         return f"transform(array({row}), q -> {_bound(f'named_struct({named})', 'q')})[0]"
 
     frame = _matches(frame, "__numbers", NUMBERS)
-    # a run whole, and each of its parts between spaces if there are several
-    part = "named_struct('x', x, 'l', if(i = 0, m.l, ' '), 'r', ' ', 's', m.s + element_at(o, i + 1))"
-    starts = _let("o", _let("n", "transform(w, x -> length(x) + 1)", _prefix("n")), f"filter(transform(w, (x, i) -> {part}), p -> length(p.x) > 6)")
+    # a run whole, and what lies between two of its spaces
+    before = "lower(right(concat(if(i <= 24, m.l, ''), array_join(slice(w, greatest(i - 24, 0) + 1, least(i, 24)), ' '), if(i > 0, ' ', '')), 24))"
+    part = f"named_struct('x', array_join(slice(w, i + 1, j - i + 1), ' '), 'l', {before}, 'r', if(j = size(w) - 1, m.r, ' '), 's', m.s + element_at(o, i + 1))"
+    # a space may be followed by another, so there may be an empty part for each digit
+    ends = f"sequence(i, least(i + {2 * MOST_DIGITS}, size(w) - 1))"
+    fits = (
+        f"w[i] <> '' and w[j] <> '' and (i = j or d[j] + n[j] - d[i] <= {MOST_DIGITS}) "
+        "and o[j] + length(w[j]) - o[i] > 6 and not (i = 0 and j = size(w) - 1)"
+    )
+    parts = f"flatten(transform(sequence(0, size(w) - 1), i -> transform(filter({ends}, j -> {fits}), j -> {part})))"
+    digits = _let("n", "transform(w, x -> length(translate(x, ' +().-', '')))", _let("d", _prefix("n"), parts))
+    starts = _let("o", _let("n", "transform(w, x -> length(x) + 1)", _prefix("n")), digits)
     none = "cast(array() as array<struct<x:string,l:string,r:string,s:int>>)"
     parts = f"transform(__numbers, m -> concat(array(m), if(contains(m.x, ' '), {_let('w', "split(m.x, ' ')", starts)}, {none})))"
     # base spans in blocks by start, so that a proposal is held against few of them
@@ -268,11 +290,15 @@ def spans(docs: DataFrame) -> DataFrame:
     )
     beside = lambda body: _let("a", "array_sort(transform(__base, v -> named_struct('s', v.s, 'e', v.e)))", _let("z", blocks, body))
     frame = frame.withColumns({"__numbers": F.expr(parts)})
-    kind_of = f"case when {known} then -1 " + " ".join(f"when {judged(kind, 'g')} then {KINDS.index(kind)}" for kind in ("card", "phone", "ip")) + " else -1 end"
-    one = f"named_struct('k', element_at(transform(array({_bound('named_struct(' + ', '.join(f'{chr(39)}{n}{chr(39)}, {s}' for n, s in NUMBER_FEATURES.items()) + ')', 'q')}), g -> {kind_of}), 1), 's', q.s, 'e', q.s + length(q.x))"
-    frame = frame.withColumns({"__numbers": F.expr(beside(f"transform(__numbers, c -> filter(transform(c, q -> {one}), v -> v.k >= 0))"))})
-    # the whole run, which comes first, stands in for its parts
-    frame = frame.withColumns({"__numbers": F.expr("flatten(transform(__numbers, c -> filter(c, v -> v.s = c[0].s and v.e = c[0].e or v.s >= c[0].e or c[0].e >= v.e and c[0].s > v.s)))")})
+    numbers = ("card", "phone", "ip")
+    margins = "named_struct(" + ", ".join(f"'{kind}', {margin(kind, 'g')}" for kind in numbers) + ")"
+    chosen = "case " + " ".join(f"when t.{kind} >= {least(kind)} then named_struct('p', -{likely(kind, f't.{kind}')}, 'n', -length(q.x), 'k', {KINDS.index(kind)}, 's', q.s, 'e', q.s + length(q.x), 'whole', length(q.x) = length(c[0].x))" for kind in numbers) + " end"
+    features = _bound("named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in NUMBER_FEATURES.items()) + ")", "q")
+    one = f"if({known}, null, {_let('g', features, _let('t', margins, chosen))})"
+    frame = frame.withColumns({"__numbers": F.expr(beside(f"transform(__numbers, c -> array_sort(filter(transform(c, q -> {one}), v -> v is not null)))"))})
+    # the likelier and then the longer first; what overlaps one that is taken is not, but for the whole run
+    taken = "aggregate(c, cast(array() as array<struct<p:double,n:int,k:int,s:int,e:int,whole:boolean>>), (a, v) -> if(not v.whole and exists(a, y -> y.s < v.e and y.e > v.s), a, array_append(a, v)))"
+    frame = frame.withColumns({"__numbers": F.expr(f"transform(flatten(transform(__numbers, c -> if(size(c) < 2, c, {taken}))), v -> named_struct('k', v.k, 's', v.s, 'e', v.e))")})
     frame = _matches(frame, "__spelled", SPELLED)
     email = f"element_at(transform(array({_bound('named_struct(' + ', '.join(f'{chr(39)}{n}{chr(39)}, {s}' for n, s in EMAIL_FEATURES.items()) + ')', 'q')}), g -> {judged('email', 'g')}), 1)"
     frame = frame.withColumns({"__spelled": F.expr(beside(f"transform(filter(__spelled, q -> not {known} and {email}), q -> {_span('email', 'q.s', 'q.s + length(q.x)')})"))})

@@ -61,6 +61,18 @@ def test_pii_of_many_numbers(spark):
     assert pii.find(empty(spark)).count() == pii.redact(empty(spark)).count() == 0
 
 
+def test_pii_inside_longer_runs(spark):
+    card = "5105 1051 0510 5100"
+    texts = [f"order 12 {card}", f"{card} 7 and", f"page 3  {card} 44 or", f"1 2 3 {card} 4 5 6", "3 tel 555 123 4567", card, "call 555 123 4567 555 765 4321"]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in (0, 1, 2, 3, 5):
+        at = texts[i].index(card)
+        assert found[i] == f"card:{at}:{at + len(card)}"
+    assert found[4] == "phone:6:18"
+    # the second phone has no word before it; the whole run covers it
+    assert found[6] == "phone:5:17,phone:5:30"
+
+
 def test_quality_rules(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
     out = quality_rules.judge(docs, quality_rules.train(docs, labels)).collect()
