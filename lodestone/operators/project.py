@@ -20,6 +20,7 @@ sql_query(
     "supplier",
 )
 sql_query("p3_posexplode", "SELECT vec_id, pos, round(x, 5) AS x FROM (SELECT vec_id, posexplode(embedding) AS (pos, x) FROM {embeddings}) WHERE pos < 4", "SELECT vec_id, (i - 1)::INTEGER AS pos, round(embedding[i], 5) AS x FROM embeddings, range(1, 5) t(i)", "embeddings")
+sql_query("p3_posexplode_whole", "SELECT vec_id, posexplode(embedding) AS (pos, x) FROM {embeddings}", "SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS pos, unnest(embedding) AS x FROM embeddings", "embeddings")
 sql_query("p3_stack", "SELECT n_nationkey, stack(2, 'name', n_name, 'region', cast(n_regionkey AS string)) AS (k, v) FROM {nation}", "SELECT n_nationkey, 'name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation", "nation")
 sql_query("p5_qualify", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) WHERE rn = 1", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1", "orders")
 sql_query("p6_pipe", "FROM {customer} |> WHERE c_acctbal > 0 |> AGGREGATE count(*) AS n, round(sum(c_acctbal), 2) AS bal GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer WHERE c_acctbal > 0 GROUP BY 1", "customer")

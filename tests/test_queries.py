@@ -35,6 +35,11 @@ def test_oracle(spark, duck, name):
         assert own == rows(found.fetchall(), columns)
 
 
+def test_posexplode_gives_every_element(spark, duck):
+    found = registry.queries()["p3_posexplode_whole"](spark, SF).count()
+    assert found == duck.execute("select sum(len(embedding)) from embeddings").fetchone()[0] > 0
+
+
 def test_as_of_against_a_loop(spark):
     from lodestone.operators.joins import as_of
 
