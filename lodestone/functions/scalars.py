@@ -17,3 +17,5 @@ sql_query("f10_variant", "SELECT event_id, variant_get(parse_json(props), '$.k',
 sql_query("f11_from_json", "SELECT event_id, from_json(props, 'k bigint').k AS k, from_csv('1,a', 'x int, y string').y AS y FROM {events}", "SELECT event_id, (props ->> '$.k')::BIGINT AS k, 'a' AS y FROM events", "events")
 sql_query("f12_try", "SELECT n_nationkey, round(try_divide(100, n_regionkey), 6) AS d, try_cast(n_name AS int) AS i FROM {nation}", "SELECT n_nationkey, round(100 / nullif(n_regionkey, 0), 6) AS d, try_cast(n_name AS int) AS i FROM nation", "nation")
 sql_query("f13_cosine", "SELECT a.vec_id, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS double) * y), cast(0 AS double), (s, x) -> s + x), 4) AS c FROM {embeddings} a JOIN (SELECT embedding FROM {embeddings} WHERE vec_id = 0) b", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])), 4) AS c FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b", "embeddings")
+# pairs of partitions, so no side is held whole
+sql_query("f13_cosine_search", "SELECT /*+ SHUFFLE_REPLICATE_NL(b) */ b.vec_id AS query_id, a.vec_id, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS double) * y), cast(0 AS double), (s, x) -> s + x), 4) + 0.0D AS c FROM {embeddings} a JOIN (SELECT vec_id, embedding FROM {embeddings} WHERE vec_id % 50 = 0) b", "SELECT b.vec_id AS query_id, a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])), 4) + 0.0 AS c FROM embeddings a, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) b", "embeddings")

@@ -40,6 +40,12 @@ def test_posexplode_gives_every_element(spark, duck):
     assert found == duck.execute("select sum(len(embedding)) from embeddings").fetchone()[0] > 0
 
 
+def test_cosine_search_asks_every_fiftieth_row(spark, duck):
+    found = registry.queries()["f13_cosine_search"](spark, SF)
+    n, asked = duck.execute("select count(*), count(*) filter (vec_id % 50 = 0) from embeddings").fetchone()
+    assert asked > 1 and (found.count(), found.select("query_id").distinct().count()) == (n * asked, asked)
+
+
 def test_as_of_against_a_loop(spark):
     from lodestone.operators.joins import as_of
 
