@@ -18,6 +18,10 @@ for _name, _hint in (("j1_broadcast", "/*+ BROADCAST(n) */"), ("j2_sort_merge",
 _SIDES = "(SELECT s_suppkey AS k, s_acctbal AS bal FROM {supplier} WHERE s_suppkey % 3 <> 0) a {kind} JOIN (SELECT s_suppkey AS k, s_nationkey AS nation FROM {supplier} WHERE s_suppkey % 2 = 0) b ON a.k = b.k"
 for _kind in ("LEFT", "RIGHT", "FULL OUTER"):
     sql_query(f"j4_{_kind.split()[0].lower()}", "SELECT a.k AS ak, b.k AS bk, bal, nation FROM " + _SIDES.replace("{kind}", _kind), tables="supplier")
+for _kind in ("LEFT", "RIGHT", "FULL OUTER"):
+    # orders without lines are on the kept side
+    _ends = "{lineitem} l RIGHT JOIN {orders} o" if _kind == "RIGHT" else f"{{orders}} o {_kind} JOIN {{lineitem}} l"
+    sql_query(f"j4_orders_{_kind.split()[0].lower()}", f"SELECT o.o_orderkey AS ok, l.l_orderkey AS lk, o_totalprice, l_quantity FROM {_ends} ON o.o_orderkey = l.l_orderkey", tables="orders lineitem")
 sql_query("j4_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n", tables="region nation")
 sql_query("j5_semi", "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49)", tables="orders lineitem")
 sql_query("j6_anti", "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)", tables="orders lineitem")

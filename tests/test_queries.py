@@ -46,6 +46,14 @@ def test_cosine_search_asks_every_fiftieth_row(spark, duck):
     assert asked > 1 and (found.count(), found.select("query_id").distinct().count()) == (n * asked, asked)
 
 
+@pytest.mark.parametrize("kind", ["left", "right", "full"])
+def test_outer_joins_of_whole_tables(spark, duck, kind):
+    found = registry.queries()[f"j4_orders_{kind}"](spark, SF)
+    bare = duck.execute("select count(*) from orders where o_orderkey not in (select l_orderkey from lineitem)").fetchone()[0]
+    lines = duck.execute("select count(*) from lineitem").fetchone()[0]
+    assert bare > 0 and (found.where("lk is null").count(), found.count()) == (bare, lines + bare)
+
+
 def test_as_of_against_a_loop(spark):
     from lodestone.operators.joins import as_of
 
