@@ -5,11 +5,15 @@ from __future__ import annotations
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query, table
 
 
+SPLITS = 16
+
+
 @query("u1_scalar", "SELECT o_orderkey, round(o_totalprice * 1.19, 4) AS gross FROM orders")
 def scalar(spark, sf_dir):
     @F.arrow_udf("double")
@@ -21,14 +25,33 @@ def scalar(spark, sf_dir):
 
 @query("u2_udaf", "SELECT user_id, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id")
 def udaf(spark, sf_dir):
-    """The spread of partial results: two built-in aggregates reach a small group function, not all rows of a key."""
+    """Three user-defined aggregates: a key's rows are aggregated in SPLITS parts first, so that a hot key's don't meet."""
+
+    @F.pandas_udf("double")
+    def lowest(value: pd.Series) -> float:
+        return value.min()
+
+    @F.pandas_udf("double")
+    def highest(value: pd.Series) -> float:
+        return value.max()
+
+    @F.pandas_udf("double")
+    def spread(low: pd.Series, high: pd.Series) -> float:
+        return high.max() - low.min()
+
+    split = F.pmod(F.xxhash64("event_id"), F.lit(SPLITS)).alias("split")
+    parts = table(spark, sf_dir, "events").groupBy("user_id", split).agg(lowest("value").alias("low"), highest("value").alias("high"))
+    return parts.groupBy("user_id").agg(F.round(spread("low", "high"), 6).alias("spread"))
+
 
+@query("u2_udaf_window", "SELECT event_id, round(max(value) OVER w - min(value) OVER w, 6) AS spread FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+def udaf_window(spark, sf_dir):
     @F.pandas_udf("double")
-    def spread(low: pd.Series, high: pd.Series) -> pd.Series:
-        return high - low
+    def spread(value: pd.Series) -> float:
+        return value.max() - value.min()
 
-    ends = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return ends.select("user_id", F.round(spread("low", "high"), 6).alias("spread"))
+    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(spread("value").over(last), 6).alias("spread"))
 
 
 @query("u3_udtf", "SELECT r_regionkey, i::INTEGER AS i FROM region, range(0, 3) t(i) WHERE i <= r_regionkey")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -54,6 +55,12 @@ def test_outer_joins_of_whole_tables(spark, duck, kind):
     assert bare > 0 and (found.where("lk is null").count(), found.count()) == (bare, lines + bare)
 
 
+@pytest.mark.parametrize("name, node", [("u2_udaf", "AggregateInPandas|ArrowAggregatePython"), ("u2_udaf_window", "WindowInPandas|ArrowWindowPython")])
+def test_udaf_is_user_defined(spark, name, node):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(node, plan)
+
+
 def test_as_of_against_a_loop(spark):
     from lodestone.operators.joins import as_of
 
