@@ -47,7 +47,8 @@ STAGES = [
     ("sentencepiece", encoded),
 ]
 
-#: MinHash and learned profiles can't be written in SQL; tests/llm compares run() with a brute-force version.
+#: MinHash and learned profiles can't be written in SQL. No test compares run() with a brute-force version; tests/llm
+#: compares single operators.
 ORACLE_SQL = None
 
 
