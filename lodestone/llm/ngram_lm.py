@@ -1,15 +1,18 @@
 """Language-model scoring with an Elias-Fano n-gram trie of three levels.
 
-Words are known by 62-bit hashes. Level 1 holds every training token with its exact count. Levels 2 and 3 hold
-all n-grams inside a text, however rare: for each context
-a monotone pointer to its successors, the successors as one monotone sequence, searched relative to their
-context's pointers, and the discounted probability in an 8-bit step of its logarithm. What the discount leaves to
-a context is kept likewise. Probabilities interpolate: p(w|c) = seen(c, w) + left(c) * p(w|shorter c), down to
-(count + 1) / (N + V + 1), which counts words that were never seen as one.
-
-A level is dealt over parts by context and word together, so a frequent context is spread over all of them. Each
-part is built by one task from sorted rows, written to the folder of spark.checkpoint.dir and memory-mapped by
-the workers; a lost task writes the same file again. The first token of a text has no context.
+A word is known by a 62-bit hash and numbered by its frequency. Level 1 holds every training token with its exact
+count. Levels 2 and 3 hold all n-grams inside a text, however rare. They are dealt over parts by their first two
+words, so a part has whole subtrees: words, for each a monotone pointer to the words after it, for each of those a
+monotone pointer to the words after both. The successors of a context have a stretch of one monotone sequence, as long
+as they are many, and are searched relative to the context's pointer. A successor has its discounted probability, and
+a context what the discount leaves to shorter ones, in an 8-bit step of the logarithm. Probabilities interpolate:
+p(w|c) = seen(c, w) + left(c) * p(w|shorter c), down to (count + 1) / (N + V + 1), which counts words that were never
+seen as one. The first token of a text has no context.
+
+One pass counts words, a second one counts trigrams, whose sums are the bigrams' counts. A word before many others is
+spread over as many parts as its count asks for; a pair of words has no more rows than there are words. Each part is
+built by one task from sorted rows, written to the folder of spark.checkpoint.dir and memory-mapped by the workers; a
+lost task writes the same file again. The driver removes the files when it ends, unless train() was given a folder.
 
 Rows: null and empty texts have one token, the end. Rows with a null id count as the id "". Repeated rows are
 counted and scored each; other columns are not read; without training rows every token is unknown.
@@ -17,6 +20,7 @@ counted and scored each; other columns are not read; without training rows every
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from collections.abc import Iterator
@@ -34,20 +38,26 @@ from .elias_fano import EliasFano
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
-#: Text bytes that a worker handles at once, those whose tokens are cut at once, and rows that it gathers.
-CHUNK, BLOCK, MOST_ROWS = 2_000_000, 200_000, 1_500_000
+#: Text bytes that a worker scores at once, those whose tokens are cut at once, and tokens that it counts at once.
+CHUNK, BLOCK, MOST_ROWS = 3_000_000, 200_000, (1 << 21) - 4
+#: Training tokens of a part of levels 2 and 3; the number of parts follows from it.
+PART_TOKENS = 4_000_000
+#: A word is spread over one part more for each such share of a part's tokens that it has.
+SPREAD = 1 / 8
 #: A logarithm takes 256 steps of this size.
 STEP = 0.04
-WORD_BITS, CODE_BITS, SLOT_BITS = 62, 32, 24
-#: Entries of a worker's table of answers to frequent questions, as a power of two.
-CACHE_BITS = 18
-MOST_PARTS = 4_096
+WORD_BITS = 62
+#: Word numbers are below this; train() fails beyond it.
+MOST_WORDS = 1 << 31
+MOST_WORD_PARTS = 4_096
+#: Up to so many successors are compared one after another.
+FEW = 3
 
-_random = np.random.default_rng(5)
-_BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64)
-_PLACE = _random.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a word that are hashed eight at a time; longer ones go through xxhash.
+LONG_WORD = 64
+_ODD = np.random.default_rng(5).integers(0, 2**63, LONG_WORD // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks of the first n bytes of a 64-bit number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,153 +70,159 @@ def _mix(x: np.ndarray) -> np.ndarray:
 END = int(_mix(np.array([1], np.uint64))[0])
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
-
-
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end included, and the place after each text's last token."""
-    raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    hashes, ends, held, size, before = [], [], [], 0, 0
-    for i, raw in enumerate(raws):
-        held.append(raw)
-        size += len(raw)
-        if size >= BLOCK or i == len(raws) - 1:
-            own, own_ends = _tokens(held)
-            hashes.append(own)
-            ends.append(own_ends + before)
-            before += len(own)
-            held, size = [], 0
+    texts = texts.fill_null("") if texts.null_count else texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    hashes, ends, before, start = [], [], 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK)))
+        stop = min(stop, len(texts))
+        cut = b"" if raw is None else raw.slice(int(offsets[start]), int(offsets[stop] - offsets[start])).to_pybytes()
+        own, own_ends = _tokens(cut.translate(ASCII_LOWER), offsets[start : stop + 1] - offsets[start])
+        hashes.append(own)
+        ends.append(own_ends + before)
+        before += len(own)
+        start = stop
     return (np.concatenate(hashes), np.concatenate(ends)) if hashes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"\n".join(raws).translate(ASCII_LOWER), np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    np.logical_not(_SPACE[data], out=inside[1:-1].view(bool))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    text_ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) - 1
-    words_before = np.searchsorted(starts, text_ends, side="left")
-    hashes = np.zeros(0, np.int64)
-    if len(starts):
-        lengths = ends - starts
-        chars = data[inside[1:-1].view(bool)]
-        first = np.cumsum(lengths) - lengths
-        at = np.arange(len(chars)) - np.repeat(first, lengths)
-        if lengths.max() > 4096:
-            weight = _PLACE[at & 4095] + (at >> 12).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD92)
-        else:
-            weight = _PLACE[at]
-        weight *= _BYTE[chars]
-        hashes = _mix(np.add.reduceat(weight, first) + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return np.insert(hashes, words_before, END), words_before + np.arange(1, len(raws) + 1)
-
-
-class Remembered:
-    """A table of the last answers by key, so that frequent questions cost a look only."""
-
-    def __init__(self, ask, width: int = 1):
-        self.ask, self.keys = ask, np.full(1 << CACHE_BITS, -1, np.int64)
-        self.values = [np.zeros(1 << CACHE_BITS) for _ in range(width)]
-
-    def __call__(self, keys: np.ndarray, *questions: np.ndarray) -> list[np.ndarray]:
-        at = keys & ((1 << CACHE_BITS) - 1)
-        out = [v[at] for v in self.values]
-        fresh = np.flatnonzero(self.keys[at] != keys)
-        if len(fresh):
-            _, first, back = np.unique(keys[fresh], return_index=True, return_inverse=True)
-            asked = fresh[first]
-            answers = self.ask(*(q[asked] for q in questions or (keys,)))
-            place = at[asked]
-            self.keys[place] = keys[asked]
-            # where two keys share a place, both tables must hold the same one
-            last = self.keys[place] == keys[asked]
-            for own, value, answer in zip(out, self.values, answers if isinstance(answers, tuple) else (answers,), strict=True):
-                own[fresh] = answer[back]
-                value[place[last]] = answer[last]
-        return out
+def _tokens(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lower-cased texts one after another."""
+    data = np.frombuffer(raw + b"\n" * 8, np.uint8)
+    space = data[: len(raw)] == 32
+    space |= data[: len(raw)] - np.uint8(9) < 5
+    before = np.ones(len(raw) + 1, bool)
+    before[1:] = space
+    before[offsets] = True
+    after = np.ones(len(raw) + 1, bool)
+    after[:-1] = space
+    after[offsets] = True
+    word = ~space
+    starts, ends = np.flatnonzero(word & before[:-1]), np.flatnonzero(word & after[1:]) + 1
+    words_before = np.searchsorted(starts, offsets[1:], side="left")
+    sizes = ends - starts
+    eights = np.ndarray((len(data) - 7,), np.dtype("<u8"), data, 0, (1,))
+    hashes = (eights[starts] & _FIRST[np.minimum(sizes, 8)]) * _ODD[0] + sizes.astype(np.uint64)
+    more = np.flatnonzero(sizes > 8)
+    for k in range(1, LONG_WORD // 8):
+        if not len(more):
+            break
+        hashes[more] = (hashes[more] ^ hashes[more] >> np.uint64(29)) * _ODD[k] + (eights[starts[more] + 8 * k] & _FIRST[np.minimum(sizes[more] - 8 * k, 8)])
+        more = more[sizes[more] > 8 * (k + 1)]
+    hashes = _mix(hashes)
+    if len(more):
+        import xxhash
+
+        hashes[more] = [xxhash.xxh3_64_intdigest(raw[a:b]) >> 2 for a, b in zip(starts[more], ends[more], strict=True)]
+    return np.insert(hashes, words_before, END), words_before + np.arange(1, len(offsets))
 
 
 def _spans(texts: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-    return tokens(texts.column(column).to_pylist())
+    return tokens(texts.column(column))
+
 
+def coded(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, in order, and the place among them of each value."""
+    order = np.argsort(flat)
+    ranked = flat[order]
+    new = np.ones(len(flat), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    places = np.empty(len(flat), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ranked[new], places
 
-def counted(*columns: np.ndarray, counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns, in order, with their summed counts."""
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
-    columns = tuple(c[order] for c in columns)
-    if not len(order):
-        return list(columns), np.zeros(0, np.int64) if counts is None else counts
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
-    return [c[first] for c in columns], n
+
+def runs(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value of a sorted array starts, and how often it occurs."""
+    if not len(ranked):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return first, np.diff(np.append(first, len(ranked)))
 
 
 class Gathered:
-    """Rows of numbers whose first column tells them apart; summed up as far as MOST_ROWS allows."""
+    """Words with counts, summed up as far as MOST_ROWS allows."""
 
     def __init__(self) -> None:
         self.parts, self.rows = [], 0
 
-    def add(self, *columns: np.ndarray) -> bool:
+    def add(self, words: np.ndarray) -> bool:
         """Whether there is as much as a worker should hold."""
-        self.parts.append((columns, np.ones(len(columns[0]), np.int64)))
-        self.rows += len(columns[0])
+        words = np.sort(words)
+        first, n = runs(words)
+        self.parts.append((words[first], n))
+        self.rows += len(first)
         if self.rows > MOST_ROWS:
             self._sum()
         return self.rows > MOST_ROWS // 2 and len(self.parts) == 1
 
     def _sum(self) -> None:
-        columns = [np.concatenate([p[0][i] for p in self.parts]) for i in range(len(self.parts[0][0]))]
-        n = np.concatenate([p[1] for p in self.parts])
-        if len(n):
-            order = np.argsort(columns[0])
-            key = columns[0][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            columns, n = [c[order[first]] for c in columns], np.add.reduceat(n[order], first)
-        self.parts, self.rows = [(columns, n)], len(n)
-
-    def take(self) -> tuple[list[np.ndarray], np.ndarray] | None:
-        if not self.parts:
-            return None
+        words, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        order = np.argsort(words)
+        first, _ = runs(words[order])
+        self.parts, self.rows = [(words[order][first], np.add.reduceat(n[order], first) if len(n) else n)], len(first)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
         self._sum()
         (out,) = self.parts
         self.parts, self.rows = [], 0
         return out
 
 
-def packed(**arrays: np.ndarray) -> bytes:
+# parcels: the rows of a part as compressed bytes, four planes for each column
+
+
+def packed(**columns: np.ndarray) -> bytes:
     import zstandard
 
+    arrays = {}
+    for name, values in columns.items():
+        most = int(values.max(initial=0))
+        wide = 8 if most >= 2**32 else 4 if most >= 2**8 else 1
+        arrays[name] = np.ascontiguousarray(np.ascontiguousarray(values.astype(f"<u{wide}")).view(np.uint8).reshape(-1, wide).T).ravel()
+        arrays[f"{name}.wide"] = np.array([wide], np.uint8)
     return zstandard.compress(elias_fano.dump(arrays), 1)
 
 
 def unpacked(raw: bytes) -> dict[str, np.ndarray]:
     import zstandard
 
-    return elias_fano.parse(zstandard.decompress(raw))
+    arrays, out = elias_fano.parse(zstandard.decompress(raw)), {}
+    for name in [n for n in arrays if not n.endswith(".wide")]:
+        wide = int(arrays[f"{name}.wide"][0])
+        out[name] = np.ascontiguousarray(arrays[name].reshape(wide, -1).T).view(f"<u{wide}").ravel()
+    return out
 
 
-def _small(values: np.ndarray) -> np.ndarray:
-    most = int(values.max(initial=0))
-    return values.astype(np.uint8 if most < 256 else np.uint32 if most < 2**32 else np.int64)
+_PARCELS = "part int, rows binary"
 
 
 def _parcels(parts: np.ndarray, make) -> pa.RecordBatch:
-    """A row for each part: its number and what make() packs of its rows."""
-    numbers, blobs = [], []
-    for part, rows in _by_part(parts):
-        numbers.append(part)
-        blobs.append(make(rows))
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+    """A row for each part: its number and what make() packs of its rows (from, to). parts is sorted."""
+    first, size = runs(parts)
+    blobs = [make(int(a), int(a + n)) for a, n in zip(first, size, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(parts[first], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
 
 
-_PARCELS = "part int, rows binary"
+def _dealt(parcels: DataFrame, parts: int) -> DataFrame:
+    return parcels.repartition(parts, "part").sortWithinPartitions("part")
+
+
+def _each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict[str, np.ndarray]]]]:
+    """All parcels of each part."""
+    held: list[dict[str, np.ndarray]] = []
+    last = None
+    for batch in batches:
+        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and part != last:
+                yield last, held
+                held = []
+            last = part
+            held.append(unpacked(raw.as_buffer()))
+    if held:
+        yield last, held
 
 
 # files
@@ -271,220 +287,320 @@ _STEPS = 10.0 ** (-STEP * np.arange(256))
 
 
 def _by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(parts, kind="stable")
-    cuts = np.flatnonzero(np.diff(parts[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            yield int(parts[rows[0]]), rows
+    kind = np.uint16 if int(parts.max(initial=0)) < 2**16 else np.int64
+    order = np.argsort(parts.astype(kind), kind="stable")
+    first, size = runs(parts[order])
+    for a, n in zip(first, size, strict=True):
+        yield int(parts[order[a]]), order[a : a + n]
 
 
 class Words:
-    """Level 1: word hashes and counts."""
+    """Level 1: hashes with numbers, counts by number, and what a word leaves to shorter contexts. Word number n is
+    row n // parts of part n % parts; rows go by falling count."""
 
     def __init__(self, folder: str, parts: int):
-        self.folder, self.parts, self.open = folder, parts, {}
+        self.folder, self.parts, self.open, self.left_of = folder, parts, {}, {}
 
     @staticmethod
     def pack(words: np.ndarray, counts: np.ndarray) -> bytes:
-        return elias_fano.dump(elias_fano.build(words, 1 << WORD_BITS) | _exact(counts))
-
-    def counts(self, words: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(words), np.int64)
+        order = np.argsort(-counts, kind="stable")
+        row = np.empty(len(words), np.uint32)
+        row[order] = np.arange(len(words), dtype=np.uint32)
+        return elias_fano.dump(elias_fano.build(words, 1 << WORD_BITS, "find") | _exact(counts[order]) | {"row": row})
+
+    def _part(self, part: int):
+        if part not in self.open:
+            arrays = mapped(f"{self.folder}/words", str(part))
+            self.open[part] = (EliasFano(arrays), arrays) if arrays else None
+        return self.open[part]
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 for an unknown one."""
+        out = np.full(len(words), -1, np.int64)
         for part, rows in _by_part(words % self.parts):
-            if part not in self.open:
-                arrays = mapped(self.folder, str(part))
-                self.open[part] = (EliasFano(arrays), arrays) if arrays else None
-            if self.open[part]:
-                sequence, arrays = self.open[part]
+            if self._part(part):
+                sequence, arrays = self._part(part)
                 index = sequence.find(words[rows])
-                found = index >= 0
-                out[rows[found]] = _count(arrays, index[found])
+                rows, index = rows[index >= 0], index[index >= 0]
+                out[rows] = arrays["row"][index].astype(np.int64) * self.parts + part
+        return out
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), np.int64)
+        some = np.flatnonzero(numbers >= 0)
+        for part, rows in _by_part(numbers[some] % self.parts):
+            out[some[rows]] = _count(self._part(part)[1], numbers[some[rows]] // self.parts)
+        return out
+
+    def left(self, numbers: np.ndarray) -> np.ndarray:
+        """What a context leaves to shorter ones; 1 for a word that isn't there."""
+        out = np.ones(len(numbers))
+        some = np.flatnonzero(numbers >= 0)
+        for part, rows in _by_part(numbers[some] % self.parts):
+            if part not in self.left_of:
+                self.left_of[part] = mapped(f"{self.folder}/left", str(part))
+            if self.left_of[part]:
+                out[some[rows]] = _STEPS[self.left_of[part]["left"][numbers[some[rows]] // self.parts]]
         return out
 
 
-class Left(Words):
-    """What a context leaves to shorter ones; 1 for a context that isn't there."""
+class Shape:
+    """The numbers that a trie's files are laid out by.
+
+    Word number n is a context of part n % parts; each of the frequent words, which has more than a share SPREAD of a
+    part's tokens, is one of as many parts as it has shares. A part's contexts are all frequent words and then its own.
+    """
+
+    def __init__(self, word_parts: int, parts: int, total: int, distinct: int, most: int, frequent: list[tuple[int, int]]):
+        self.word_parts, self.parts, self.total, self.distinct = word_parts, parts, total, distinct
+        self.numbers = max(1, most * word_parts)
+        #: Bits of a word's code: its number, mixed so that codes are spread evenly.
+        self.bits = max(1, int(self.numbers - 1).bit_length())
+        self.mask = (1 << self.bits) - 1
+        frequent = sorted(frequent)
+        self.frequent = np.array([n for n, _ in frequent], np.int64)
+        self.shares = np.array([min(parts, max(1, -(-count // self.quantum(total, parts)))) for _, count in frequent], np.int64)
 
     @staticmethod
-    def pack(contexts: np.ndarray, left: np.ndarray) -> bytes:
-        return elias_fano.dump(elias_fano.build(contexts, 1 << WORD_BITS) | {"count": quantise(left)})
-
-    def probability(self, contexts: np.ndarray) -> np.ndarray:
-        out = np.ones(len(contexts))
-        for part, rows in _by_part(contexts % self.parts):
-            if part not in self.open:
-                arrays = mapped(self.folder, str(part))
-                self.open[part] = (EliasFano(arrays), arrays) if arrays else None
-            if self.open[part]:
-                sequence, arrays = self.open[part]
-                index = sequence.find(contexts[rows])
-                found = index >= 0
-                out[rows[found]] = _STEPS[arrays["count"][index[found]]]
-        return out
+    def quantum(total: int, parts: int) -> int:
+        return max(1, int(total / parts * SPREAD))
 
+    def code(self, numbers: np.ndarray) -> np.ndarray:
+        return numbers * 0x9E3779B1 & self.mask
 
-def code(words: np.ndarray) -> np.ndarray:
-    return words >> (WORD_BITS - CODE_BITS)
+    def place(self, numbers: np.ndarray) -> np.ndarray:
+        """Place among the frequent words, -1 for others."""
+        if not len(self.frequent):
+            return np.full(len(numbers), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.frequent, numbers), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == numbers, at, -1)
 
+    def dealt(self, number: np.ndarray, place: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The part of each pair of words; place is the first one's among the frequent words."""
+        part = number % self.parts
+        some = np.flatnonzero(place >= 0)
+        share = _mix(after[some].astype(np.uint64) + np.uint64(1 << 40)) % self.shares[place[some]]
+        part[some] = (number[some] + share) % self.parts
+        return part
 
-class Grams:
-    """Level 2 or 3: contexts, pointers, successors, counts and probabilities."""
+    def contexts(self, part: int) -> int:
+        return len(self.frequent) + (self.numbers - part + self.parts - 1) // self.parts
 
-    def __init__(self, folder: str, parts: int):
-        self.folder, self.parts, self.open = folder, parts, {}
+    def context(self, number: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(place >= 0, place, len(self.frequent) + number // self.parts)
 
-    @staticmethod
-    def part(contexts, codes, parts: int):
-        return (contexts ^ codes) % parts
+    def number(self, context: np.ndarray, part: int) -> np.ndarray:
+        many = len(self.frequent)
+        own = (context - many) * self.parts + part
+        return np.where(context >= many, own, np.append(self.frequent, 0)[np.minimum(context, many)])
+
+    def stretch(self, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A successor's value in the monotone sequence: a context has as much of it as it has successors. The factor
+        is odd, so the low bits alone tell the successors of a context apart."""
+        return (first << self.bits) + codes * (size - 1 | 1)
+
+
+class Part:
+    """Levels 2 and 3 of the pairs of a part."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.second, self.third = (EliasFano(arrays, p) for p in ("s_", "t_"))
+        self.to_second, self.to_third = (EliasFano(arrays, p) for p in ("p_", "q_"))
+        self.seen2, self.left3, self.seen3 = (arrays[k] for k in ("seen2", "left3", "seen3"))
 
     @staticmethod
-    def _slot(codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A successor's place in the monotone sequence: a context has as much of it as it has successors."""
-        return (first << SLOT_BITS) + ((codes >> (CODE_BITS - SLOT_BITS)) * size + ((codes & ((1 << (CODE_BITS - SLOT_BITS)) - 1)) * size >> (CODE_BITS - SLOT_BITS)))
-
-    @classmethod
-    def pack(cls, contexts: np.ndarray, codes: np.ndarray, counts: np.ndarray, seen: np.ndarray) -> bytes:
-        """Rows are sorted by context and code."""
-        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
-        sizes = np.diff(np.concatenate([first, [len(contexts)]]))
-        place = cls._slot(codes, np.repeat(first, sizes), np.repeat(sizes, sizes))
+    def pack(shape: Shape, part: int, words: Words, pairs: np.ndarray, after: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """From sorted rows of a pair (context << 32 | code), the code after it (-1 for none) and a count: the part, its
+        words' numbers, and how many different words follow each of them in it."""
+        at, _ = runs(pairs)
+        own = pairs[at]
+        count = np.add.reduceat(n, at) if len(at) else n
+        first, followers = runs(own >> 32)
+        context = own[first] >> 32
+        numbers = shape.number(context, part)
+        seen2 = (count - DISCOUNT) / np.repeat(words.counts(numbers), followers)
+        more = after >= 0
+        kinds = np.add.reduceat(more.astype(np.int64), at) if len(at) else count
+        start = np.cumsum(kinds) - kinds
+        pointers = np.zeros(shape.contexts(part) + 1, np.int64)
+        pointers[context + 1] = followers
+        stretch = lambda codes, a, size: shape.stretch(codes, np.repeat(a, size), np.repeat(size, size))
+        sequences = {
+            "p_": (np.cumsum(pointers), len(own) + 1, "get"),
+            "s_": (stretch(own & 0xFFFFFFFF, first, followers), (len(own) << shape.bits) + 1, "find"),
+            "q_": (np.append(start, kinds.sum()), int(kinds.sum()) + 1, "get"),
+            "t_": (stretch(after[more], start, kinds), (int(kinds.sum()) << shape.bits) + 1, "find"),
+        }
         out = {}
-        for name, values, universe in (("c_", contexts[first], 1 << WORD_BITS), ("p_", np.concatenate([first, [len(contexts)]]), len(contexts) + 1), ("s_", place, (len(contexts) << SLOT_BITS) + 1)):
-            out |= {name + k: v for k, v in elias_fano.build(values, universe).items()}
-        return elias_fano.dump(out | _exact(counts) | {"seen": quantise(seen)})
-
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and probability of each pair; 0 where it isn't there."""
-        count, seen = np.zeros(len(words), np.int64), np.zeros(len(words))
-        codes = code(words)
-        for part, rows in _by_part(self.part(contexts, codes, self.parts)):
-            if part not in self.open:
-                arrays = mapped(self.folder, str(part))
-                self.open[part] = (*(EliasFano(arrays, p) for p in ("c_", "p_", "s_")), arrays) if arrays else None
-            if self.open[part]:
-                known, pointers, successors, arrays = self.open[part]
-                context = known.find(contexts[rows])
-                rows, context = rows[context >= 0], context[context >= 0]
-                first = pointers.get(context)
-                index = successors.find(self._slot(codes[rows], first, pointers.get(context + 1) - first))
-                rows, index = rows[index >= 0], index[index >= 0]
-                count[rows], seen[rows] = _count(arrays, index), _STEPS[arrays["seen"][index]]
-        return count, seen
+        for prefix, (values, universe, wants) in sequences.items():
+            out |= {prefix + k: v for k, v in elias_fano.build(values, universe, wants).items()}
+        seen3 = (n[more] - DISCOUNT) / np.repeat(count, kinds)
+        out |= {"seen2": quantise(seen2), "left3": quantise(np.maximum(DISCOUNT * kinds / count, 1e-9)), "seen3": quantise(seen3)}
+        return elias_fano.dump(out), numbers, followers
+
+    @staticmethod
+    def among(sequence: EliasFano, shape: Shape, first: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The index of each code among the successors from first on; -1 where it isn't there."""
+        out = np.full(len(first), -1, np.int64)
+        if not sequence.n:
+            return out
+        low = codes * (size - 1 | 1) & shape.mask
+        todo = np.flatnonzero((size > 0) & (size <= FEW))
+        for k in range(FEW):
+            index = first[todo] + k
+            hit = sequence.is_low(index, low[todo])
+            out[todo[hit]] = index[hit]
+            todo = todo[(size[todo] > k + 1) & (out[todo] < 0)]
+        many = np.flatnonzero(size > FEW)
+        out[many] = sequence.find(shape.stretch(codes[many], first[many], size[many]))
+        return out
 
 
 class Model:
     """The trie as a worker sees it: a folder and a few numbers."""
 
-    def __init__(self, folder: str, parts: int, total: int, distinct: int):
-        self.folder, self.parts, self.total, self.distinct = folder, parts, total, distinct
+    def __init__(self, folder: str, shape: Shape):
+        self.folder, self.shape, self.total = folder, shape, shape.total
 
     def opened(self) -> Model:
-        self.words = Words(f"{self.folder}/1", self.parts)
-        self.grams = {n: Grams(f"{self.folder}/{n}", self.parts) for n in (2, 3)}
-        self.left = {n: Left(f"{self.folder}/left{n}", self.parts) for n in (2, 3)}
-        self.word_counts = Remembered(self.words.counts)
-        self.gram_counts = {n: Remembered(self.grams[n].find, 2) for n in (2, 3)}
-        self.left_over = {n: Remembered(self.left[n].probability) for n in (2, 3)}
+        self.words, self.parts = Words(self.folder, self.shape.word_parts), {}
         return self
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("folder", "parts", "total", "distinct")}
-
-    def seen_words(self, flat: np.ndarray) -> np.ndarray:
-        return self.word_counts(flat)[0]
-
-    def seen_grams(self, n: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count, seen = self.gram_counts[n](pair(contexts, words), contexts, words)
-        return count, seen
-
-    def bigrams(self, flat: np.ndarray, ends: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Places of the second words of pairs of known words inside a text."""
-        inside = np.ones(len(flat), bool)
-        inside[0] = False
-        inside[ends[:-1]] = False
-        return np.flatnonzero(inside & known & np.concatenate([[False], known[:-1]]))
+        return {k: getattr(self, k) for k in ("folder", "shape", "total")}
+
+    def remove(self) -> None:
+        """Delete the trie's files."""
+        _remove(self.folder)
+
+    def _part(self, part: int) -> Part | None:
+        if part not in self.parts:
+            arrays = mapped(f"{self.folder}/grams", str(part))
+            self.parts[part] = Part(arrays) if arrays else None
+        return self.parts[part]
+
+    def _stretches(self, numbers: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the successors of each word that is not frequent start in its part, and how many they are."""
+        first, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        some = np.flatnonzero((numbers >= 0) & (place < 0))
+        for part, rows in _by_part(numbers[some] % self.shape.parts):
+            if own := self._part(part):
+                rows = some[rows]
+                first[rows], size[rows] = own.to_second.span(self.shape.context(numbers[rows], place[rows]))
+        return first, size
 
     def scores(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens known, base score and score."""
-        counts = self.seen_words(flat)
-        p = (counts + 1) / (self.total + self.distinct + 1)
+        shape = self.shape
+        hashes, word = coded(flat)
+        numbers = self.words.numbers(hashes)
+        counts, left, frequent = self.words.counts(numbers), self.words.left(numbers), shape.place(numbers)
+        chance = (counts + 1) / (shape.total + shape.distinct + 1)
         starts = np.concatenate([[0], ends[:-1]])
-        base = np.add.reduceat(np.log10(p), starts)
-        known = np.add.reduceat((counts > 0).astype(np.int64), starts)
-        at = self.bigrams(flat, ends, counts > 0)
-        if len(at):
-            inside = np.ones(len(flat), bool)
-            inside[starts] = False
-            after = np.flatnonzero(inside & np.concatenate([[False], counts[:-1] > 0]))
-            p[after] *= self.left_over[2](flat[after - 1])[0]
-            pair_count, seen = self.seen_grams(2, flat[at - 1], flat[at])
-            p[at] += seen
-            met = np.zeros(len(flat), bool)
-            met[at[pair_count > 0]] = True
-            after = np.flatnonzero(inside & np.concatenate([[False], met[:-1]]))
-            p[after] *= self.left_over[3](pair(flat[after - 2], flat[after - 1]))[0]
-            at = after[met[after]]
-            _, seen = self.seen_grams(3, pair(flat[at - 2], flat[at - 1]), flat[at])
-            p[at] += seen
+        base = np.add.reduceat(np.log10(chance)[word], starts)
+        p = chance[word]
+        is_known = (counts > 0)[word]
+        known = np.add.reduceat(is_known.astype(np.int64), starts)
+        inside = np.ones(len(flat), bool)
+        inside[starts] = False
+        p[1:] *= np.where(inside[1:], left[word[:-1]], 1.0)
+        # pairs of known words, by their second place
+        at = np.flatnonzero(inside[1:] & is_known[1:] & is_known[:-1]) + 1
+        before = word[at - 1]
+        number, code = numbers[word[at]], shape.code(numbers)[word]
+        first, size = (x[before] for x in self._stretches(numbers, frequent))
+        often = frequent[before]
+        seen2, left3, seen3 = np.zeros(len(flat)), np.ones(len(flat) + 1), np.zeros(len(flat) + 1)
+        # whether the next token is of the same text and known
+        goes_on = np.append(inside[1:] & is_known[1:], False)
+        for part, rows in _by_part(shape.dealt(numbers[before], often, number)):
+            own = self._part(part)
+            if own is None:
+                continue
+            many = rows[often[rows] >= 0]
+            first[many], size[many] = own.to_second.span(often[many])
+            pair = own.among(own.second, shape, first[rows], size[rows], code[at[rows]])
+            found = pair >= 0
+            rows, pair = at[rows[found]], pair[found]
+            seen2[rows] = _STEPS[own.seen2[pair]]
+            left3[rows + 1] = _STEPS[own.left3[pair]]
+            on = goes_on[rows]
+            rows, pair = rows[on] + 1, pair[on]
+            third = own.among(own.third, shape, *own.to_third.span(pair), code[rows])
+            found = third >= 0
+            seen3[rows[found]] = _STEPS[own.seen3[third[found]]]
+        left3[:-1][starts] = 1
+        p += seen2
+        p *= left3[:-1]
+        p += seen3[:-1]
         return known, base, np.add.reduceat(np.log10(p), starts)
 
 
-def _parts(spark: SparkSession) -> int:
-    return min(MOST_PARTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def _remove(folder: str) -> None:
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    if system.get_file_info(path).type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(path)
 
 
-def _dealt(parcels: DataFrame, parts: int) -> DataFrame:
-    return parcels.repartition(parts, "part").sortWithinPartitions("part")
+def _uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
 
 
-def _each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """The rows of each part, from all parcels of it."""
-    held: list[dict[str, np.ndarray]] = []
-    last = None
+def _word_parts(spark: SparkSession) -> int:
+    return min(MOST_WORD_PARTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    def whole() -> dict[str, np.ndarray]:
-        return {k: np.concatenate([h[k] for h in held]) for k in held[0]}
 
-    for batch in batches:
-        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if held and part != last:
-                yield last, whole()
-                held = []
-            last = part
-            held.append(unpacked(raw.as_buffer()))
-    if held:
-        yield last, whole()
+def _trigrams(word: np.ndarray, inside: np.ndarray, most: int) -> np.ndarray:
+    """Of words below 2 ** 21: each of the first pairs inside a text with the word after it (0 for none, else one more)
+    in one number, sorted. inside: whether a token goes on a text."""
+    rows = min(most, len(word) - 1)
+    after = np.zeros(rows, np.int64)
+    there = min(rows, len(word) - 2)
+    after[:there] = np.where(inside[2 : there + 2], word[2 : there + 2] + 1, 0)
+    key = (word[:rows] << 42) + (word[1 : rows + 1] << 21) + after
+    return np.sort(key[inside[1 : rows + 1]])
 
 
-def _pack_grams(context: np.ndarray, codes: np.ndarray, n: np.ndarray, whole: np.ndarray | None):
-    """Rows sorted by context and code; a context is written once."""
+def _packed_rows(shape: Shape, numbers: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """The parcels of sorted trigrams; numbers are those of their words."""
+    first, n = runs(key)
+    key = key[first]
+    pair_at, kinds = runs(key >> 21)
+    after = np.concatenate([[0], numbers + 1])[key & (1 << 21) - 1]
+    pair = key[pair_at] >> 21
+    one, two = numbers[pair >> 21], numbers[pair & (1 << 21) - 1]
+    part = shape.dealt(one, shape.place(numbers)[pair >> 21], two)
+    order = np.argsort(part.astype(np.uint16) if shape.parts < 2**16 else part, kind="stable")
+    one, two, kinds, part = one[order], two[order], kinds[order], part[order]
+    ends = np.cumsum(kinds)
+    rows = np.repeat(pair_at[order] - (ends - kinds), kinds) + np.arange(len(key))
+    after, n = after[rows], n[rows]
 
-    def make(rows: np.ndarray) -> bytes:
-        c = context[rows]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        size = np.diff(np.append(first, len(c)))
-        extra = {} if whole is None else {"whole": _small(whole[rows][first])}
-        return packed(context=c[first], size=_small(size), code=codes[rows].astype(np.uint32), n=_small(n[rows]), **extra)
+    def make(a: int, b: int) -> bytes:
+        x, y = ends[a] - kinds[a], ends[b - 1]
+        return packed(first=np.diff(one[a:b], prepend=0), second=two[a:b], kinds=kinds[a:b], after=after[x:y], n=n[x:y])
 
-    return make
+    return _parcels(part, make)
 
 
-def train(docs: DataFrame) -> Model:
-    """Build the trie from all rows of docs."""
+def train(docs: DataFrame, folder: str | None = None) -> Model:
+    """Build the trie from all rows of docs, in a folder of its own below the shared one if none is named."""
     spark = docs.sparkSession
     ship(spark)
-    parts = _parts(spark)
-    folder = f"{checkpoint_root(spark).rstrip('/')}/ngram-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + os.path.abspath(folder)
+    word_parts, kept = _word_parts(spark), folder is not None
+    folder = _uri(folder if kept else f"{checkpoint_root(spark).rstrip('/')}/ngram-{uuid.uuid4().hex}")
+    if not kept:
+        atexit.register(_remove, folder)
     texts = docs.select("text")
 
     def words(batches):
         held = Gathered()
 
         def out():
-            (word,), n = held.take()
-            return _parcels(word % parts, lambda rows: packed(word=word[rows], n=_small(n[rows])))
+            word, n = held.take()
+            order = np.argsort(word % word_parts, kind="stable")
+            word, n = word[order], n[order]
+            return _parcels(word % word_parts, lambda a, b: packed(word=word[a:b], n=n[a:b]))
 
         for batch in batches:
             for piece in slices(batch, "text", CHUNK):
@@ -494,73 +610,111 @@ def train(docs: DataFrame) -> Model:
             yield out()
 
     def build_words(batches):
-        for part, rows in _each_part(batches):
-            (word,), n = counted(rows["word"], counts=rows["n"].astype(np.int64))
-            write(f"{folder}/1", str(part), Words.pack(word, n))
+        for part, parcels in _each_part(batches):
+            word = np.concatenate([x["word"] for x in parcels]).astype(np.int64)
+            n = np.concatenate([x["n"] for x in parcels]).astype(np.int64)
+            order = np.argsort(word)
+            first, _ = runs(word[order])
+            n = np.add.reduceat(n[order], first)
+            write(f"{folder}/words", str(part), Words.pack(word[order][first], n))
             yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(n)])], names=["total", "kinds"])
 
-    parcels = texts.mapInArrow(words, _PARCELS)
-    built = _dealt(parcels, parts).mapInArrow(build_words, "total bigint, kinds bigint")
-    total, kinds = built.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    model = Model(folder, parts, int(total), int(kinds))
-
-    def grams(order: int):
-        def run(batches):
-            own, held = model.opened(), Gathered()
-
-            def out():
-                (_, context, word, *whole), n = held.take()
-                codes = code(word)
-                sort = np.lexsort((codes, context))
-                context, codes, n = context[sort], codes[sort], n[sort]
-                return _parcels(Grams.part(context, codes, parts), _pack_grams(context, codes, n, whole[0][sort] if whole else None))
-
-            for batch in batches:
-                for piece in slices(batch, "text", CHUNK):
-                    flat, ends = _spans(piece, 0)
-                    at = own.bigrams(flat, ends, np.ones(len(flat), bool))
-                    columns = [flat[at - 1], flat[at]]
-                    if order == 3:
-                        met = np.zeros(len(flat), np.int64)
-                        met[at] = own.seen_grams(2, *columns)[0]
-                        before = np.concatenate([[0], met[:-1]])
-                        at = np.flatnonzero((met > 0) & (before > 0))
-                        columns = [pair(flat[at - 2], flat[at - 1]), flat[at], before[at]]
-                    if held.add(pair(columns[0], columns[1]), *columns):
-                        yield out()
-            if held.parts:
-                yield out()
-
-        return run
-
-    def build_grams(order: int):
-        def run(batches):
-            own = model.opened()
-            for part, rows in _each_part(batches):
-                size = rows["size"].astype(np.int64)
-                context = np.repeat(rows["context"], size)
-                (context, codes, *whole), n = counted(context, rows["code"].astype(np.int64), *([np.repeat(rows["whole"].astype(np.int64), size)] if order == 3 else []), counts=rows["n"].astype(np.int64))
-                if len(n):
-                    full = whole[0] if order == 3 else own.seen_words(context).astype(np.int64)
-                    write(f"{folder}/{order}", str(part), Grams.pack(context, codes, n, (n - DISCOUNT) / full))
-                    (context, full), taken = counted(context, full, counts=n - DISCOUNT)
-                    yield _parcels(context % parts, lambda at, c=context, f=full, t=taken: packed(context=c[at], whole=f[at], taken=t[at]))
-
-        return run
-
-    def build_left(order: int):
-        def run(batches):
-            for part, rows in _each_part(batches):
-                (context, whole), taken = counted(rows["context"], rows["whole"], counts=rows["taken"])
-                write(f"{folder}/left{order}", str(part), Left.pack(context, np.maximum(1 - taken / whole, 1e-9)))
-                yield pa.RecordBatch.from_arrays([pa.array([len(whole)])], names=["rows"])
-
-        return run
-
-    for order in (2, 3):
-        built = _dealt(texts.mapInArrow(grams(order), _PARCELS), parts).mapInArrow(build_grams(order), _PARCELS)
-        _dealt(built, parts).mapInArrow(build_left(order), "rows bigint").agg(F.sum("rows")).first()
-    return model
+    built = _dealt(texts.mapInArrow(words, _PARCELS), word_parts).mapInArrow(build_words, "total bigint, kinds bigint")
+    zero = F.lit(0).cast("bigint")
+    total, kinds, most = built.agg(*(F.coalesce(x, zero) for x in (F.sum("total"), F.sum("kinds"), F.max("kinds")))).first()
+    if most * word_parts >= MOST_WORDS:
+        raise ValueError(f"word numbers reach {most * word_parts}; the limit is {MOST_WORDS}")
+    parts = max(8, -(-int(total) // PART_TOKENS))
+    quantum = Shape.quantum(int(total), parts)
+
+    def frequent(batches):
+        level = Words(folder, word_parts)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                if level._part(part):
+                    counts = level.counts(np.arange(len(level._part(part)[1]["row"])) * word_parts + part)
+                    rows = np.flatnonzero(counts > quantum)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows * word_parts + part), pa.array(counts[rows])], names=["number", "count"])
+
+    # at most parts / SPREAD rows
+    found = spark.range(0, word_parts, 1, word_parts).mapInArrow(frequent, "number bigint, count bigint").collect()
+    shape = Shape(word_parts, parts, int(total), int(kinds), int(most), [tuple(row) for row in found])
+
+    def grams(batches):
+        level = Words(folder, word_parts)
+
+        def out(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            flat = np.concatenate([f for f, _ in held])
+            inside = np.ones(len(flat), bool)
+            at = 0
+            for own, ends in held:
+                inside[at] = False
+                inside[at + ends[:-1]] = False
+                at += len(own)
+            held.clear()
+            for start in range(0, len(flat) - 1, MOST_ROWS):
+                hashes, word = coded(flat[start : start + MOST_ROWS + 2])
+                numbers = level.numbers(hashes)
+                order = np.argsort(numbers)
+                numbers, back = numbers[order], np.empty(len(order), np.int64)
+                back[order] = np.arange(len(order))
+                key = _trigrams(back[word], inside[start : start + MOST_ROWS + 2], MOST_ROWS)
+                if len(key):
+                    yield _packed_rows(shape, numbers, key)
+
+        held, size = [], 0
+        for batch in batches:
+            for piece in slices(batch, "text", CHUNK):
+                flat, ends = _spans(piece, 0)
+                if held and size + len(flat) > MOST_ROWS:
+                    yield from out(held)
+                    size = 0
+                held.append((flat, ends))
+                size += len(flat)
+        if held:
+            yield from out(held)
+
+    def build_grams(batches):
+        level = Words(folder, word_parts)
+        for part, parcels in _each_part(batches):
+            pairs, after, n = [], [], []
+            for x in parcels:
+                first = np.cumsum(x["first"].astype(np.int64))
+                pairs.append(np.repeat(shape.context(first, shape.place(first)) << 32 | shape.code(x["second"].astype(np.int64)), x["kinds"]))
+                number = x["after"].astype(np.int64) - 1
+                after.append(np.where(number >= 0, shape.code(number), -1))
+                n.append(x["n"].astype(np.int64))
+            parcels.clear()
+            pairs, after, n = map(np.concatenate, (pairs, after, n))
+            distinct, place = coded(pairs)
+            key = place << 32 | (after + 1)
+            del pairs, after, place
+            order = np.argsort(key)
+            key = key[order]
+            first, _ = runs(key)
+            n = np.add.reduceat(n[order], first)
+            key = key[first]
+            del order, first
+            raw, numbers, followers = Part.pack(shape, part, level, distinct[key >> 32], (key & 0xFFFFFFFF) - 1, n)
+            write(f"{folder}/grams", str(part), raw)
+            order = np.argsort(numbers % word_parts, kind="stable")
+            numbers, followers = numbers[order], followers[order]
+            yield _parcels(numbers % word_parts, lambda a, b, w=numbers, f=followers: packed(row=w[a:b] // word_parts, kinds=f[a:b]))
+
+    def build_left(batches):
+        level = Words(folder, word_parts)
+        for part, parcels in _each_part(batches):
+            rows = len(level._part(part)[1]["row"])
+            kinds = np.zeros(rows, np.int64)
+            for x in parcels:
+                np.add.at(kinds, x["row"].astype(np.int64), x["kinds"].astype(np.int64))
+            counts = level.counts(np.arange(rows) * word_parts + part)
+            write(f"{folder}/left", str(part), elias_fano.dump({"left": quantise(np.maximum(DISCOUNT * kinds / counts, 1e-9))}))
+            yield pa.RecordBatch.from_arrays([pa.array([rows])], names=["rows"])
+
+    built = _dealt(texts.mapInArrow(grams, _PARCELS), parts).mapInArrow(build_grams, _PARCELS)
+    _dealt(built, word_parts).mapInArrow(build_left, "rows bigint").agg(F.sum("rows")).first()
+    return Model(folder, shape)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
