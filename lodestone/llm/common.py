@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship  # noqa: F401
+from . import elias_fano
 
 #: Text bytes that one step of a vectorised worker loop holds at once.
 CHUNK_BYTES = 2_000_000
@@ -42,7 +47,7 @@ def id_bucket(doc_id: str | Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % buckets
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about limit bytes of the column (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, held = 0, 0
@@ -61,3 +66,49 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
+
+
+def remove(folder: str) -> None:
+    """Delete a folder of the shared one, if it is there."""
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    if system.get_file_info(path).type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(path)
+
+
+def write(folder: str, name: str, raw: bytes) -> None:
+    """Write a file of the shared folder as a whole, whoever writes it and how often."""
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    own = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
+        out.write(raw)
+    system.move(own, f"{path}/{name}")
+
+
+@lru_cache(maxsize=64)
+def _listing(folder: str) -> frozenset[str]:
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    return frozenset(f.base_name for f in system.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)))
+
+
+@lru_cache(maxsize=4096)
+def mapped(folder: str, name: str) -> dict[str, np.ndarray] | None:
+    """A file of the shared folder, memory-mapped; None if there is none. From other stores than a mounted one it is
+    copied to the worker's own disk, where only the mapping keeps it."""
+    if name not in _listing(folder):
+        return None
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    if isinstance(system, pyarrow.fs.LocalFileSystem):
+        return elias_fano.load(f"{path}/{name}")
+    import tempfile
+
+    with tempfile.NamedTemporaryFile() as own:
+        with system.open_input_stream(f"{path}/{name}") as source:
+            while block := source.read(8_000_000):
+                own.write(block)
+        own.flush()
+        return elias_fano.load(own.name)

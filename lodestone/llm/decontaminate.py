@@ -1,60 +1,165 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, scanned by token windows and verified.
 
+Windows of items are known by 64-bit hashes, sorted in one array with the item and the place of each window's words;
+a bit table in front passes few other windows of documents on. A window of a document with an item's hash is a hit only
+if the words are the same. Items of up to MOST_BROADCAST_BYTES of text are broadcast; a larger table is cut into blocks
+of that size, which are written to the folder of spark.checkpoint.dir one after another and memory-mapped by the
+workers, which hold documents against one block after another.
+
 Rows: null or empty texts have no words and no hits; test items that are null or empty have no window; item ids
-that repeat count once. Repeated rows are judged each, other columns are carried along untouched, and an empty
-table of documents or of items gives an empty result or one without hits.
+that repeat count once. Repeated rows are judged each, other columns of whatever name are carried along untouched by
+clean() and not read by report(), and an empty table of documents or of items gives an empty result or one without hits.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table
+from . import elias_fano
+from .common import checkpoint_root, mapped, remove, ship, slices, table, uri, write
+from .words import bytes_of, edges, hashes, mix
 
 WINDOW = 10
-#: Bytes of item text in one broadcast set. A larger table is scanned for in blocks of items.
+#: Bytes of item text in one broadcast set, and in a block of a larger table.
 MOST_BROADCAST_BYTES = 16_000_000
 #: Keeps a-z, 0-9 and all bytes from 0x80, lowers A-Z, turns the rest into spaces.
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the table in front of the sorted hashes, for each of them.
+FRONT_BITS = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-def windows_of(items: list[tuple[object, str | None]]) -> dict[int, dict[tuple[bytes, ...], set[str]]]:
-    """Windows by their length, each with the ids of the items that hold it."""
-    found: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item_id, text in items:
-        words = words_of(text)
-        n = min(WINDOW, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            found[n][tuple(words[i : i + n])].add(str(item_id))
-    return {n: dict(sets) for n, sets in found.items()}
-
-
-def hits(words: list[bytes], windows: dict, known: set[bytes], starts: dict[int, set[bytes]]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged word spans that occurring windows cover, and their items. known: all words of windows."""
-    spans: list[tuple[int, int]] = []
-    items: set[str] = set()
-    places = [i for i, word in enumerate(words) if word in known]
-    for n, sets in windows.items():
-        first = starts[n]
-        for k in range(len(places) - n + 1):
-            i = places[k]
-            if places[k + n - 1] - i == n - 1 and words[i] in first:
-                found = sets.get(tuple(words[i : i + n]))
-                if found:
-                    items |= found
-                    spans.append((i, i + n))
-    return merge(spans), items
+class Words:
+    """The words of many texts: where they are, and their hashes. ends: the place after each text's last word."""
+
+    def __init__(self, texts: pa.Array):
+        raw, offsets = bytes_of(texts)
+        self.raw = raw.translate(_WORD_BYTES)
+        self.starts, self.stops = edges(self.raw, offsets)
+        self.ends = np.searchsorted(self.starts, offsets[1:], side="left")
+        self.hashes = hashes(self.raw, self.starts, self.stops)
+        self.offsets = offsets
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all windows of n words inside a text."""
+        count = len(self.hashes) - n + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        value = np.zeros(count, np.uint64)
+        for k in range(n):
+            value = value * _FACTOR + self.hashes[k : k + count]
+        sizes = np.diff(self.ends, prepend=0)
+        left = np.repeat(self.ends, sizes)[:count] - np.arange(count)
+        at = np.flatnonzero(left >= n)
+        return at, mix(value[at])
+
+    def text(self, at: int, n: int) -> bytes:
+        """The words of a window with one space between."""
+        cut = self.raw[self.starts[at] : self.stops[at + n - 1]]
+        return b" ".join(cut.split()) if b"  " in cut else cut
+
+
+def windows_of(items: list[tuple[object, str | None]]) -> dict[str, np.ndarray]:
+    """The set of the items' windows as named arrays: lengths, and for each length n the sorted hashes (hash_n), the item
+    (item_n) and the place (at_n) of each in the items' words, with the front table (front_n)."""
+    names = sorted({str(item_id) for item_id, text in items if words_of(text)})
+    number = {name: i for i, name in enumerate(names)}
+    items = [(number[str(item_id)], text) for item_id, text in items if words_of(text)]
+    words = Words(pa.array([text for _, text in items], pa.large_string()))
+    sizes = np.diff(words.ends, prepend=0)
+    owner = np.repeat(np.array([i for i, _ in items], np.int64), sizes)
+    raw_names = [name.encode() for name in names]
+    out = {
+        "raw": np.frombuffer(words.raw, np.uint8), "starts": words.starts, "stops": words.stops,
+        "names": np.frombuffer(b"".join(raw_names), np.uint8), "name_ends": np.cumsum([0, *map(len, raw_names)]),
+    }
+    lengths = sorted(set(np.minimum(sizes, WINDOW).tolist()))
+    for n in lengths:
+        at, value = words.windows(n)
+        if n < WINDOW:
+            # items of just so many words
+            whole = np.flatnonzero(sizes == n)
+            some = np.isin(at, (words.ends - sizes)[whole])
+            at, value = at[some], value[some]
+        order = np.lexsort((owner[at], value))
+        at, value = at[order], value[order]
+        bits = max(10, int(len(value) * FRONT_BITS - 1).bit_length())
+        front = np.zeros(1 << bits, bool)
+        front[(value & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+        out |= {f"hash_{n}": value, f"item_{n}": owner[at], f"at_{n}": at, f"front_{n}": np.packbits(front, bitorder="little")}
+    return out | {"lengths": np.array(lengths, np.int64)}
+
+
+class Set:
+    """A set of windows that documents are held against."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.arrays, self.raw = arrays, arrays["raw"]
+        ends = arrays["name_ends"].tolist()
+        names = arrays["names"].tobytes()
+        self.names = [names[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _text(self, at: int, n: int) -> bytes:
+        cut = self.raw[self.arrays["starts"][at] : self.arrays["stops"][at + n - 1]].tobytes()
+        return b" ".join(cut.split()) if b"  " in cut else cut
+
+    def hits(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
+        """Place and length of each window that occurs, with the items that have it."""
+        for n in self.arrays["lengths"].tolist():
+            at, value = words.windows(n)
+            front, known = self.arrays[f"front_{n}"], self.arrays[f"hash_{n}"]
+            low = (value & np.uint64(8 * len(front) - 1)).astype(np.int64)
+            some = np.flatnonzero(front[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+            at, value = at[some], value[some]
+            first, last = np.searchsorted(known, value, side="left"), np.searchsorted(known, value, side="right")
+            some = np.flatnonzero(first < last)
+            for i, a, b in zip(at[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+                own = words.text(i, n)
+                items = {int(self.arrays[f"item_{n}"][e]) for e in range(a, b) if self._text(int(self.arrays[f"at_{n}"][e]), n) == own}
+                if items:
+                    yield i, n, {self.names[x] for x in items}
+
+
+class Findings:
+    """Of many texts: their numbers of words, merged word spans that occurring windows cover, and their items."""
+
+    def __init__(self, texts: pa.Array, sets: list[Set]):
+        self.words = Words(texts)
+        found: dict[int, list[tuple[int, int]]] = {}
+        self.items: dict[int, set[str]] = {}
+        self.begins = self.words.ends - np.diff(self.words.ends, prepend=0)
+        for windows in sets:
+            for at, n, items in windows.hits(self.words):
+                row = int(np.searchsorted(self.words.ends, at, side="right"))
+                found.setdefault(row, []).append((at, at + n))
+                self.items.setdefault(row, set()).update(items)
+        self.spans = {row: merge(spans) for row, spans in found.items()}
+        self.n_words = np.diff(self.words.ends, prepend=0)
+        self.n_hit = np.zeros(len(texts), np.int64)
+        for row, spans in self.spans.items():
+            self.n_hit[row] = sum(b - a for a, b in spans)
+
+    def cut(self, row: int, text: str) -> str:
+        """The text without the bytes of each span of words; one space stands in for each span."""
+        raw, base = text.encode("utf-8", "surrogatepass"), int(self.words.offsets[row])
+        out, last = [], 0
+        for start, end in self.spans[row]:
+            out += [raw[last : int(self.words.starts[start]) - base], b" "]
+            last = int(self.words.stops[end - 1]) - base
+        return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -67,105 +172,64 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __decon_words (count), __decon_spans (merged word spans as start, end pairs) and __decon_items."""
-    spark = docs.sparkSession
-    ship(spark)
+def _sets(bench: DataFrame, most: int):
+    """What gives a worker its sets of windows: a broadcast, or files of the shared folder."""
+    spark = bench.sparkSession
     items = bench.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // MOST_BROADCAST_BYTES))
-    out = docs.withColumns(
-        {
-            "__decon_words": F.lit(0).cast("bigint"),
-            "__decon_spans": F.array().cast("array<int>"),
-            "__decon_items": F.array().cast("array<string>"),
-        }
-    )
+    blocks = max(1, -(-int(total) // most))
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast(windows_of([tuple(row) for row in items.collect()]))
+        return lambda: [Set(shared.value)]
+    folder = uri(f"{checkpoint_root(spark).rstrip('/')}/windows-{uuid.uuid4().hex}")
+    atexit.register(remove, folder)
     for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        windows = windows_of([tuple(row) for row in part.collect()])
-        shared = spark.sparkContext.broadcast(windows)
-        out = out.mapInArrow(_scanner(shared, text), T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema]))
-    return out
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        write(folder, str(block), elias_fano.dump(windows_of([tuple(row) for row in part.collect()])))
+    return lambda: [Set(mapped(folder, str(block))) for block in range(blocks)]
 
 
-def _scanner(shared, text: str):
+def report(docs: DataFrame, bench: DataFrame, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    ship(docs.sparkSession)
+    sets = _sets(bench, most)
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    none = hashlib.sha256(b"").hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
-        known = {word for sets in windows.values() for window in sets for word in window}
-        starts = {n: {window[0] for window in sets} for n, sets in windows.items()}
+        own = sets()
         for batch in batches:
-            counts, spans, items = [], [], []
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for value, had, held in zip(columns[text], columns["__decon_spans"], columns["__decon_items"], strict=True):
-                words = words_of(value.as_py())
-                found, ids = hits(words, windows, known, starts)
-                if len(had):
-                    had = had.as_py()
-                    found = merge(found + list(zip(had[::2], had[1::2], strict=True)))
-                counts.append(len(words))
-                spans.append([x for span in found for x in span])
-                items.append(sorted(ids.union(held.as_py()) if len(held) else ids))
-            columns["__decon_words"] = pa.array(counts, pa.int64())
-            columns["__decon_spans"] = pa.array(spans, pa.list_(pa.int32()))
-            columns["__decon_items"] = pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=batch.schema.names)
-
-    return run
-
-
-def _hit_count(spans) -> F.Column:
-    total = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("int"), lambda a, x: a + x)
-    return total.cast("bigint")
-
-
-def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    scanned = scan(docs.select("doc_id", "text"), bench)
-    n_hit = _hit_count(F.col("__decon_spans"))
-    return scanned.select(
-        "doc_id",
-        F.col("__decon_words").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size("__decon_items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("__decon_items"), ",").cast("binary"), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
-    )
-
-
-def clean(docs: DataFrame, bench: DataFrame, most_hit: float = 0.5) -> DataFrame:
+            for piece in slices(batch, "text"):
+                found = Findings(piece.column(1), own)
+                items = [found.items.get(row, ()) for row in range(piece.num_rows)]
+                digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else none for x in items]
+                columns = [found.n_words, found.n_hit, np.fromiter(map(len, items), np.int64, len(items)), digests, found.n_hit > 0]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, columns)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+
+def clean(docs: DataFrame, bench: DataFrame, most_hit: float = 0.5, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
     """docs without their contaminated words: documents hit in more than most_hit of their words go, in others
     the text from a hit span's first word to its last is cut out. Columns stay as they are."""
-    names = docs.columns
-    kept = scan(docs, bench).where(_hit_count(F.col("__decon_spans")) <= most_hit * F.col("__decon_words"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept.schema if f.name in names])
-    return kept.mapInArrow(_cutter("text", names), schema)
-
-
-def cut_spans(text: str, spans: list[int]) -> str:
-    """text without the bytes of each span of words; one space stands in for each span."""
-    raw = text.encode("utf-8", "surrogatepass")
-    plain = raw.translate(_WORD_BYTES)
-    bounds, at = [], 0
-    for word in plain.split():
-        at = plain.index(word, at)
-        bounds.append((at, at + len(word)))
-        at += len(word)
-    out, last = [], 0
-    for start, end in zip(spans[::2], spans[1::2], strict=True):
-        out += [raw[last : bounds[start][0]], b" "]
-        last = bounds[end - 1][1]
-    return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
-
-
-def _cutter(text: str, names: list[str]):
+    ship(docs.sparkSession)
+    sets, at = _sets(bench, most), docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sets()
         for batch in batches:
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            texts = [cut_spans(t.as_py(), s.as_py()) if len(s) else t.as_py() for t, s in zip(columns[text], columns["__decon_spans"], strict=True)]
-            columns[text] = pa.array(texts, columns[text].type)
-            yield pa.RecordBatch.from_arrays([columns[name] for name in names], names=names)
-
-    return run
+            for piece in slices(batch, at):
+                found = Findings(piece.column(at), own)
+                if found.spans:
+                    texts = piece.column(at).to_pylist()
+                    for row in found.spans:
+                        texts[row] = found.cut(row, texts[row])
+                    columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(piece.columns)]
+                    piece = pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+                    piece = piece.filter(pa.array(found.n_hit <= most_hit * found.n_words))
+                yield piece
+
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -21,20 +21,18 @@ counted and scored each; other columns are not read; without training rows every
 from __future__ import annotations
 
 import atexit
-import os
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import ASCII_LOWER, checkpoint_root, id_bucket, ship, slices, table
+from .common import ASCII_LOWER, checkpoint_root, id_bucket, mapped, remove, ship, slices, table, uri, write
 from .elias_fano import EliasFano
+from .words import bytes_of, edges, hashes, mix
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
@@ -53,18 +51,10 @@ MOST_WORD_PARTS = 4_096
 #: Up to so many successors are compared one after another.
 FEW = 3
 
-#: Bytes of a word that are hashed eight at a time; longer ones go through xxhash.
-LONG_WORD = 64
-_ODD = np.random.default_rng(5).integers(0, 2**63, LONG_WORD // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Masks of the first n bytes of a 64-bit number.
-_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 62-bit hash of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return ((x ^ (x >> np.uint64(33))) >> np.uint64(2)).astype(np.int64)
+    return (mix(x) >> np.uint64(2)).astype(np.int64)
 
 
 END = int(_mix(np.array([1], np.uint64))[0])
@@ -72,51 +62,23 @@ END = int(_mix(np.array([1], np.uint64))[0])
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end included, and the place after each text's last token."""
-    texts = texts.fill_null("") if texts.null_count else texts
-    offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw = texts.buffers()[2]
-    hashes, ends, before, start = [], [], 0, 0
+    raw, offsets = bytes_of(texts)
+    found, ends, before, start = [], [], 0, 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK)))
-        stop = min(stop, len(texts))
-        cut = b"" if raw is None else raw.slice(int(offsets[start]), int(offsets[stop] - offsets[start])).to_pybytes()
-        own, own_ends = _tokens(cut.translate(ASCII_LOWER), offsets[start : stop + 1] - offsets[start])
-        hashes.append(own)
+        stop = min(len(texts), max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK))))
+        own, own_ends = _tokens(raw[offsets[start] : offsets[stop]].translate(ASCII_LOWER), offsets[start : stop + 1] - offsets[start])
+        found.append(own)
         ends.append(own_ends + before)
         before += len(own)
         start = stop
-    return (np.concatenate(hashes), np.concatenate(ends)) if hashes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return (np.concatenate(found), np.concatenate(ends)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _tokens(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of lower-cased texts one after another."""
-    data = np.frombuffer(raw + b"\n" * 8, np.uint8)
-    space = data[: len(raw)] == 32
-    space |= data[: len(raw)] - np.uint8(9) < 5
-    before = np.ones(len(raw) + 1, bool)
-    before[1:] = space
-    before[offsets] = True
-    after = np.ones(len(raw) + 1, bool)
-    after[:-1] = space
-    after[offsets] = True
-    word = ~space
-    starts, ends = np.flatnonzero(word & before[:-1]), np.flatnonzero(word & after[1:]) + 1
+    starts, ends = edges(raw, offsets)
     words_before = np.searchsorted(starts, offsets[1:], side="left")
-    sizes = ends - starts
-    eights = np.ndarray((len(data) - 7,), np.dtype("<u8"), data, 0, (1,))
-    hashes = (eights[starts] & _FIRST[np.minimum(sizes, 8)]) * _ODD[0] + sizes.astype(np.uint64)
-    more = np.flatnonzero(sizes > 8)
-    for k in range(1, LONG_WORD // 8):
-        if not len(more):
-            break
-        hashes[more] = (hashes[more] ^ hashes[more] >> np.uint64(29)) * _ODD[k] + (eights[starts[more] + 8 * k] & _FIRST[np.minimum(sizes[more] - 8 * k, 8)])
-        more = more[sizes[more] > 8 * (k + 1)]
-    hashes = _mix(hashes)
-    if len(more):
-        import xxhash
-
-        hashes[more] = [xxhash.xxh3_64_intdigest(raw[a:b]) >> 2 for a, b in zip(starts[more], ends[more], strict=True)]
-    return np.insert(hashes, words_before, END), words_before + np.arange(1, len(offsets))
+    return np.insert((hashes(raw, starts, ends) >> np.uint64(2)).astype(np.int64), words_before, END), words_before + np.arange(1, len(offsets))
 
 
 def _spans(texts: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,44 +187,6 @@ def _each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield last, held
 
 
-# files
-
-
-def write(folder: str, name: str, raw: bytes) -> None:
-    """Write a file of the shared folder as a whole, whoever writes it and how often."""
-    system, path = pyarrow.fs.FileSystem.from_uri(folder)
-    system.create_dir(path, recursive=True)
-    own = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as out:
-        out.write(raw)
-    system.move(own, f"{path}/{name}")
-
-
-@lru_cache(maxsize=64)
-def _listing(folder: str) -> frozenset[str]:
-    system, path = pyarrow.fs.FileSystem.from_uri(folder)
-    return frozenset(f.base_name for f in system.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)))
-
-
-@lru_cache(maxsize=4096)
-def mapped(folder: str, name: str) -> dict[str, np.ndarray] | None:
-    """A file of the shared folder, memory-mapped; None if there is none. From other stores than a mounted one it is
-    copied to the worker's own disk, where only the mapping keeps it."""
-    if name not in _listing(folder):
-        return None
-    system, path = pyarrow.fs.FileSystem.from_uri(folder)
-    if isinstance(system, pyarrow.fs.LocalFileSystem):
-        return elias_fano.load(f"{path}/{name}")
-    import tempfile
-
-    with tempfile.NamedTemporaryFile() as own:
-        with system.open_input_stream(f"{path}/{name}") as source:
-            while block := source.read(8_000_000):
-                own.write(block)
-        own.flush()
-        return elias_fano.load(own.name)
-
-
 def _exact(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Counts in a byte each, those of 255 and more beside."""
     large = np.flatnonzero(counts >= 255)
@@ -471,7 +395,7 @@ class Model:
 
     def remove(self) -> None:
         """Delete the trie's files."""
-        _remove(self.folder)
+        remove(self.folder)
 
     def _part(self, part: int) -> Part | None:
         if part not in self.parts:
@@ -492,8 +416,8 @@ class Model:
     def scores(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens known, base score and score."""
         shape = self.shape
-        hashes, word = coded(flat)
-        numbers = self.words.numbers(hashes)
+        names, word = coded(flat)
+        numbers = self.words.numbers(names)
         counts, left, frequent = self.words.counts(numbers), self.words.left(numbers), shape.place(numbers)
         chance = (counts + 1) / (shape.total + shape.distinct + 1)
         starts = np.concatenate([[0], ends[:-1]])
@@ -536,16 +460,6 @@ class Model:
         return known, base, np.add.reduceat(np.log10(p), starts)
 
 
-def _remove(folder: str) -> None:
-    system, path = pyarrow.fs.FileSystem.from_uri(folder)
-    if system.get_file_info(path).type == pyarrow.fs.FileType.Directory:
-        system.delete_dir(path)
-
-
-def _uri(folder: str) -> str:
-    return folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
-
-
 def _word_parts(spark: SparkSession) -> int:
     return min(MOST_WORD_PARTS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -588,9 +502,9 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     spark = docs.sparkSession
     ship(spark)
     word_parts, kept = _word_parts(spark), folder is not None
-    folder = _uri(folder if kept else f"{checkpoint_root(spark).rstrip('/')}/ngram-{uuid.uuid4().hex}")
+    folder = uri(folder if kept else f"{checkpoint_root(spark).rstrip('/')}/ngram-{uuid.uuid4().hex}")
     if not kept:
-        atexit.register(_remove, folder)
+        atexit.register(remove, folder)
     texts = docs.select("text")
 
     def words(batches):
@@ -653,8 +567,8 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
                 at += len(own)
             held.clear()
             for start in range(0, len(flat) - 1, MOST_ROWS):
-                hashes, word = coded(flat[start : start + MOST_ROWS + 2])
-                numbers = level.numbers(hashes)
+                names, word = coded(flat[start : start + MOST_ROWS + 2])
+                numbers = level.numbers(names)
                 order = np.argsort(numbers)
                 numbers, back = numbers[order], np.empty(len(order), np.int64)
                 back[order] = np.arange(len(order))

@@ -195,6 +195,28 @@ def test_decontamination(spark, docs):
     assert decontaminate.report(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{int(min(rng.zipf(1.5), 30))}"
+    bench = [(i % 40, " ".join(word() for _ in range(rng.integers(1, 16)))) for i in range(60)]
+    texts = [None, "", *(rng.choice([" ", ", ", "\n"]).join(word() for _ in range(rng.integers(1, 60))) for _ in range(120)), *(f"x, {t}! y" for _, t in bench[:9])]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(decontaminate.brute(list(enumerate(texts)), bench))
+    assert sum(r[-1] for r in want) > 20
+    for most in (16_000_000, 700):
+        assert {tuple(r) for r in decontaminate.report(docs, items, most).collect()} == want
+    clash = docs.selectExpr("text __decon_words", "doc_id", "text", "doc_id __decon_spans", "text n_hit")
+    out = decontaminate.clean(clash, items, most=700)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert out.columns == clash.columns and len(rows) == out.count()
+    for doc_id, n_words, n_hit, *_ in want:
+        assert (doc_id in rows) == (n_hit <= 0.5 * n_words)
+        if doc_id in rows:
+            assert rows[doc_id].n_hit == texts[doc_id] and rows[doc_id]["__decon_spans"] == doc_id
+            assert len(decontaminate.words_of(rows[doc_id].text)) == n_words - n_hit
+
+
 def test_token_counts(docs):
     import public_tokenizers
 
@@ -207,6 +229,35 @@ def test_token_counts(docs):
         assert counter.count(text) == want and plain.count(text) == want
 
 
+def test_token_counts_with_special_strings(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    end = "<|endoftext|>"
+    texts = [
+        None, "", f"some words here {end} more. " * 3000, f"some words here!{end} more. " * 3000, f"word{end}word" * 5000, end * 6000, f"\n\n {end}\n" * 5000,
+        "x" * 65_530 + end + " after the edge", "ab " * 21_842 + f" {end}!!", "<|endof" * 12_000, f"日本 {end}語 " * 6000, f"12{end}345 !?{end}?! " * 4000,
+    ]
+    encoder = token_counts.library(path)
+    want = [len(encoder.encode(t, add_special_tokens=False)) if t else 0 for t in texts]
+    docs = spark.createDataFrame([*enumerate(texts), (2, texts[2])], "doc_id long, text string").withColumn("n_tokens", pii.F.lit("x"))
+    out = token_counts.count_tokens(docs, path, ranks).collect()
+    assert len(out) == len(texts) + 1
+    for row in out:
+        assert (row.n_bytes, row.n_tokens, row.over_limit) == (len((texts[row.doc_id] or "").encode()), want[row.doc_id], want[row.doc_id] > 512)
+    assert token_counts.count_tokens(empty(spark), path, ranks).count() == 0
+    rng = np.random.default_rng(6)
+    parts = [" ", "a", "word", "!", "<|", "|>", end, "\n", "12", "é", "'s", "  "]
+    for chunk in (40, 90):
+        counter = token_counts.Counter(path, ranks, chunk=chunk, overlap=20, huge=50)
+        plain = token_counts.Counter(path, chunk=chunk, overlap=20, huge=50)
+        for _ in range(150):
+            text = "".join(rng.choice(parts, 120))
+            n = len(encoder.encode(text, add_special_tokens=False))
+            assert counter.count(text) == n and plain.count(text) == n
+
+
 def test_language_id(spark, docs):
     profiles = language_id.learn(docs)
     grams = Counter(g for t in TEXTS[1::2] for w in language_id.letter_words(t) for g in language_id.grams_of(w))
