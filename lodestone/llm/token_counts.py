@@ -4,6 +4,8 @@ A huge text is encoded in overlapping chunks. Encoders of this kind first split
 that reads left to right and looks one character ahead, and then work inside each piece. So if two chunks both
 start a piece at the same character, with that character well before the left chunk's end, all that follows is
 the same in both: the splice is proven there. Where no such character exists in the overlap, it is widened.
+Special strings are found first and the pattern reads what lies between them, as the library does; a special string
+that a chunk's edge cuts is no piece of both chunks, so no splice lies in it.
 
 Rows: null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each; other columns are not
 read; an empty table gives an empty result.
@@ -47,6 +49,13 @@ def ranks_encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def _pattern(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
 class Counter:
     """Counts tokens of whole texts as the tokenizer file gives them.
 
@@ -57,7 +66,11 @@ class Counter:
         self.encoder = library(path)
         self.ranks = ranks_encoder(*ranks) if ranks else None
         self.specials = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        # of two special strings that start at the same place, the longer one
+        either = "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))
+        self.special = re.compile(either) if self.specials else None
+        self.special_kept = re.compile(f"({either})")
+        self.pattern = _pattern(ranks[1]) if ranks else None
         self.chunk, self.overlap, self.huge = chunk, overlap, huge
         self.margin = MARGIN + 2 * max([0, *map(len, self.specials)])
 
@@ -87,14 +100,18 @@ class Counter:
         return starts, before
 
     def _pieces_by_ranks(self, text: str) -> tuple[list[int], list[int]]:
-        from itertools import accumulate
-
-        import regex
-
-        pattern = regex.compile(f"(?:{'|'.join(map(regex.escape, self.specials))})|{self.ranks._pat_str}" if self.specials else self.ranks._pat_str)
-        parts = pattern.findall(text)
-        sizes = [1 if part in self.specials else len(self.ranks.encode_ordinary(part)) for part in parts]
-        return [0, *accumulate(map(len, parts))][:-1], [0, *accumulate(sizes)][:-1]
+        starts, before, at, count = [], [], 0, 0
+        for part in self.special_kept.split(text) if self.special else [text]:
+            if part in self.specials:
+                starts.append(at)
+                before.append(count)
+                at, count = at + len(part), count + 1
+                continue
+            for piece in self.pattern.findall(part):
+                starts.append(at)
+                before.append(count)
+                at, count = at + len(piece), count + len(self.ranks.encode_ordinary(piece))
+        return starts, before
 
     def _spliced(self, text: str, pieces) -> int:
         total, start, skipped = 0, 0, 0
