@@ -169,7 +169,8 @@ def _parcels(parts: np.ndarray, make) -> pa.RecordBatch:
 
 
 def _dealt(parcels: DataFrame, parts: int) -> DataFrame:
-    return parcels.repartition(parts, "part").sortWithinPartitions("part")
+    """A task for each part."""
+    return parcels.repartitionById(parts, "part").sortWithinPartitions("part")
 
 
 def _each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict[str, np.ndarray]]]]:
