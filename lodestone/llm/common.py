@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -41,6 +42,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Write a frame as Parquet to the shared checkpoint folder and read it again; the files go when the driver ends."""
+    spark = frame.sparkSession
+    folder = uri(f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
+    frame.write.option("compression", "zstd").parquet(folder)
+    atexit.register(remove, folder)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
 def id_bucket(doc_id: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -2,15 +2,19 @@
 
 Two naive-Bayes classifiers look at a document: one at its text (hashed words and word shapes), one at its
 metadata (source, lang, length class). They start from a bounded sample of labelled rows. In each round both judge
-every document, and a document on which one is confident becomes a pseudo-labelled row of the other. The counts
-that a classifier consists of are sums over documents, so rounds run over the whole corpus without moving a text.
-At the end each view's margin is calibrated on the labelled rows and the log odds are added up.
-
-Two targets are learned this way: good quality and toxic content. A document is kept if it is more likely good than
-not, and not more likely toxic than the threshold that sets the labelled rows best apart.
-
-Rows: null texts count as empty, null metadata as a value of its own. Repeated rows are judged each; other columns
-are not read; without labels of both kinds a target's probability is that of its labels (0.5 without any).
+every other document, and a document on which one is confident becomes a pseudo-labelled row of the other. The counts
+that a classifier consists of are sums over documents, so rounds run over the whole corpus without moving a text:
+features are written once, as numbers, to the folder of spark.checkpoint.dir and read again in each round.
+Each view's margin is calibrated on labelled rows by classifiers that did not learn from them, and a logistic curve
+over both views' log odds combines them.
+
+A view's margin is a signed power mean of its features' log odds, so a few strong features outweigh many weak ones in
+texts of all lengths alike. Two targets are learned: good quality and toxic content. A document is kept if it is more
+likely good, and not more likely toxic, than the thresholds that set the labelled rows best apart.
+
+Rows: null texts count as empty, null metadata as a value of its own. Repeated rows are judged each; of rows that
+share a labelled id one is learned from, of labels that share one the lower quality and the higher toxicity. Other
+columns are not read; without labels of both kinds a target's probability is that of its labels (0.5 without any).
 """
 
 from __future__ import annotations
@@ -18,22 +22,25 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import gbm
-from .common import cut, ship, slices, split_words, table
+from . import gbm, words
+from .common import ship, slices, table, written
 
 TARGETS = ("quality", "toxic")
 TEXT_SIZE, META_SIZE = 1 << 18, 1 << 10
 #: Documents that a feature must have to count, and how many halve its weight.
-LEAST, HALF = 5, 10
+LEAST, HALF = 2, 5
+#: Order of the power mean.
+POWER = 4
 #: Labelled rows that are learned from at most, rounds, and the probabilities from which a view is confident.
 MOST_LABELLED, ROUNDS, SURE = 20_000, 2, 0.95
+#: Parts of the labelled rows, each of which is judged by what the others teach.
+FOLDS = 4
 #: Words whose feature numbers a worker remembers.
 MOST_KNOWN = 300_000
 _TRIM = b".,;:!?\"'()[]"
@@ -53,13 +60,22 @@ class Known(dict):
         return ids
 
 
-def text_features(text: str | None, known: Known) -> np.ndarray:
-    """Distinct feature numbers of a text's words."""
-    out = set(chain.from_iterable(map(known.__getitem__, set(split_words(text)))))
-    lines = [line for line in (text or "").split("\n") if line.strip()]
-    repeated = len(lines) - len(set(lines))
-    out.add(zlib.crc32(b"d%d" % min(8, 10 * repeated // max(1, len(lines)))) % TEXT_SIZE)
-    return np.fromiter(out, np.int64, len(out))
+def text_features(texts: pa.Array, known: Known) -> pa.ListArray:
+    """Distinct feature numbers of each text's words, in order."""
+    raw, offsets = words.bytes_of(texts)
+    starts, ends = words.edges(raw, offsets)
+    _, first, place = np.unique(words.hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    found = [known[raw[a:b]] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    ids = np.array(found, np.int64).reshape(-1, 2)[place]
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    # the last text that starts at a place is the one that the word is in
+    lines = [[line for line in raw[a:b].split(b"\n") if line.strip()] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    repeated = [min(8, 10 * (len(x) - len(set(x))) // max(1, len(x))) for x in lines]
+    own = np.array([zlib.crc32(b"d%d" % n) % TEXT_SIZE for n in repeated], np.int64)
+    keys = np.sort(np.concatenate([(row << 32) + ids[:, 0], (row << 32) + ids[:, 1], (np.arange(len(own)) << 32) + own]))
+    keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+    sizes = np.bincount(keys >> 32, minlength=len(own))
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array((keys & 0xFFFFFFFF).astype(np.int32)))
 
 
 def meta_features(source: str | None, lang: str | None, chars: int | None) -> list[int]:
@@ -67,195 +83,245 @@ def meta_features(source: str | None, lang: str | None, chars: int | None) -> li
     return [zlib.crc32(v.encode("utf-8", "surrogatepass")) % META_SIZE for v in values]
 
 
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id with the feature numbers of both views, text and meta."""
+    ship(docs.sparkSession)
+    kinds = {"doc_id": "bigint", "text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
+    docs = docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                meta = [meta_features(*row) for row in zip(*(piece.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), text_features(piece.column(1), known), pa.array(meta, pa.list_(pa.int32()))], names=["doc_id", "text", "meta"])
+
+    return docs.mapInArrow(run, "doc_id bigint, text array<int>, meta array<int>")
+
+
+class Lists:
+    """Lists of feature numbers as one array; no list is empty."""
+
+    def __init__(self, column: pa.ListArray):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        offsets = np.asarray(column.offsets, np.int64)
+        self.flat = np.asarray(column.values)[offsets[0] : offsets[-1]]
+        self.starts, self.sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+
+    def counts(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Lists with each feature among these rows (a mask), and their number as the last entry."""
+        return np.append(np.bincount(self.flat[np.repeat(rows, self.sizes)], minlength=size), rows.sum())
+
+
 class View:
     """Documents per class that have a feature, and the log odds that follow. Counts: (targets, classes, size + 1);
     the last number is that of all documents."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
         documents = counts[:, :, -1:]
         share = (counts[:, :, :-1] + 0.5) / (documents + 1)
-        self.odds = np.log(share[:, 1]) - np.log(share[:, 0])
+        odds = np.log(share[:, 1]) - np.log(share[:, 0])
         # a feature of few documents says little
         seen = counts[:, :, :-1].sum(axis=1)
-        self.odds *= np.where(seen < LEAST, 0, seen / (seen + HALF))
-        self.odds = np.ascontiguousarray(self.odds.T)
-        self.prior = np.log(documents[:, 1, 0] + 1) - np.log(documents[:, 0, 0] + 1)
-
-    def margin(self, features: np.ndarray) -> np.ndarray:
-        """Log odds per target: the strongest features speak, so that long texts aren't surer by length alone."""
-        odds = self.odds[features]
-        top = 12
-        if len(odds) > 2 * top:
-            odds = np.partition(odds, (top, len(odds) - top), axis=0)
-            odds = np.concatenate([odds[:top], odds[-top:]])
-        return odds.sum(axis=0) + self.prior
-
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[list[int]]]]:
-    known = Known()
-    for batch in batches:
-        for piece in slices(batch, "text"):
-            text = [text_features(t, known) for t in piece.column("text").to_pylist()]
-            meta = [meta_features(*row) for row in zip(*(piece.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
-            yield piece, text, meta
-
-
-def _columns(docs: DataFrame) -> DataFrame:
-    kinds = {"doc_id": "bigint", "text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
-    return docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+        odds *= np.where(seen < LEAST, 0, seen / (seen + HALF))
+        self.weight = (np.sign(odds) * np.abs(odds) ** POWER).astype(np.float32)
+
+    def margins(self, lists: Lists) -> np.ndarray:
+        """(rows, targets)."""
+        if not len(lists.starts):
+            return np.zeros((0, len(TARGETS)))
+        sums = np.stack([np.add.reduceat(weight[lists.flat].astype(float), lists.starts) for weight in self.weight], axis=1)
+        sums /= np.sqrt(lists.sizes)[:, None]
+        return np.sign(sums) * np.abs(sums) ** (1 / POWER)
+
+
+class Labelled:
+    """The labelled rows that are learned from, on the driver: at most as many as the sample."""
+
+    def __init__(self, rows: pa.Table):
+        self.lists = [Lists(rows.column(c)) for c in ("text", "meta")]
+        self.ids = np.asarray(rows.column("labelled_id"), np.int64)
+        self.fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in self.ids], np.int64)
+        # -1 for a label that is neither 0 nor 1
+        self.said = np.stack([np.asarray(rows.column(t).fill_null(-1), np.int64) for t in TARGETS]) if len(rows) else np.zeros((2, 0), np.int64)
+
+    def counts(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Of both views, over these rows (a mask)."""
+        sizes = (TEXT_SIZE, META_SIZE)
+        return [np.array([[lists.counts(rows & (said == kind), size) for kind in (0, 1)] for said in self.said], float) for lists, size in zip(self.lists, sizes, strict=True)]
+
+    def learned(self, taught: list[np.ndarray]) -> tuple[tuple[View, View], np.ndarray]:
+        """The views that follow from all rows and pseudo-labels, and the margins of each row (views, rows, targets) by
+        views that follow from the other folds and pseudo-labels."""
+        every = np.ones(len(self.ids), bool)
+        whole = self.counts(every)
+        margins = np.zeros((2, len(self.ids), len(TARGETS)))
+        for fold in range(FOLDS):
+            rows = self.fold == fold
+            if rows.any():
+                own = self.counts(rows)
+                for view in (0, 1):
+                    rest = whole[view] - own[view]
+                    margins[view, rows] = View(rest + _weighted(rest, taught[view])).margins(self.lists[view])[rows]
+        return tuple(View(own + _weighted(own, more)) for own, more in zip(whole, taught, strict=True)), margins
+
+    def scales(self, margins: np.ndarray) -> np.ndarray:
+        """(views, targets, slope and intercept)."""
+        out = np.zeros((2, len(TARGETS), 2))
+        for target, said in enumerate(self.said):
+            some = said >= 0
+            for view in (0, 1):
+                out[view, target] = gbm.calibrate(margins[view, some, target], said[some])
+                if some.any() and (said[some] == said[some][0]).all():
+                    # labels of one kind: their share is all that is known
+                    out[view, target] = 0, np.log((said[some].sum() + 1) / ((1 - said[some]).sum() + 1))
+        return out
+
+    def mixture(self, odds: np.ndarray) -> np.ndarray:
+        """(targets, a weight for each view and an intercept) that combine the views' log odds."""
+        out = np.zeros((len(TARGETS), 3))
+        for target, said in enumerate(self.said):
+            some = said >= 0
+            out[target] = gbm.logistic(odds[:, some, target].T, said[some])
+            if some.any() and (said[some] == said[some][0]).all():
+                # both views give the labels' share
+                out[target] = 0.5, 0.5, 0
+        return out
+
+    def limits(self, p: np.ndarray) -> list[float]:
+        """Per target the threshold with the fewest errors on the labelled rows."""
+        out = []
+        for target, said in enumerate(self.said):
+            some = said >= 0
+            label = said[some].astype(float)
+            if not some.any() or label.min() == label.max():
+                out.append(0.5)
+                continue
+            order = np.argsort(p[some, target], kind="stable")
+            ranked, label = p[some, target][order], label[order]
+            missed, alarms = np.cumsum(label), (1 - label).sum() - np.cumsum(1 - label)
+            best = int(np.argmin(missed + alarms))
+            out.append(float((ranked[best] + ranked[min(best + 1, len(ranked) - 1)]) / 2))
+        return out
 
 
-def _sum(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts of both views from (view, target, class, feature, n); as many rows as the views have features."""
-    text, meta = np.zeros((2, 2, TEXT_SIZE + 1)), np.zeros((2, 2, META_SIZE + 1))
-    sums = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
-    summed = rows.groupBy("view", "target", "feature").agg(*sums).where(f"n0 + n1 >= {LEAST} or feature in ({TEXT_SIZE}, {META_SIZE})")
-    found = summed.toArrow()
-    view, target, feature = (np.asarray(found.column(c)) for c in ("view", "target", "feature"))
-    for number, counts in enumerate((text, meta)):
-        own = view == number
-        for kind in (0, 1):
-            counts[target[own], kind, feature[own]] = np.asarray(found.column(f"n{kind}"))[own]
-    return text, meta
+def _weighted(own: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Pseudo-labels of a class count no more than the labelled rows of it do."""
+    return more * np.minimum(1, own[:, :, -1:] / np.maximum(more[:, :, -1:], 1))
 
 
 _COUNTS = "view int, target int, class int, feature int, n bigint"
 
 
-def _rows(text: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
+def _rows(counts: list[np.ndarray]) -> pa.RecordBatch:
     parts = []
-    for view, counts in enumerate((text, meta)):
-        target, kind, feature = np.nonzero(counts)
-        parts.append(np.stack([np.full(len(target), view), target, kind, feature, counts[target, kind, feature]]))
+    for view, own in enumerate(counts):
+        target, kind, feature = np.nonzero(own)
+        parts.append(np.stack([np.full(len(target), view), target, kind, feature, own[target, kind, feature]]))
     whole = np.concatenate(parts, axis=1).astype(np.int64)
     return pa.RecordBatch.from_arrays([*(pa.array(whole[i], pa.int32()) for i in range(4)), pa.array(whole[4])], names=["view", "target", "class", "feature", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int = MOST_LABELLED) -> dict:
-    spark = docs.sparkSession
-    ship(spark)
-    docs = _columns(docs)
-    some = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled_id"), *(F.col(t).cast("int").alias(t) for t in TARGETS))
-    some = some.orderBy(F.xxhash64("labelled_id"), "labelled_id", *TARGETS).limit(most)
-    # these few rows are read again and again
-    labelled = cut(docs.join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")))
-
-    def known(batches):
-        text, meta = np.zeros((2, 2, TEXT_SIZE + 1), np.int64), np.zeros((2, 2, META_SIZE + 1), np.int64)
-        for piece, texts, metas in _each(batches):
-            said = [piece.column(t).to_pylist() for t in TARGETS]
-            for i, (own, other) in enumerate(zip(texts, metas, strict=True)):
-                for target in (0, 1):
-                    if said[target][i] in (0, 1):
-                        for counts, features in ((text, own), (meta, other)):
-                            counts[target, said[target][i], features] += 1
-                            counts[target, said[target][i], -1] += 1
-        yield _rows(text, meta)
-
-    first = _sum(labelled.select(*docs.columns, *TARGETS).mapInArrow(known, _COUNTS))
-    views = tuple(View(c) for c in first)
-    scales = _scales(labelled, views)
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((views, scales))
-
-        def teach(batches, shared=shared):
-            views, scales = shared.value
-            text, meta = np.zeros((2, 2, TEXT_SIZE + 1), np.int64), np.zeros((2, 2, META_SIZE + 1), np.int64)
-            for _, texts, metas in _each(batches):
-                for own, other in zip(texts, metas, strict=True):
-                    p = _probabilities(views, scales, own, other)
-                    for target in (0, 1):
-                        # each view's confident label goes to the other
-                        for view, counts, features in ((1, text, own), (0, meta, other)):
-                            if max(p[view][target], 1 - p[view][target]) >= SURE:
-                                kind = int(p[view][target] >= 0.5)
-                                counts[target, kind, features] += 1
-                                counts[target, kind, -1] += 1
-            yield _rows(text, meta)
-
-        taught = _sum(docs.mapInArrow(teach, _COUNTS))
-        # pseudo-labels of a class count no more than the labelled rows of it do
-        views = tuple(View(own + _weighted(own, more)) for own, more in zip(first, taught, strict=True))
-        scales = _scales(labelled, views)
-    return {"views": views, "scales": scales, "limits": _limits(labelled, views, scales)}
-
-
-def _weighted(own: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return more * np.minimum(1, own[:, :, -1:] / np.maximum(more[:, :, -1:], 1))
-
+def _none() -> list[np.ndarray]:
+    return [np.zeros((len(TARGETS), 2, size + 1)) for size in (TEXT_SIZE, META_SIZE)]
 
-def _margins(labelled: DataFrame, views: tuple[View, View]) -> list:
-    shared = labelled.sparkSession.sparkContext.broadcast(views)
 
-    def run(batches):
-        text, meta = shared.value
-        for piece, texts, metas in _each(batches):
-            values = [np.concatenate([text.margin(a), meta.margin(np.array(b))]) for a, b in zip(texts, metas, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), *(piece.column(t) for t in TARGETS)], names=["margins", *TARGETS])
+def _sum(rows: DataFrame) -> list[np.ndarray]:
+    """Feature counts of both views; the driver gets as many rows as the views have features, times four."""
+    out = _none()
+    found = rows.groupBy("view", "target", "class", "feature").agg(F.sum("n").alias("n")).toArrow()
+    view, target, kind, feature, n = (np.asarray(found.column(c)) for c in ("view", "target", "class", "feature", "n"))
+    for number, counts in enumerate(out):
+        own = view == number
+        counts[target[own], kind[own], feature[own]] = n[own]
+    return out
 
-    columns = ["doc_id", "text", "source", "lang", "n_chars"]
-    return labelled.select(*columns, *TARGETS).mapInArrow(run, "margins array<double>, quality int, toxic int").orderBy("margins", *TARGETS).collect()
 
+def _odds(margins: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Calibrated log odds of each view (views, rows, targets)."""
+    return np.clip(scales[:, None, :, 0] * margins + scales[:, None, :, 1], -30, 30)
 
-def _scales(labelled: DataFrame, views: tuple[View, View]) -> np.ndarray:
-    """(view, target, slope and intercept)."""
-    rows, out = _margins(labelled, views), np.zeros((2, 2, 2))
-    for target, name in enumerate(TARGETS):
-        some = [r for r in rows if r[name] in (0, 1)]
-        for view in (0, 1):
-            out[view, target] = gbm.calibrate(np.array([r.margins[2 * view + target] for r in some]), np.array([r[name] for r in some]))
-    return out
 
+def _chance(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
-def _probabilities(views, scales, own, other) -> list[np.ndarray]:
-    margins = views[0].margin(own), views[1].margin(np.asarray(other))
-    return [1 / (1 + np.exp(-np.clip(scales[v, :, 0] * margins[v] + scales[v, :, 1], -30, 30))) for v in (0, 1)]
 
+def _combined(margins: np.ndarray, scales: np.ndarray, mixture: np.ndarray) -> np.ndarray:
+    """Probability per target from the calibrated log odds of both views."""
+    odds = _odds(margins, scales)
+    return _chance(mixture[:, 0] * odds[0] + mixture[:, 1] * odds[1] + mixture[:, 2])
 
-def _combine(margins: np.ndarray, views, scales) -> np.ndarray:
-    """Probability per target: log odds of both views, the classes' share counted once. margins: (rows, 4)."""
-    odds = sum(scales[v, :, 0] * margins[:, 2 * v : 2 * v + 2] + scales[v, :, 1] for v in (0, 1)) - views[0].prior
-    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
+def _both(views: tuple[View, View], batch: pa.RecordBatch) -> tuple[list[Lists], np.ndarray]:
+    lists = [Lists(batch.column(1)), Lists(batch.column(2))]
+    return lists, np.stack([view.margins(own) for view, own in zip(views, lists, strict=True)])
 
-def _limits(labelled: DataFrame, views, scales) -> list[float]:
-    """Per target the threshold with the fewest errors on the labelled rows."""
-    rows = _margins(labelled, views)
-    out = []
-    for target, name in enumerate(TARGETS):
-        some = [r for r in rows if r[name] in (0, 1)]
-        label = np.array([r[name] for r in some], float)
-        if not len(some) or label.min() == label.max():
-            out.append(0.5)
-            continue
-        p = _combine(np.array([r.margins for r in some]), views, scales)[:, target]
-        order = np.argsort(p, kind="stable")
-        p, label = p[order], label[order]
-        missed, alarms = np.cumsum(label), (1 - label).sum() - np.cumsum(1 - label)
-        best = int(np.argmin(missed + alarms))
-        out.append(float((p[best] + p[min(best + 1, len(p) - 1)]) / 2))
-    return out
 
+def train(featured: DataFrame, labels: DataFrame, rounds: int = ROUNDS, most: int = MOST_LABELLED) -> dict:
+    """featured: what features() gives, best as written() leaves it, as each round reads it."""
+    spark = featured.sparkSession
+    ship(spark)
+    said = [F.col(t).cast("int") for t in TARGETS]
+    said = [F.when(c.isin(0, 1), c) for c in said]
+    some = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("labelled_id"), *(c.alias(t) for c, t in zip(said, TARGETS, strict=True)))
+    some = some.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most).groupBy("labelled_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    own = featured.join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id"))
+    own = own.groupBy("labelled_id", *TARGETS).agg(F.min(F.struct("text", "meta")).alias("row"))
+    labelled = Labelled(own.select("labelled_id", *TARGETS, "row.text", "row.meta").orderBy("labelled_id").toArrow())
+    taught, held = _none(), np.sort(labelled.ids)
+    history = []
+    for number in range(rounds + 1):
+        views, margins = labelled.learned(taught)
+        scales = labelled.scales(margins)
+        mixture = labelled.mixture(_odds(margins, scales))
+        p = _combined(margins, scales, mixture)
+        history.append({"margins": margins, "p": p, "taught": [t[:, :, -1].copy() for t in taught]})
+        if number == rounds:
+            break
+        shared = spark.sparkContext.broadcast((views, scales, held))
 
-def judge(docs: DataFrame, model: dict) -> DataFrame:
+        def teach(batches, shared=shared):
+            views, scales, held = shared.value
+            out = _none()
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2_000):
+                    piece = batch.slice(start, 2_000)
+                    ids = np.asarray(piece.column(0).fill_null(-1), np.int64)
+                    new = ~np.isin(ids, held) | np.asarray(piece.column(0).is_null())
+                    lists, margins = _both(views, piece)
+                    p = _chance(_odds(margins, scales))
+                    # each view's confident label goes to the other
+                    for view in (0, 1):
+                        for target in range(len(TARGETS)):
+                            for kind in (0, 1):
+                                sure = p[view, :, target] if kind else 1 - p[view, :, target]
+                                out[1 - view][target, kind] += lists[1 - view].counts(new & (sure >= SURE), (TEXT_SIZE, META_SIZE)[1 - view])
+            yield _rows(out)
+
+        taught = _sum(featured.mapInArrow(teach, _COUNTS))
+    return {"views": views, "scales": scales, "mixture": mixture, "limits": labelled.limits(p), "history": history, "said": labelled.said}
+
+
+def judge(featured: DataFrame, model: dict) -> DataFrame:
     """Per row: doc_id, p_quality, p_toxic, the views' own probabilities of quality, and kept."""
-    spark = docs.sparkSession
+    spark = featured.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast({k: model[k] for k in ("views", "scales", "mixture", "limits")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views, scales, limits = (shared.value[k] for k in ("views", "scales", "limits"))
-        for piece, texts, metas in _each(batches):
-            margins = np.array([np.concatenate([views[0].margin(a), views[1].margin(np.array(b))]) for a, b in zip(texts, metas, strict=True)])
-            p = _combine(margins, views, scales)
-            single = [1 / (1 + np.exp(-np.clip(scales[v, 0, 0] * margins[:, 2 * v] + scales[v, 0, 1], -30, 30))) for v in (0, 1)]
-            kept = (p[:, 0] > limits[0]) & (p[:, 1] <= limits[1])
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x) for x in (p[:, 0], p[:, 1], *single, kept))], names=["doc_id", "p_quality", "p_toxic", "p_text", "p_meta", "kept"])
+        views, scales, mixture, limits = (shared.value[k] for k in ("views", "scales", "mixture", "limits"))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2_000):
+                piece = batch.slice(start, 2_000)
+                _, margins = _both(views, piece)
+                p = _combined(margins, scales, mixture)
+                single = _chance(_odds(margins, scales))[:, :, 0]
+                kept = (p[:, 0] > limits[0]) & (p[:, 1] <= limits[1])
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x) for x in (p[:, 0], p[:, 1], *single, kept))], names=["doc_id", "p_quality", "p_toxic", "p_text", "p_meta", "kept"])
 
-    return _columns(docs).mapInArrow(run, "doc_id bigint, p_quality double, p_toxic double, p_text double, p_meta double, kept boolean")
+    return featured.mapInArrow(run, "doc_id bigint, p_quality double, p_toxic double, p_text double, p_meta double, kept boolean")
 
 
 def op3_cotraining(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+    featured = written(features(table(spark, sf_dir, "documents")))
+    return judge(featured, train(featured, table(spark, sf_dir, "labels")))

@@ -124,20 +124,36 @@ def _gain(up, down, weight, ridge):
     return 2 * up * weight - (down + ridge) * weight**2
 
 
-def calibrate(margin: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Platt scaling: slope and intercept of a logistic curve over margins, by Newton steps."""
-    margin, labels = np.asarray(margin, float), np.asarray(labels, float)
+def logistic(columns: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray:
+    """A weight for each column and an intercept of a logistic curve, by Newton steps; Platt's targets keep it finite.
+    Weights of 1 and no intercept where labels are of one kind."""
+    columns, labels = np.asarray(columns, float), np.asarray(labels, float)
+    weights = np.append(np.ones(columns.shape[1]), 0.0)
     if len(labels) == 0 or labels.min() == labels.max():
-        return 1.0, 0.0
+        return weights
     ones = labels.sum()
     target = np.where(labels > 0, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
-    design = np.stack([margin, np.ones_like(margin)], axis=1)
-    weights = np.array([1.0, 0.0])
+    design = np.concatenate([columns, np.ones((len(labels), 1))], axis=1)
+
+    def loss(weights: np.ndarray) -> float:
+        z = design @ weights
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    now = loss(weights)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(design.shape[1])
         step = np.linalg.solve(hessian, design.T @ (target - p))
-        weights = weights + np.clip(step, -5, 5)
+        # a step that makes it worse is halved
+        while (after := loss(weights + step)) > now and np.abs(step).max() >= 1e-8:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
-    return float(weights[0]), float(weights[1])
+        weights, now = weights + step, after
+    return weights
+
+
+def calibrate(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Platt scaling: slope and intercept of a logistic curve over margins."""
+    slope, intercept = logistic(np.asarray(margin, float)[:, None], labels)
+    return float(slope), float(intercept)

@@ -96,10 +96,102 @@ def test_trees_keep_their_direction():
         assert (np.diff(trees.margin(line)) <= 1e-9).all()
 
 
+def test_text_features():
+    texts = [*TEXTS[:7], None, "", *TEXTS[8:], "Same same SAME\nline one\nline one\n\n", " "]
+    for cut in (0, 3):
+        array = cotraining.pa.array([*["x y"] * cut, *texts])[cut:]
+        for text, found in zip(texts, cotraining.text_features(array, cotraining.Known()).to_pylist(), strict=True):
+            want = {f for word in (text or "").encode().split() for f in cotraining.Known()[word]}
+            lines = [line for line in (text or "").encode().split(b"\n") if line.strip()]
+            want.add(zlib.crc32(b"d%d" % min(8, 10 * (len(lines) - len(set(lines))) // max(1, len(lines)))) % cotraining.TEXT_SIZE)
+            assert found == sorted(want)
+
+
+def plain_margins(lists, counts, rows):
+    """Margins of rows by counts of (class: (documents, Counter)), one document after another."""
+    out = []
+    for row in rows:
+        total = 0.0
+        for f in lists[row]:
+            n = [counts[k][1][f] for k in (0, 1)]
+            odds = math.log((n[1] + 0.5) / (counts[1][0] + 1)) - math.log((n[0] + 0.5) / (counts[0][0] + 1))
+            odds *= sum(n) / (sum(n) + cotraining.HALF) if sum(n) >= cotraining.LEAST else 0
+            total += math.copysign(abs(odds) ** cotraining.POWER, odds)
+        total /= math.sqrt(len(lists[row]))
+        out.append(math.copysign(abs(total) ** (1 / cotraining.POWER), total))
+    return np.array(out)
+
+
+def test_cotraining_against_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    rows, said = [], []
+    for i in range(260):
+        good = i % 2
+        text = " ".join(rng.choice(["fine", "well", "done"] if good else ["spam", "cheap", "pill"]) if rng.random() < 0.3 else f"w{rng.integers(40)}" for _ in range(rng.integers(5, 30)))
+        rows.append((i, text, "en", ("a" if good else "b") if rng.random() < 0.95 else "c", 100))
+        if i < 90:
+            said.append((i, good, int(rng.random() < 0.2)))
+    docs = spark.createDataFrame(rows, DOCS)
+    featured = cotraining.features(docs)
+    model = cotraining.train(featured, spark.createDataFrame(said, "doc_id long, quality int, toxic int"))
+    lists = [{r.doc_id: r[c] for r in featured.collect()} for c in ("text", "meta")]
+    label = {i: q for i, q, _ in said}
+    fold = lambda i: zlib.crc32(str(i).encode()) % cotraining.FOLDS
+
+    def counts(view, ids):
+        out = {}
+        for kind in (0, 1):
+            own = [i for i in ids if label[i] == kind]
+            out[kind] = len(own), Counter(f for i in own for f in lists[view][i])
+        return out
+
+    def add(own, more):
+        out = {}
+        for kind in (0, 1):
+            weight = min(1, own[kind][0] / max(1, more[kind][0]))
+            joined = Counter(own[kind][1])
+            for f, n in more[kind][1].items():
+                joined[f] += n * weight
+            out[kind] = own[kind][0] + more[kind][0] * weight, joined
+        return out
+
+    taught = [{k: (0, Counter()) for k in (0, 1)} for _ in range(2)]
+    for number in range(cotraining.ROUNDS + 1):
+        margins = np.zeros((2, 90))
+        scales, views = [], []
+        for view in (0, 1):
+            for f in range(cotraining.FOLDS):
+                own = [i for i in range(90) if fold(i) == f]
+                margins[view, own] = plain_margins(lists[view], add(counts(view, [i for i in range(90) if fold(i) != f]), taught[view]), own)
+            scales.append(gbm.calibrate(margins[view], np.array([label[i] for i in range(90)])))
+            views.append(add(counts(view, range(90)), taught[view]))
+        assert model["history"][number]["margins"][:, :, 0] == pytest.approx(margins, abs=1e-4)
+        new = []
+        for view in (0, 1):
+            p = 1 / (1 + np.exp(-(scales[view][0] * plain_margins(lists[view], views[view], range(90, 260)) + scales[view][1])))
+            for kind in (0, 1):
+                own = [i for i in range(90, 260) if (p[i - 90] if kind else 1 - p[i - 90]) >= cotraining.SURE]
+                new.append((1 - view, kind, len(own), Counter(f for i in own for f in lists[1 - view][i])))
+        for view, kind, n, found in new:
+            taught[view][kind] = n, found
+    assert sum(t[k][0] for t in taught for k in (0, 1)) > 100
+    right = sum((r.p_quality > 0.5) == r.doc_id % 2 for r in cotraining.judge(featured, model).where("doc_id >= 90").collect())
+    assert right >= 165
+
+
 def test_cotraining(spark, docs):
-    labels = spark.createDataFrame([(i, i % 2, int(i == 5)) for i in range(1, 12)], "doc_id long, quality int, toxic int")
-    assert cotraining.judge(docs, cotraining.train(docs, labels)).count() == len(TEXTS) + 1
-    assert cotraining.judge(empty(spark), cotraining.train(empty(spark), labels.limit(0))).count() == 0
+    labels = spark.createDataFrame([(i, i % 2, int(i == 5)) for i in range(1, 12)] + [(1, 0, None), (None, 1, 1), (4, 7, -1)], "doc_id long, quality int, toxic int")
+    nulls = docs.selectExpr("doc_id", "text", "text p_quality").unionByName(spark.createDataFrame([(None, None, "x")], "doc_id long, text string, p_quality string"))
+    for own in (docs, nulls):
+        featured = cotraining.features(own)
+        out = cotraining.judge(featured, cotraining.train(featured, labels)).collect()
+        assert len(out) == own.count() and all(0 <= p <= 1 for r in out for p in r[1:5])
+        assert len({tuple(r) for r in out if r.doc_id == 4}) == 1
+    for some in (labels.limit(0), labels.where("quality = 1")):
+        for own in (docs, empty(spark)):
+            featured = cotraining.features(own)
+            model = cotraining.train(featured, some)
+            assert cotraining.judge(featured, model).count() == own.count()
 
 
 def test_elias_fano():
