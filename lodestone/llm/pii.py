@@ -2,13 +2,15 @@
 
 Fixed base rules find emails, IP addresses, cards and phones; their spans always stay. Generators of high recall
 propose further spans, which may overlap: every number-like run whole, each of its parts between spaces and each
-sequence of such parts of up to MOST_DIGITS digits, and spelled-out or bracketed emails. Boosted trees, trained here on
+sequence of such parts of up to MOST_DIGITS digits, spelled-out or bracketed emails, and long runs of letters and
+digits, which may be secrets such as access tokens. Boosted trees, trained here on
 drawn examples and written out as CASE expressions, judge a proposal by its format and the text beside it; it is taken
 from a threshold that is calibrated for PRECISION. Of overlapping proposals of a run, the likelier is
 taken; a run that is taken as a whole stays beside a likelier part, so that nothing of it goes free.
 
 Offsets are code points, ends exclusive. Rows: null and empty texts have no spans. Repeated rows are judged each;
-other columns are carried along by redact() and not read by find(); an empty table gives an empty result.
+other columns of whatever name are carried along by redact() and not read by find(); an empty table gives an empty
+result. Secrets have a column of their own beside the spans of the four kinds.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from . import gbm
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds that redact() puts marks for.
+MARKS = (*KINDS, "secret")
 #: Share of right ones among the drawn examples that a threshold lets through.
 PRECISION = 0.995
 #: A card has the most digits of all kinds.
@@ -86,6 +90,67 @@ EMAIL_FEATURES = {
     "known_top": "cast(lower(regexp_extract(x, '[A-Za-z0-9-]+$', 0)) in ('com','org','net','edu','gov','de','fr','es','it','uk','eu','io','info') as int)",
     "near_mail": _near("mail|e-mail|email|contact|write|reach|courriel|correo|kontakt|address"),
 }
+#: Runs that may be secrets; one without a digit is a word.
+SECRETS = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+SECRET_FEATURES = {
+    "long": "length(x)",
+    "digits": f"length({_DIGITS})",
+    "upper": "length(regexp_replace(x, '[^A-Z]', ''))",
+    "lower": "length(regexp_replace(x, '[^a-z]', ''))",
+    "distinct": "size(array_distinct(split(x, '')))",
+    "hexadecimal": "cast(x rlike '^(?:[0-9a-f]+|[0-9A-F]+)$' as int)",
+    "joints": "length(regexp_replace(x, '[A-Za-z0-9]', ''))",
+    "longest": "array_max(transform(split(x, '[^A-Za-z0-9]'), p -> length(p)))",
+    "changes": "regexp_count(x, '[A-Za-z][0-9]|[0-9][A-Za-z]')",
+    "prefix": "cast(x rlike '^(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abp]|AKIA|ASIA|AIza|eyJ)' as int)",
+    "near_secret": _near("token|secret|key|apikey|api_key|password|passwd|pwd|auth|bearer|credential|credentials|access_key|secret_key|access_token"),
+    "near_sum": _near("commit|sha|sha1|sha256|md5|checksum|hash|digest|uuid|etag|build|revision|id|version"),
+    "assigned": "cast(l rlike '[:=] ?[\"\\'`]?$' as int)",
+    "quoted": "cast(l rlike '[\"\\'`]$' and r rlike '[\"\\'`]' as int)",
+}
+FEATURES = {"email": EMAIL_FEATURES, "secret": SECRET_FEATURES}
+
+
+def _features(kind: str) -> dict[str, str]:
+    return FEATURES.get(kind, NUMBER_FEATURES)
+
+
+def _draw_secret(rng: random.Random) -> tuple[str, str, str, str]:
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = lower + lower.upper() + digits
+    plain = rng.choice(["and ", "the ", "(", "see ", "de ", "", "/"])
+    quote = rng.choice(["\"", "'", "", "`"])
+    if rng.random() < 0.45:
+        name = rng.choice(["token", "secret", "api_key", "key", "password", "access_token", "auth", "SECRET_KEY"])
+        before = f"{name}{rng.choice([' = ', '=', ': ', ':', ' '])}{quote}"
+        body = rng.choice(
+            [
+                lambda: of(digits + "abcdef", rng.choice([24, 32, 40, 48, 64])),
+                lambda: of(mixed, rng.randrange(18, 60)),
+                lambda: of(mixed + "+/", rng.randrange(24, 60)) + rng.choice(["", "=", "=="]),
+                lambda: rng.choice(["sk-", "ghp_", "pk_", "glpat-", "AKIA", "AIza", "xoxb-"]) + of(mixed, rng.randrange(16, 40)),
+            ]
+        )()
+        if body[:2] in ("sk", "gh", "pk", "gl", "AK", "AI", "xo") and rng.random() < 0.5:
+            before, quote = plain, ""
+        return "secret", body, before, quote or rng.choice([" ", ".", "\n", ""])
+    body = rng.choice(
+        [
+            lambda: "-".join(of(lower, rng.randrange(2, 9)) for _ in range(rng.randrange(3, 7))) + f"-{rng.randrange(2030)}",
+            lambda: "_".join(of(lower, rng.randrange(2, 9)) for _ in range(rng.randrange(3, 6))) + str(rng.randrange(99)),
+            lambda: "/".join(of(lower, rng.randrange(2, 9)) for _ in range(rng.randrange(3, 6))) + f"/{rng.randrange(9999)}",
+            lambda: "-".join(of(digits, 4) for _ in range(4)),
+            lambda: of(digits, rng.randrange(16, 30)),
+            lambda: of(lower, rng.randrange(14, 30)) + str(rng.randrange(99)),
+            lambda: of(digits + "abcdef", 40),
+            lambda: "-".join(of(digits + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+            lambda: "=" * rng.randrange(12, 40) + str(rng.randrange(99)) + "=" * rng.randrange(4, 20),
+            lambda: "-" * rng.randrange(16, 40) + str(rng.randrange(99)),
+        ]
+    )()
+    sums = rng.choice(["commit ", "sha1: ", "md5 = ", "checksum: ", "uuid ", "id=", "build ", "etag: \""])
+    return "", body, sums if rng.random() < 0.6 or len(body) == 40 and "-" not in body else plain, rng.choice([" ", ".", "\n", "", "\""])
 
 
 def _draw_numbers(rng: random.Random) -> tuple[str, str, str, str]:
@@ -150,7 +215,7 @@ def _draw_email(rng: random.Random) -> tuple[str, str, str, str]:
 def trained(kind: str, spark) -> tuple[gbm.Trees, float, float, float]:
     """Trees of a kind with their calibration (slope, intercept) and threshold; features come from the same SQL
     expressions that are used on documents."""
-    return _trained(kind, _examples(spark, "email" if kind == "email" else "number"))
+    return _trained(kind, _examples(spark, kind if kind in FEATURES else "number"))
 
 
 _EXAMPLES: dict[str, tuple] = {}
@@ -159,8 +224,8 @@ _EXAMPLES: dict[str, tuple] = {}
 def _examples(spark, what: str) -> tuple:
     if what not in _EXAMPLES:
         rng = random.Random(17)
-        drawn = [(_draw_email if what == "email" else _draw_numbers)(rng) for _ in range(3000)]
-        features = EMAIL_FEATURES if what == "email" else NUMBER_FEATURES
+        drawn = [{"email": _draw_email, "secret": _draw_secret}.get(what, _draw_numbers)(rng) for _ in range(3000)]
+        features = _features(what)
         rows = ", ".join(f"({i}, {_quote(x)}, {_quote(left)}, {_quote(right)})" for i, (_, x, left, right) in enumerate(drawn))
         found = spark.sql(f"select i, {', '.join(f'{sql} as {name}' for name, sql in features.items())} from values {rows} as drawn(i, x, l, r)").collect()
         found.sort(key=lambda row: row.i)
@@ -231,14 +296,15 @@ def _matches(frame: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 def _span(kind: str, start: str, end: str) -> str:
-    return f"named_struct('k', {KINDS.index(kind)}, 's', {start}, 'e', {end})"
+    return f"named_struct('k', {MARKS.index(kind)}, 's', {start}, 'e', {end})"
 
 
 _NONE = "cast(array() as array<struct<k:int,s:int,e:int>>)"
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs with __base and __spans: arrays of (k, s, e) sorted by kind and start."""
+    """docs, a frame without columns that start with "__", with __base, __spans and __secrets: arrays of (k, s, e) sorted
+    by kind and start."""
     spark = docs.sparkSession
     frame = docs.withColumns({"__text": F.coalesce("text", F.lit(""))})
     for kind, pattern in BASE.items():
@@ -247,7 +313,7 @@ def spans(docs: DataFrame) -> DataFrame:
     frame = frame.withColumns({"__base": F.expr("array_sort(concat(" + ", ".join(f"__{kind}" for kind in KINDS) + "))")}).drop(*(f"__{kind}" for kind in KINDS))
 
     def margin(kind: str, row: str) -> str:
-        return margin_sql(trained(kind, spark)[0], list(EMAIL_FEATURES if kind == "email" else NUMBER_FEATURES), row)
+        return margin_sql(trained(kind, spark)[0], list(_features(kind)), row)
 
     def least(kind: str) -> str:
         _, slope, intercept, threshold = trained(kind, spark)
@@ -262,10 +328,6 @@ def spans(docs: DataFrame) -> DataFrame:
         _, slope, intercept, _ = trained(kind, spark)
         return f"({slope:.9g}D * {value} + {intercept:.9g}D)"
 
-    def fields(features: dict[str, str], row: str) -> str:
-        named = ", ".join(f"'{name}', {sql}" for name, sql in features.items())
-        return f"transform(array({row}), q -> {_bound(f'named_struct({named})', 'q')})[0]"
-
     frame = _matches(frame, "__numbers", NUMBERS)
     # a run whole, and what lies between two of its spaces
     before = "lower(right(concat(if(i <= 24, m.l, ''), array_join(slice(w, greatest(i - 24, 0) + 1, least(i, 24)), ' '), if(i > 0, ' ', '')), 24))"
@@ -299,9 +361,11 @@ def spans(docs: DataFrame) -> DataFrame:
     # the likelier and then the longer first; what overlaps one that is taken is not, but for the whole run
     taken = "aggregate(c, cast(array() as array<struct<p:double,n:int,k:int,s:int,e:int,whole:boolean>>), (a, v) -> if(not v.whole and exists(a, y -> y.s < v.e and y.e > v.s), a, array_append(a, v)))"
     frame = frame.withColumns({"__numbers": F.expr(f"transform(flatten(transform(__numbers, c -> if(size(c) < 2, c, {taken}))), v -> named_struct('k', v.k, 's', v.s, 'e', v.e))")})
-    frame = _matches(frame, "__spelled", SPELLED)
-    email = f"element_at(transform(array({_bound('named_struct(' + ', '.join(f'{chr(39)}{n}{chr(39)}, {s}' for n, s in EMAIL_FEATURES.items()) + ')', 'q')}), g -> {judged('email', 'g')}), 1)"
-    frame = frame.withColumns({"__spelled": F.expr(beside(f"transform(filter(__spelled, q -> not {known} and {email}), q -> {_span('email', 'q.s', 'q.s + length(q.x)')})"))})
+    for kind, name, pattern in (("email", "__spelled", SPELLED), ("secret", "__secrets", SECRETS)):
+        frame = _matches(frame, name, pattern)
+        fields = ", ".join(f"'{feature}', {sql}" for feature, sql in _features(kind).items())
+        right = f"element_at(transform(array({_bound(f'named_struct({fields})', 'q')}), g -> {judged(kind, 'g')}), 1)"
+        frame = frame.withColumns({name: F.expr(beside(f"transform(filter({name}, q -> not {known} and {right}), q -> {_span(kind, 'q.s', 'q.s + length(q.x)')})"))})
     return frame.withColumns({"__spans": F.expr("array_sort(concat(__base, __numbers, __spelled))")}).drop("__numbers", "__spelled", "__text")
 
 
@@ -316,32 +380,40 @@ def _bound(sql: str, row: str) -> str:
 
 
 def _listed(column: str) -> str:
-    names = "element_at(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), v.k + 1)"
+    names = "element_at(array(" + ", ".join(f"'{k}'" for k in MARKS) + "), v.k + 1)"
     return f"array_join(transform({column}, v -> concat({names}, ':', v.s, ':', v.e)), ',')"
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, the number of base spans of each kind, the digest of base spans, and all spans."""
+    """Per row: doc_id, the number of base spans of each kind, the digest of base spans, all spans of these kinds, the
+    spans of secrets, and the number of all."""
     found = spans(docs.select("doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(__base, v -> v.k = {k})) as bigint)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.expr(f"sha2(cast({_listed('__base')} as binary), 256)").alias("base_sha256"), F.expr(_listed("__spans")).alias("spans"))
+    digest, listed = F.expr(f"sha2(cast({_listed('__base')} as binary), 256)"), F.expr(_listed("__spans"))
+    return found.select(
+        "doc_id", *counts, digest.alias("base_sha256"), listed.alias("spans"), F.expr(_listed("__secrets")).alias("secrets"),
+        F.expr("cast(size(__spans) + size(__secrets) as bigint)").alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with [KIND] in place of each span of the text; columns stay as they are, null texts stay null."""
-    found = spans(docs).withColumns(
+    names = docs.columns
+    # the row goes along as one column, so no name of it meets one of the columns that are added
+    whole = docs.select(F.col("text"), F.struct(*(F.col(f"`{name}`") for name in names)).alias("row"))
+    found = spans(whole).withColumns(
         {
             # one after another by start; of overlapping spans, what reaches further goes on as a span of its own
             "__cuts": F.expr(
-                f"aggregate(array_sort(transform(__spans, v -> named_struct('s', v.s, 'e', v.e, 'k', v.k))), named_struct('o', cast(array() as array<struct<s:int,e:int,k:int>>), 'e', 0), "
+                f"aggregate(array_sort(transform(concat(__spans, __secrets), v -> named_struct('s', v.s, 'e', v.e, 'k', v.k))), named_struct('o', cast(array() as array<struct<s:int,e:int,k:int>>), 'e', 0), "
                 "(a, v) -> if(v.e <= a.e, a, named_struct('o', array_append(a.o, named_struct('s', greatest(v.s, a.e), 'e', v.e, 'k', v.k)), 'e', v.e))).o"
             )
         }
     )
-    names = "element_at(array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + "), v.k + 1)"
-    pieces = f"transform(__cuts, (v, i) -> concat(substring(text, if(i = 0, 0, __cuts[i - 1].e) + 1, v.s - if(i = 0, 0, __cuts[i - 1].e)), {names}))"
+    marks = "element_at(array(" + ", ".join(f"'[{k.upper()}]'" for k in MARKS) + "), v.k + 1)"
+    pieces = f"transform(__cuts, (v, i) -> concat(substring(text, if(i = 0, 0, __cuts[i - 1].e) + 1, v.s - if(i = 0, 0, __cuts[i - 1].e)), {marks}))"
     text = F.expr(f"if(size(__cuts) = 0, text, concat(array_join({pieces}, ''), substring(text, element_at(__cuts, -1).e + 1)))")
-    return found.select(*(text.alias("text") if name == "text" else F.col(f"`{name}`") for name in docs.columns))
+    return found.select(*(text.alias(name) if name == "text" else F.col(f"row.`{name}`").alias(name) for name in names))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -73,6 +73,24 @@ def test_pii_inside_longer_runs(spark):
     assert found[6] == "phone:5:17,phone:5:30"
 
 
+def test_pii_secrets_and_clashing_names(spark):
+    hexes = hashlib.sha1(b"x").hexdigest()
+    texts = [f'my token = "{hexes}" is', f"commit {hexes} was", "a-long-name-of-a-page-2024 stands here", f"mail a@b.de, api_key: sk-{hexes[:30]}.", None, "", "4111 1111 1111 1111 = password", f"{hexes} " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert found[0].secrets == f"secret:12:{12 + len(hexes)}" and found[0].n_spans == 1 and found[0].spans == ""
+    assert [found[i].secrets for i in (1, 2, 4, 5, 6)] == [""] * 5
+    assert found[3].secrets == "secret:22:55" and found[3].spans == "email:5:11" and found[6].spans == "card:0:19"
+    names = ["__text", "__email", "__base", "__spans", "__cuts", "row", "a.b", "q"]
+    clash = docs.select("doc_id", *(pii.F.col("text").alias(name) for name in names), "text")
+    out = pii.redact(clash)
+    assert out.columns == clash.columns
+    for row in out.collect():
+        assert all(row[name] == texts[row.doc_id] for name in names)
+    redacted = {r.doc_id: r.text for r in out.select("doc_id", "text").collect()}
+    assert redacted[0] == 'my token = "[SECRET]" is' and redacted[1] == texts[1] and redacted[3] == "mail [EMAIL], api_key: [SECRET]." and redacted[4] is None
+
+
 def test_quality_rules(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
     out = quality_rules.judge(docs, quality_rules.train(docs, labels)).collect()
