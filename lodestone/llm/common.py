@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ship import ship  # noqa: F401
 from . import elias_fano
@@ -51,6 +52,12 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def map_by_place(frame: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """mapInArrow for frames whose columns may have any name: run gets and gives columns by their places."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema)])
+    return frame.toDF(*(f"c{i}" for i in range(len(frame.columns)))).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def id_bucket(doc_id: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

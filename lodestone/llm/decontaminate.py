@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import elias_fano
-from .common import checkpoint_root, mapped, remove, ship, slices, table, uri, write
+from .common import checkpoint_root, map_by_place, mapped, remove, ship, slices, table, uri, write
 from .words import bytes_of, edges, hashes, mix
 
 WINDOW = 10
@@ -229,7 +228,7 @@ def clean(docs: DataFrame, bench: DataFrame, most_hit: float = 0.5, most: int =
                     piece = piece.filter(pa.array(found.n_hit <= most_hit * found.n_words))
                 yield piece
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return map_by_place(docs, run, docs.schema)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

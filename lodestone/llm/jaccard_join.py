@@ -13,8 +13,9 @@ Bands and rows come from the wanted recall of a pair at the threshold (plan()).
 
 Shingles are five consecutive words of lower-cased ASCII letters, digits and non-ASCII characters; a text of fewer words is one
 shingle. Rows: texts without words (null and empty ones too) are in no link and each form a class of their own.
-Repeated rows are copies of each other. Rows with a null id have a null class. Other columns are not read by
-classes() and carried along by one_of_each().
+Repeated rows are copies of each other. Rows with a null id have a null class. Where an id has several texts, each of
+them is a document of its own; the class of one is still the smallest id of its texts' rows. Other columns, of whatever
+name, are not read by classes() and carried along by one_of_each().
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, slices, table
+from .common import cut, ship, slices, table, written
 from .decontaminate import words_of
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -71,7 +73,7 @@ class Signer:
         import xxhash
 
         split = [words_of(t) for t in texts]
-        keys = [xxhash.xxh3_128_digest(b" ".join(words)) if words else None for words in split]
+        keys = [key_of(words) for words in split]
         some = [i for i, words in enumerate(split) if words]
         out = np.zeros((len(texts), self.bands), np.int64)
         if not some:
@@ -106,6 +108,12 @@ class Signer:
         return keys, out
 
 
+def key_of(words: list[bytes]) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, key (null without words) and bands of every row."""
     ship(docs.sparkSession)
@@ -280,12 +288,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.drop("was")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
-    """Per row: doc_id, class_id (smallest id of the class), n_links (other texts, different in words,
-    that are as similar as the threshold) and n_copies (other rows with the same words)."""
-    signed = cut(sign(docs, *plan(threshold, recall)))
-    texts = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    texts = cut(texts.select("key", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands"), "copies"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key (as sign() gives it) of the rows with an id and words."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([key_of(words_of(t)) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], names=["doc_id", "text", "key"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, key binary").where("doc_id is not null and key is not null")
+
+
+def _alike(texts: DataFrame, docs: DataFrame, threshold: float, most_broadcast: int) -> DataFrame:
+    """key, class_id, n_links and copies of each text: key, node, bands and copies. node is the id of a row of docs that
+    has the text, and of no row with another one."""
     rows = texts.select("node", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).drop("size")
     met = cut(rows.join(hubs, "band"))
@@ -294,26 +311,72 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     groups = components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
     degree = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = texts.select("key", "node", "copies").join(groups, "node", "left").join(degree, "node", "left")
-    known = known.select("key", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "copies")
-    held = signed.select("doc_id", "key").where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).join(known.hint("merge"), "key")
-    alone = signed.where(F.col("key").isNull() | F.col("doc_id").isNull())
-    return held.select("doc_id", "class_id", "n_links", (F.col("copies") - 1).alias("n_copies")).unionByName(
-        alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_copies"))
-    )
-
-
-def one_of_each(docs: DataFrame, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
-    """The rows of docs whose id is the smallest of their class, one of rows that repeat it, and rows without id."""
-    judged = cut(classes(docs, most_broadcast=most_broadcast))
-    gone = judged.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    if gone.limit(most_broadcast + 1).count() <= most_broadcast:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    repeated = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where(F.col("doc_id").isNull()))
-    return kept
+    return known.select("key", "node", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "copies")
+
+
+def _judged(docs: DataFrame, threshold: float, recall: float, most_broadcast: int) -> tuple[DataFrame, bool]:
+    """Per row: doc_id, key, class_id, n_links, n_copies and whether the row's text is the one of its class that stays;
+    and whether an id has several texts."""
+    signed = cut(sign(docs, *plan(threshold, recall)))
+    good = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    texts = signed.where(good).groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    texts = cut(texts.select("key", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands"), "copies"))
+    mixed = bool(signed.where(good).select("doc_id", "key").distinct().groupBy("doc_id").count().where("count > 1").limit(1).count())
+    if mixed:
+        # numbers of the texts instead of ids
+        numbered = written(_keyed(docs).groupBy("key").agg(F.min("text").alias("text")).withColumn("number", F.monotonically_increasing_id()))
+        own = texts.join(numbered.select("key", "number"), "key").select("key", F.col("number").alias("node"), "bands", "copies")
+        known = cut(_alike(cut(own), numbered.select(F.col("number").alias("doc_id"), "text"), threshold, most_broadcast))
+        first = texts.select("key", F.col("node").alias("first_id"))
+        known = cut(known.join(first, "key").withColumnRenamed("class_id", "component"))
+        best = known.groupBy("component").agg(F.min(F.struct("first_id", "key")).alias("best"))
+        known = known.join(best, "component").select("key", "first_id", F.col("best.first_id").alias("class_id"), "n_links", "copies", (F.col("best.key") == F.col("key")).alias("stays"))
+    else:
+        known = _alike(texts, docs, threshold, most_broadcast).select("key", F.col("node").alias("first_id"), "class_id", "n_links", "copies", (F.col("node") == F.col("class_id")).alias("stays"))
+    held = signed.select("doc_id", "key").where(good).join(known.hint("merge"), "key")
+    stays = F.col("stays") & (F.col("doc_id") == F.col("first_id"))
+    zero, alone = F.lit(0).cast("bigint"), signed.where(~good)
+    rows = held.select("doc_id", "key", "class_id", "n_links", (F.col("copies") - 1).alias("n_copies"), stays.alias("stays"))
+    return rows.unionByName(alone.select("doc_id", "key", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"), F.lit(True).alias("stays"))), mixed
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """Per row: doc_id, class_id (smallest id of the class), n_links (other texts, different in words,
+    that are as similar as the threshold) and n_copies (other rows with the same words)."""
+    return _judged(docs, threshold, recall, most_broadcast)[0].drop("key", "stays")
+
+
+def _small(ids: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, most_broadcast: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """One row of docs for each class, of its smallest id, and all rows without id or words."""
+    judged, mixed = _judged(docs, threshold, recall, most_broadcast)
+    judged = cut(judged.select("doc_id", "key", "stays").where(F.col("doc_id").isNotNull()))
+    names = docs.columns
+    # the row goes along as one column, so no name of it meets one that is added
+    whole = docs.select(F.struct(*(F.col(f"`{name}`") for name in names)).alias("row"))
+    back = [F.col(f"row.`{name}`").alias(name) for name in names]
+    again = judged.where("key is not null").groupBy(F.col("doc_id").alias("gone_id")).count().where("count > 1").select("gone_id")
+    repeated = bool(again.limit(1).count())
+    gone = judged.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"))
+    gone = cut((gone.unionByName(again) if repeated else gone).distinct())
+    kept = whole.join(_small(gone, most_broadcast), F.col("row.doc_id") == F.col("gone_id"), "left_anti")
+    if not repeated:
+        return kept.select(*back)
+    # of ids with several rows, one row of each text that stays, and the rows without words
+    some = whole.join(_small(cut(again), most_broadcast), F.col("row.doc_id") == F.col("gone_id"), "left_semi")
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def key(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: key_of(words_of(t)))
+
+    some = some.withColumn("own_key", key("row.text"))
+    staying = judged.where("stays and key is not null").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    chosen = some.join(staying, (F.col("row.doc_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))).dropDuplicates(["kept_id", "kept_key"])
+    return kept.select("row").unionByName(chosen.select("row")).unionByName(some.where("own_key is null").select("row")).select(*back)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_bucket, ship, slices, table
+from .common import id_bucket, map_by_place, ship, slices, table
 
 SIZES = (1, 2, 3)
 PROFILE = 300
@@ -138,19 +138,19 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], pred: str = "lang_
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(profiles)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name not in (pred, score)])
-    kept = list(schema.names)
-    schema = schema.add(pred, "string").add(score, "double")
+    kept = [name for name in docs.columns if name not in (pred, score)]
+    docs = docs.select(*(F.col(f"`{name}`") for name in kept))
+    schema, at = T.StructType([*docs.schema.fields]).add(pred, "string").add(score, "double"), kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            for piece in slices(batch, "text"):
-                said = [judge(t) for t in piece.column("text").to_pylist()]
-                columns = [piece.column(name) for name in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=schema.names)
+            for piece in slices(batch, at):
+                said = [judge(t) for t in piece.column(at).to_pylist()]
+                columns = [*piece.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return map_by_place(docs, run, schema)
 
 
 #: The remainder of crc32(doc_id) modulo FOLDS that nothing is learned from.

@@ -407,6 +407,22 @@ def test_jaccard_join(spark):
     assert jaccard_join.classes(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda *at: " ".join("e" if i in at else w for i, w in enumerate(words))
+    rows = [(1, text()), (1, "another text entirely"), (2, text(3)), (2, text(3)), (2, None), (2, None), (3, "another text entirely"), (4, ""), (None, text()), (5, text(50)), (0, "short one"), (0, "short two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = docs.selectExpr("text gone_id", "doc_id", "text `row`", "text", "text kept_key", "1 as stays")
+    want = sorted([(1, text()), (1, "another text entirely"), (2, None), (2, None), (4, ""), (None, text()), (0, "short one"), (0, "short two")], key=repr)
+    for most in (400_000, 0):
+        out = jaccard_join.one_of_each(clash, most_broadcast=most)
+        assert out.columns == clash.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == want
+        assert all(r.gone_id == r.text == r.row == r.kept_key for r in out.collect())
+    found = [tuple(r) for r in jaccard_join.classes(docs).collect()]
+    assert sorted(r[:2] for r in found if r[0] is not None) == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (2, 1), (2, 2), (2, 2), (3, 1), (4, 4), (5, 1)]
+    assert {r[2] for r in found if r[0] == 5} == {1} and {r[3] for r in found if r[0] == 3} == {1}
+
+
 def test_jaccard_join_counts_all_links(spark, monkeypatch):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(80)]
