@@ -21,8 +21,9 @@ SPAM_LABELS = ("spam-farm", "cheap-pills", "casino-win")
 
 BITS_PER_KEY = 16
 BLOCK_BITS = 256
-#: Blocks that may be broadcast: a row takes about 48 bytes. Beyond it the blocks are joined by a shuffle.
-MOST_BROADCAST_BLOCKS = 4_000
+#: Blocks that may be broadcast, 16 keys in each: a row takes about 100 bytes, so 20 MB. Beyond it the blocks are joined
+#: by a shuffle.
+MOST_BROADCAST_BLOCKS = 200_000
 #: Rules that may be put into one expression.
 MOST_RULES = 500
 
