@@ -84,19 +84,21 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample: the labelled rows whose hashed ids are smallest."""
+    """Features and labels of a bounded sample: the labelled rows whose hashed ids are smallest. Of rows that share an id
+    one is learned from, of labels that share one the lower counts."""
     ship(docs.sparkSession)
-    sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled_id"), "quality")
-    sample = sample.orderBy(F.xxhash64("labelled_id"), "labelled_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("text", "quality")
+    sample = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("labelled_id"), F.col("quality").cast("int").alias("quality"))
+    sample = sample.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most).groupBy("labelled_id").agg(F.min("quality").alias("quality"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("text", "labelled_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 values = [statistics(t)[1] for t in piece.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), pa.array(piece.column(1))], names=["features", "quality"])
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), *piece.columns[1:]], names=["features", "labelled_id", "quality"])
 
-    found = rows.mapInArrow(run, "features array<double>, quality int").orderBy("features", "quality").limit(2 * most).collect()
+    found = rows.mapInArrow(run, "features array<double>, labelled_id bigint, quality int").groupBy("labelled_id", "quality").agg(F.min("features").alias("features"))
+    found = found.orderBy("labelled_id").collect()
     return np.array([r.features for r in found]).reshape(-1, len(FEATURES)), np.array([float(r.quality) for r in found])
 
 

@@ -100,10 +100,49 @@ def test_quality_rules(spark, docs):
         seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
         hit = {j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
         assert (row.n_words, row.word_chars, row.n_repeat_words) == (len(words), sum(map(len, words)), len(hit))
+        lines = (TEXTS[row.doc_id] or "").split("\n")
+        repeated = sum(re.search(r"[^\x20\x09-\x0D]", x) is not None and x in lines[:i] for i, x in enumerate(lines))
+        assert (row.n_symbols, row.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", TEXTS[row.doc_id] or "")), repeated)
         assert row.base_failed == (len(words) < 10 or 100 * len(hit) > 20 * len(words)) and not (row.base_failed and row.kept)
     assert quality_rules.judge(empty(spark), None).count() == 0
 
 
+def test_quality_rules_of_lines_and_symbols(spark):
+    rng = np.random.default_rng(13)
+    parts = ["one two", "one two ", "#", "a*b$c%", "", " ", "\t", "&|<>", "é¢", "\x0b", "x\ry", "same line of some words here"]
+    texts = ["\n".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string").withColumn("kept", pii.F.lit("x"))
+    found = quality_rules.judge(docs, None).collect()
+    assert len(found) == 201
+    for row in found:
+        text = texts[row.doc_id]
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), text.split("\n")
+        repeated = sum(re.search(r"[^\x20\x09-\x0D]", x) is not None and x in lines[:i] for i, x in enumerate(lines))
+        seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        hit = {j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(hit))
+        assert row.kept == (not row.base_failed)
+
+
+def test_quality_rules_learn_from_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "d e f g"), (2, "#### ####"), (None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (4, 1), (2, 5)], "doc_id long, quality int")
+    rows, quality = quality_rules.labelled_features(docs, labels)
+    assert len(rows) == 3 and quality.tolist() == [0, 0, 1]
+
+
+def test_held_out_quality_and_language(spark):
+    """What was learned from a part of the rows, judged by the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    half = pii.F.crc32(labels.doc_id.cast("string").cast("binary")) % 2
+    said = {r.doc_id: r.quality for r in labels.where(half == 1).collect()}
+    rows = [r for r in quality_rules.judge(docs, quality_rules.train(docs, labels.where(half == 0))).collect() if r.doc_id in said]
+    assert len(rows) > 100 and sum(r.kept == bool(said[r.doc_id]) for r in rows) > 0.9 * len(rows)
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = [r for r in language_id.op7_language_id(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert len(rows) > 200 and sum(r.lang_pred == langs[r.doc_id] for r in rows) > 0.98 * len(rows)
+
+
 def test_trees_keep_their_direction():
     rng = np.random.default_rng(1)
     rows = rng.random((500, 3))
@@ -453,5 +492,41 @@ def test_url_filter(spark):
     assert url_filter.judge(pages, listed.limit(0)).where("on_list").count() == 0
 
 
-def test_held_out_fold():
-    assert zlib.crc32(b"0") % 7 != 2
+def test_language_against_a_plain_version(spark):
+    rng = np.random.default_rng(14)
+    letters = {"xx": "aabbbcde", "yy": "bcdeeeaa", "zz": "zzyyx"}
+    say = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), rng.integers(1, 6))) for _ in range(n))
+    rows = [(i, say(lang, int(rng.integers(1, 40))), lang) for i, lang in enumerate(sorted(letters) * 15)]
+    rows += [(100, None, "xx"), (101, "12 !", "yy"), (102, "aa", None), (103, rows[0][1], "xx"), (None, rows[1][1], "yy"), (104, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", pii.F.lit("x"))
+    profiles = language_id.learn(docs)
+    grams = lambda text: Counter(g for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for g in language_id.grams_of(w))
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:300]
+    plain = {lang: ranked(sum((grams(t) for _, t, x in rows if x == lang), Counter())) for lang in letters}
+    assert profiles == {lang: [language_id.code_of(g) for g in own] for lang, own in plain.items()}
+    for row in language_id.identify(docs, profiles).collect():
+        own = ranked(grams(row.text))
+        if not own:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p.index(g) - i) if g in p else 300 for i, g in enumerate(own)) for lang, p in plain.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        assert (row.lang_pred, row.score) == (best, pytest.approx(1 - far[best] / (300 * len(own))))
+    # equal profiles: the first name wins
+    same = language_id.identify(docs.where("doc_id = 0"), {"b": profiles["xx"], "a": profiles["xx"]}).first()
+    assert same.lang_pred == "a"
+    assert language_id.identify(empty(spark), profiles).count() == 0
+
+
+def test_empty_tables(spark):
+    none = empty(spark)
+    assert pieces.encode(none, pieces.model_path()).count() == 0 and pieces.decode(pieces.encode(none, pieces.model_path()), pieces.model_path()).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, verdict string")
+    listed = spark.createDataFrame([("http://a.org/x",), ("http://a.org/x",)], "url string")
+    assert url_filter.judge(pages, listed).count() == url_filter.judge(pages, listed.limit(0)).count() == 0
+    assert decontaminate.report(none, none.selectExpr("doc_id item_id", "text")).count() == 0
+    model = ngram_lm.train(none)
+    assert ngram_lm.score(none, model).count() == 0
+    row = ngram_lm.score(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"), model).collect()[0]
+    assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, row.base_score)
+    assert quality_rules.judge(none, quality_rules.train(none, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
