@@ -1,4 +1,4 @@
-"""Scalar functions: F1-F13."""
+"""Scalar functions: F1-F12."""
 
 from __future__ import annotations
 
@@ -16,6 +16,47 @@ sql_query("f9_json", "SELECT event_id, cast(get_json_object(props, '$.k') AS big
 sql_query("f10_variant", "SELECT event_id, variant_get(parse_json(props), '$.k', 'bigint') AS k FROM {events}", "SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events", "events")
 sql_query("f11_from_json", "SELECT event_id, from_json(props, 'k bigint').k AS k, from_csv('1,a', 'x int, y string').y AS y FROM {events}", "SELECT event_id, (props ->> '$.k')::BIGINT AS k, 'a' AS y FROM events", "events")
 sql_query("f12_try", "SELECT n_nationkey, round(try_divide(100, n_regionkey), 6) AS d, try_cast(n_name AS int) AS i FROM {nation}", "SELECT n_nationkey, round(100 / nullif(n_regionkey, 0), 6) AS d, try_cast(n_name AS int) AS i FROM nation", "nation")
-sql_query("f13_cosine", "SELECT a.vec_id, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS double) * y), cast(0 AS double), (s, x) -> s + x), 4) AS c FROM {embeddings} a JOIN (SELECT embedding FROM {embeddings} WHERE vec_id = 0) b", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])), 4) AS c FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b", "embeddings")
-# pairs of partitions, so no side is held whole
-sql_query("f13_cosine_search", "SELECT /*+ SHUFFLE_REPLICATE_NL(b) */ b.vec_id AS query_id, a.vec_id, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS double) * y), cast(0 AS double), (s, x) -> s + x), 4) + 0.0D AS c FROM {embeddings} a JOIN (SELECT vec_id, embedding FROM {embeddings} WHERE vec_id % 50 = 0) b", "SELECT b.vec_id AS query_id, a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2])), 4) + 0.0 AS c FROM embeddings a, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) b", "embeddings")
+sql_query(
+    "f2_more",
+    "SELECT page_id, array_join(regexp_extract_all(url, '([a-z]+)', 1), ' ') AS words, parse_url(url, 'HOST') AS host, url_decode(url_encode(url)) AS back, url_encode(split_part(url, '?', 1)) AS coded, url COLLATE UTF8_LCASE = upper(url) AS same, left(url, 4) AS a, right(url, 3) AS z, lpad(cast(page_id AS string), 8, '0') AS padded, reverse(url) AS turned, instr(url, '/') AS slash FROM {pages}",
+    "SELECT page_id, array_to_string(regexp_extract_all(url, '([a-z]+)', 1), ' ') AS words, regexp_extract(url, '://([^/?#:]*)', 1) AS host, url AS back, url_encode(split_part(url, '?', 1)) AS coded, lower(url) = lower(upper(url)) AS same, left(url, 4) AS a, right(url, 3) AS z, lpad(page_id::VARCHAR, 8, '0') AS padded, reverse(url) AS turned, instr(url, '/')::INTEGER AS slash FROM pages",
+    "pages",
+)
+sql_query(
+    "f2_sounds",
+    "SELECT c_custkey, soundex(c_mktsegment) AS sound, size(sentences(c_mktsegment)) AS n, initcap(c_mktsegment) AS cap FROM {customer}",
+    "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'A351' WHEN 'BUILDING' THEN 'B435' WHEN 'FURNITURE' THEN 'F653' WHEN 'HOUSEHOLD' THEN 'H243' WHEN 'MACHINERY' THEN 'M256' END AS sound, 1 AS n, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS cap FROM customer",
+    "customer",
+)
+sql_query(
+    "f4_zones",
+    "SELECT event_id, convert_timezone('UTC', '+03:00', ts) AS there, ts + make_interval(0, 1, 0, 2, 3, 4, 5) AS later FROM {events}",
+    "SELECT event_id, ts + INTERVAL 3 HOUR AS there, ts + INTERVAL 1 MONTH + INTERVAL 2 DAY + INTERVAL 3 HOUR + INTERVAL 4 MINUTE + INTERVAL 5 SECOND AS later FROM events",
+    "events",
+)
+sql_query("f5_bround", "SELECT l_orderkey, l_linenumber, bround(l_quantity / 4, 1) AS even, ceil(l_tax * 100) AS up, floor(l_discount * 100) AS down, sign(l_tax - l_discount) AS s, pmod(l_linenumber - 5, 3) AS m, round(sqrt(l_quantity), 8) AS r, least(l_tax, l_discount) AS g FROM {lineitem}",
+    "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 1) AS even, ceil(l_tax * 100)::BIGINT AS up, floor(l_discount * 100)::BIGINT AS down, sign(l_tax - l_discount)::DOUBLE AS s, (((l_linenumber - 5) % 3 + 3) % 3)::INTEGER AS m, round(sqrt(l_quantity), 8) AS r, least(l_tax, l_discount) AS g FROM lineitem", "lineitem")
+sql_query(
+    "f7_more",
+    "SELECT n_nationkey, array_join(transform(arrays_zip(array(n_nationkey, 1), array(n_regionkey, 2)), z -> z['0'] * 10 + z['1']), ',') AS zipped, array_join(flatten(array(array(n_nationkey), array(n_regionkey, 7))), ',') AS flat, array_join(array_sort(array_distinct(array(n_nationkey, n_regionkey, 1))), ',') AS once, array_join(array_sort(array_union(array(n_nationkey), array(n_regionkey, 3))), ',') AS either, array_contains(array(1, 2, 3), n_regionkey) AS inside, cast(array_position(array(4, 3, 2, 1, 0), n_regionkey) AS bigint) AS at, array_max(array(n_nationkey, n_regionkey)) AS most, array_join(array_except(array(0, 1, 2, 3, 4), array(n_regionkey)), ',') AS rest, array_join(array_repeat(n_regionkey, 3), '') AS again FROM {nation}",
+    "SELECT n_nationkey, (n_nationkey * 10 + n_regionkey)::VARCHAR || ',12' AS zipped, concat_ws(',', n_nationkey, n_regionkey, 7) AS flat, array_to_string(list_sort(list_distinct([n_nationkey, n_regionkey, 1])), ',') AS once, array_to_string(list_sort(list_distinct([n_nationkey, n_regionkey, 3])), ',') AS either, n_regionkey IN (1, 2, 3) AS inside, (5 - n_regionkey)::BIGINT AS at, greatest(n_nationkey, n_regionkey) AS most, array_to_string(list_filter([0, 1, 2, 3, 4], lambda x: x <> n_regionkey), ',') AS rest, repeat(n_regionkey::VARCHAR, 3) AS again FROM nation",
+    "nation",
+)
+sql_query(
+    "f8_more",
+    "SELECT n_nationkey, transform_keys(map('k', n_nationkey), (k, v) -> concat(k, v))[concat('k', n_nationkey)] AS renamed, map_zip_with(map('a', n_nationkey), map('a', n_regionkey, 'b', 1), (k, x, y) -> coalesce(x, 0) + y)['a'] AS zipped, map_from_entries(array(struct('x', n_name)))['x'] AS made, array_join(array_sort(map_keys(map_concat(map('p', 1), map('q', n_regionkey)))), '') AS keys, map_from_arrays(array('u', 'v'), array(n_nationkey, n_regionkey))['v'] AS v, cast(cardinality(str_to_map('a:1,b:2')) AS int) AS n, map_contains_key(map(n_regionkey, 1), 2) AS has FROM {nation}",
+    "SELECT n_nationkey, n_nationkey AS renamed, n_nationkey + n_regionkey AS zipped, n_name AS made, 'pq' AS keys, n_regionkey AS v, 2 AS n, n_regionkey = 2 AS has FROM nation",
+    "nation",
+)
+sql_query(
+    "f11_more",
+    "SELECT event_id, to_json(named_struct('id', event_id, 'kind', event_type)) AS js, json_tuple(props, 'k') AS (k), schema_of_json('[\"x\"]') AS kind, from_csv(concat(event_id, ';', event_type), 'x bigint, y string', map('sep', ';')).y AS y, to_csv(struct(event_id, event_type)) AS csv, from_xml(concat('<r><v>', event_id, '</v></r>'), 'v bigint').v AS v, get(json_object_keys(props), 0) AS name FROM {events}",
+    "SELECT event_id, chr(123) || '\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"' || chr(125) AS js, props ->> '$.k' AS k, 'ARRAY<STRING>' AS kind, event_type AS y, event_id || ',' || event_type AS csv, event_id AS v, 'k' AS name FROM events",
+    "events",
+)
+sql_query(
+    "f12_more",
+    "SELECT n_regionkey, try_sum(n_nationkey) AS total, try_avg(n_nationkey) AS mean, max(try_to_number(concat('1', n_regionkey), '99')) AS number, max(try_to_number('x', '99')) IS NULL AS none, max(try_add(2147483647, n_regionkey)) AS added, max(try_element_at(array(1, 2), n_regionkey + 1)) AS item, max(try_to_timestamp('2020-13-01')) IS NULL AS bad FROM {nation} GROUP BY n_regionkey",
+    "SELECT n_regionkey, sum(n_nationkey)::BIGINT AS total, avg(n_nationkey) AS mean, ('1' || n_regionkey)::DECIMAL(2, 0) AS number, true AS none, CASE WHEN n_regionkey = 0 THEN 2147483647 END::INTEGER AS added, [1, 2][n_regionkey + 1] AS item, true AS bad FROM nation GROUP BY n_regionkey",
+    "nation",
+)

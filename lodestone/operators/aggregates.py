@@ -26,11 +26,56 @@ sql_query(
 )
 
 
-@query("a8_sketches")
+sql_query(
+    "a5_mode",
+    "SELECT l_returnflag, mode() WITHIN GROUP (ORDER BY l_quantity) AS often FROM {lineitem} GROUP BY l_returnflag",
+    "SELECT l_returnflag, arg_min(l_quantity, struct_pack(n := -n, q := l_quantity)) AS often FROM (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1",
+    "lineitem",
+)
+_M1, _M2, _M3, _M4 = ("avg(value)", "avg(value * value)", "avg(value * value * value)", "avg(value * value * value * value)")
+sql_query(
+    "a7_kurtosis",
+    f"SELECT event_type, round(({_M4} - 4 * {_M1} * {_M3} + 6 * {_M1} * {_M1} * {_M2} - 3 * power({_M1}, 4)) / power({_M2} - {_M1} * {_M1}, 2) - 3, 4) AS kurt FROM {{events}} GROUP BY event_type",
+    tables="events",
+)
+sql_query("a7_built_in", "SELECT event_type, abs(skewness(value) - (avg(value * value * value) - 3 * avg(value) * avg(value * value) + 2 * power(avg(value), 3)) / power(avg(value * value) - power(avg(value), 2), 1.5)) < 1e-6 AS skew_same, "
+    f"abs(kurtosis(value) - (({_M4} - 4 * {_M1} * {_M3} + 6 * {_M1} * {_M1} * {_M2} - 3 * power({_M1}, 4)) / power({_M2} - {_M1} * {_M1}, 2) - 3)) < 1e-6 AS kurt_same FROM {{events}} GROUP BY event_type",
+    "SELECT event_type, true AS skew_same, true AS kurt_same FROM events GROUP BY 1", "events")
+sql_query(
+    "a9_sets",
+    "SELECT o_orderstatus, array_join(array_sort(collect_set(o_orderpriority)), '|') AS prios, listagg(o_orderpriority, ';') WITHIN GROUP (ORDER BY o_orderpriority) AS listed, string_agg(o_orderpriority, ',') WITHIN GROUP (ORDER BY o_orderpriority DESC) AS falling FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}) GROUP BY o_orderstatus",
+    "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS prios, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS listed, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority DESC) AS falling FROM orders GROUP BY 1",
+    "orders",
+)
+sql_query(
+    "a10_least",
+    "SELECT event_type, min_by(event_id, struct(value, event_id)) AS least, bit_or(event_id) AS ors, bit_xor(event_id) AS xors, bool_or(value > 99) AS some, every(value >= 0) AS all_up, round(covar_samp(value, event_id), 2) AS cov, round(regr_intercept(value, event_id), 4) AS at_zero, cast(regr_count(value, event_id) AS bigint) AS n FROM {events} GROUP BY event_type",
+    "SELECT event_type, arg_min(event_id, struct_pack(v := value, e := event_id)) AS least, bit_or(event_id) AS ors, bit_xor(event_id) AS xors, bool_or(value > 99) AS some, bool_and(value >= 0) AS all_up, round(covar_samp(value, event_id), 2) AS cov, round(regr_intercept(value, event_id), 4) AS at_zero, regr_count(value, event_id)::BIGINT AS n FROM events GROUP BY 1",
+    "events",
+)
+#: A histogram's bars hold all rows, and their mean is that of the values.
+sql_query(
+    "a10_histogram",
+    "SELECT event_type, size(h) <= 20 AS few, cast(round(aggregate(h, 0D, (a, b) -> a + b.y)) AS bigint) AS n, round(aggregate(h, 0D, (a, b) -> a + b.x * b.y) / n, 3) AS mean FROM (SELECT event_type, histogram_numeric(value, 20) AS h, count(*) AS n FROM {events} GROUP BY event_type)",
+    "SELECT event_type, true AS few, count(*) AS n, round(avg(value), 3) AS mean FROM events GROUP BY 1",
+    "events",
+)
+
+
+@query("a8_sketches", "SELECT l_returnflag, true AS parts, true AS hll, true AS theta, true AS med, true AS kll FROM lineitem GROUP BY 1")
 def sketches(spark, sf_dir):
-    """Approximate distinct counts and quantiles; engines differ in their sketches, so there is no oracle."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_partkey").alias("parts"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"),
-        F.percentile_approx("l_quantity", 0.5).alias("med"),
+    """Whether approximate distinct counts are within 15 % of the exact ones and approximate medians within 5 % of the
+    ranks; the estimates themselves differ from engine to engine."""
+    lines = table(spark, sf_dir, "lineitem")
+    found = lines.groupBy("l_returnflag").agg(
+        F.count_distinct("l_partkey").alias("exact"),
+        F.percentile("l_quantity", F.array(F.lit(0.45), F.lit(0.55))).alias("near"),
+        F.approx_count_distinct("l_partkey").alias("a"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("b"),
+        F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("c"),
+        F.percentile_approx("l_quantity", 0.5).alias("d"),
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("l_quantity"), F.lit(0.5)).alias("e"),
     )
+    close = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.15 * F.col("exact")
+    middle = lambda c: F.col(c).between(F.col("near")[0] - 1, F.col("near")[1] + 1)
+    return found.select("l_returnflag", close("a").alias("parts"), close("b").alias("hll"), close("c").alias("theta"), middle("d").alias("med"), middle("e").alias("kll"))

@@ -15,13 +15,10 @@ for _name, _hint in (("j1_broadcast", "/*+ BROADCAST(n) */"), ("j2_sort_merge",
     else:
         sql_query(_name, _BY_SEGMENT.format(hint=_hint).replace("{{", "{").replace("}}", "}"), tables="orders customer")
 
-_SIDES = "(SELECT s_suppkey AS k, s_acctbal AS bal FROM {supplier} WHERE s_suppkey % 3 <> 0) a {kind} JOIN (SELECT s_suppkey AS k, s_nationkey AS nation FROM {supplier} WHERE s_suppkey % 2 = 0) b ON a.k = b.k"
-for _kind in ("LEFT", "RIGHT", "FULL OUTER"):
-    sql_query(f"j4_{_kind.split()[0].lower()}", "SELECT a.k AS ak, b.k AS bk, bal, nation FROM " + _SIDES.replace("{kind}", _kind), tables="supplier")
 for _kind in ("LEFT", "RIGHT", "FULL OUTER"):
     # orders without lines are on the kept side
     _ends = "{lineitem} l RIGHT JOIN {orders} o" if _kind == "RIGHT" else f"{{orders}} o {_kind} JOIN {{lineitem}} l"
-    sql_query(f"j4_orders_{_kind.split()[0].lower()}", f"SELECT o.o_orderkey AS ok, l.l_orderkey AS lk, o_totalprice, l_quantity FROM {_ends} ON o.o_orderkey = l.l_orderkey", tables="orders lineitem")
+    sql_query(f"j4_{_kind.split()[0].lower()}", f"SELECT o.o_orderkey AS ok, l.l_orderkey AS lk, o_totalprice, l_quantity FROM {_ends} ON o.o_orderkey = l.l_orderkey", tables="orders lineitem")
 sql_query("j4_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n", tables="region nation")
 sql_query("j5_semi", "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49)", tables="orders lineitem")
 sql_query("j6_anti", "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)", tables="orders lineitem")
@@ -33,12 +30,16 @@ sql_query("j10_scalar_subquery", "SELECT o_orderkey FROM {orders} o WHERE o_tota
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str) -> DataFrame:
     """Each left row with the id of the latest right row of its key at or before its time, null if there is none; of
-    equal times the largest id. One shuffle on the key; rows with a null key or time match nothing."""
-    columns = [F.col(c) for c in left.columns]
-    both = left.select(F.struct(*columns).alias("row"), F.col(key).alias("k"), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[right_id].dataType).alias(right_id))
-    both = both.unionByName(right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.col(key).alias("k"), F.col(right_time).alias("t"), F.lit(-1).alias("side"), right_id))
-    order = Window.partitionBy("k").orderBy("t", "side", F.col(right_id).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("met", F.last(right_id, ignorenulls=True).over(order)).where("side = 1").select("row.*", F.col("met").alias(right_id))
+    equal times the largest id. One shuffle on the key. Rows with a null key or time match nothing and aren't shuffled."""
+    row = F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row")
+    kind, good = right.schema[right_id].dataType, F.col(key).isNotNull() & F.col(left_time).isNotNull()
+    both = left.where(good).select(row, F.col(key).alias("k"), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(kind).alias("met"))
+    known = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull() & F.col(right_id).isNotNull())
+    both = both.unionByName(known.select(F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.col(key).alias("k"), F.col(right_time).alias("t"), F.lit(-1).alias("side"), F.col(right_id).alias("met")))
+    order = Window.partitionBy("k").orderBy("t", "side", F.col("met").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("met", F.last("met", ignorenulls=True).over(order)).where("side = 1").select("row", "met")
+    lone = left.where(~good | good.isNull()).select(row, F.lit(None).cast(kind).alias("met"))
+    return found.unionByName(lone).select("row.*", F.col("met").alias(right_id))
 
 
 @query(
@@ -50,12 +51,24 @@ def as_of_orders(spark, sf_dir):
     return as_of(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), orders, "user_id", "ts", "o_orderdate", "o_orderkey").select("event_id", "o_orderkey")
 
 
+# all earlier orders of a user meet each event of theirs: as_of() is for keys with many rows
+sql_query(
+    "j12_correlated_as_of",
+    "SELECT e.event_id, max_by(o.o_orderkey, struct(o.o_orderdate, o.o_orderkey)) AS o_orderkey FROM {events} e LEFT JOIN {orders} o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts GROUP BY e.event_id",
+    "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts FROM events) e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate",
+    "events orders",
+)
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs with low <= point < high. Spans are dealt to the buckets of the given width that they touch, so points
-    meet few of them; a span with a null bound meets nothing."""
+    meet few of them; a null point and a span with a null bound meet nothing. Columns may have any name."""
     bucket = lambda c: F.floor(F.col(c) / width)
-    dealt = spans.where(F.col(low) < F.col(high)).withColumn("bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return points.withColumn("bucket", bucket(point)).join(dealt, "bucket").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("bucket")
+    own, other = (F.struct(*(F.col(f"`{c}`") for c in frame.columns)) for frame in (points, spans))
+    dealt = spans.where(F.col(low) < F.col(high)).select(other.alias("span"), F.explode(F.sequence(bucket(low), bucket(high))).alias("bucket"))
+    met = points.where(F.col(point).isNotNull()).select(own.alias("point"), bucket(point).alias("bucket")).join(dealt, "bucket")
+    inside = (F.col(f"point.`{point}`") >= F.col(f"span.`{low}`")) & (F.col(f"point.`{point}`") < F.col(f"span.`{high}`"))
+    return met.where(inside).select("point.*", "span.*")
 
 
 @query(

@@ -19,8 +19,10 @@ sql_query(
     "SELECT s_suppkey, 'bal' AS what, s_acctbal AS amount FROM supplier UNION ALL SELECT s_suppkey, 'twice', s_acctbal * 2 FROM supplier",
     "supplier",
 )
-sql_query("p3_posexplode", "SELECT vec_id, pos, round(x, 5) AS x FROM (SELECT vec_id, posexplode(embedding) AS (pos, x) FROM {embeddings}) WHERE pos < 4", "SELECT vec_id, (i - 1)::INTEGER AS pos, round(embedding[i], 5) AS x FROM embeddings, range(1, 5) t(i)", "embeddings")
-sql_query("p3_posexplode_whole", "SELECT vec_id, posexplode(embedding) AS (pos, x) FROM {embeddings}", "SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS pos, unnest(embedding) AS x FROM embeddings", "embeddings")
+sql_query("p3_posexplode", "SELECT vec_id, posexplode(embedding) AS (pos, x) FROM {embeddings}", "SELECT vec_id, (unnest(range(1, len(embedding) + 1)) - 1)::INTEGER AS pos, unnest(embedding) AS x FROM embeddings", "embeddings")
+sql_query("p3_explode", "SELECT event_id, explode(split(props, '\"')) AS part FROM {events}", "SELECT event_id, unnest(string_split(props, '\"')) AS part FROM events", "events")
+sql_query("p3_explode_outer", "SELECT n_nationkey, explode_outer(filter(array(n_name, 'x'), v -> n_regionkey > 1 AND v <> 'x')) AS v FROM {nation}", "SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN n_name END AS v FROM nation", "nation")
+sql_query("p3_inline", "SELECT n_nationkey, inline(array(named_struct('k', 'name', 'v', n_name), named_struct('k', 'key', 'v', cast(n_nationkey AS string)))) FROM {nation}", "SELECT n_nationkey, 'name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'key', n_nationkey::VARCHAR FROM nation", "nation")
 sql_query("p3_stack", "SELECT n_nationkey, stack(2, 'name', n_name, 'region', cast(n_regionkey AS string)) AS (k, v) FROM {nation}", "SELECT n_nationkey, 'name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation", "nation")
 sql_query("p5_qualify", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) WHERE rn = 1", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1", "orders")
 sql_query("p6_pipe", "FROM {customer} |> WHERE c_acctbal > 0 |> AGGREGATE count(*) AS n, round(sum(c_acctbal), 2) AS bal GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer WHERE c_acctbal > 0 GROUP BY 1", "customer")
@@ -29,7 +31,12 @@ sql_query("l1_sort_limit_offset", "SELECT c_custkey, c_acctbal FROM {customer} O
 sql_query("l2_top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", tables="orders")
 
 
-@query("p4_sample")
+@query("p4_sample", "SELECT true AS repeated, true AS within")
 def sample(spark, sf_dir):
-    """About a tenth of the lines; which ones is up to the engine, so there is no oracle."""
-    return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    """Whether a sample of a tenth of the lines is the same when drawn again, and within six standard deviations of a tenth.
+    Which lines are drawn is up to the engine."""
+    lines = table(spark, sf_dir, "lineitem")
+    drawn = lambda name: lines.sample(fraction=0.1, seed=7).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum("l_extendedprice").alias(f"{name}_sum"))
+    both = drawn("a").crossJoin(drawn("b")).crossJoin(lines.agg(F.count(F.lit(1)).alias("n")))
+    same = (F.col("a_n") == F.col("b_n")) & (F.round("a_sum", 2) == F.round("b_sum", 2))
+    return both.select(same.alias("repeated"), (F.abs(F.col("a_n") - 0.1 * F.col("n")) <= 6 * F.sqrt(0.09 * F.col("n"))).alias("within"))

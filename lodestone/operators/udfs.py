@@ -75,6 +75,63 @@ def map_arrow(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").mapInArrow(keep, "l_orderkey bigint, l_quantity double")
 
 
+@query("u1_plain", "SELECT n_nationkey, n_name || '!' AS loud, length(n_name)::BIGINT AS n FROM nation")
+def plain(spark, sf_dir):
+    """A row at a time, and a batch of rows at a time as pandas."""
+
+    @F.udf("string")
+    def loud(name: str) -> str:
+        return f"{name}!"
+
+    @F.pandas_udf("bigint")
+    def size(name: pd.Series) -> pd.Series:
+        return name.str.len()
+
+    return table(spark, sf_dir, "nation").select("n_nationkey", loud("n_name").alias("loud"), size("n_name").alias("n"))
+
+
+@query("u4_map_pandas", "SELECT s_suppkey, round(s_acctbal * 2, 2) AS twice FROM supplier WHERE s_acctbal > 0")
+def map_pandas(spark, sf_dir):
+    def twice(frames):
+        for frame in frames:
+            some = frame[frame.s_acctbal > 0]
+            yield pd.DataFrame({"s_suppkey": some.s_suppkey, "twice": (some.s_acctbal * 2).round(2)})
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").mapInPandas(twice, "s_suppkey bigint, twice double")
+
+
+@query("u4_grouped_pandas", "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS rest FROM orders")
+def grouped_pandas(spark, sf_dir):
+    """A customer's orders are held at once; they are few."""
+
+    def others(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"o_custkey": frame.o_custkey, "o_orderkey": frame.o_orderkey, "rest": (frame.o_totalprice.sum() - frame.o_totalprice).round(2) + 0.0})
+
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(others, "o_custkey bigint, o_orderkey bigint, rest double")
+
+
+@query("u4_grouped_arrow", "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1")
+def grouped_arrow(spark, sf_dir):
+    def top(rows: pa.Table) -> pa.Table:
+        return pa.table({"o_custkey": rows["o_custkey"][:1], "n": [rows.num_rows], "top": [pc.max(rows["o_totalprice"])]})
+
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").groupBy("o_custkey").applyInArrow(top, "o_custkey bigint, n bigint, top double")
+
+
+@query("u4_cogroup", "SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS events FROM customer")
+def cogroup(spark, sf_dir):
+    """Customers with the numbers of their orders and events; a key's rows are counted before they are sent."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    events = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    left = keys.join(orders, "k", "left").fillna(0)
+
+    def both(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [key[0]], "orders": [int(one.n.sum())], "events": [int(two.n.sum())]}) if len(one) else pd.DataFrame({"k": [], "orders": [], "events": []})
+
+    return left.groupBy("k").cogroup(events.groupBy("k")).applyInPandas(both, "k bigint, orders bigint, events bigint")
+
+
 @query("u5_sql_function", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS side FROM customer")
 def sql_function(spark, sf_dir):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION side_of(x DOUBLE) RETURNS STRING RETURN CASE WHEN x < 0 THEN 'debt' ELSE 'credit' END")

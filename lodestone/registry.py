@@ -21,6 +21,7 @@ _MODULES = (
     "operators.sets",
     "operators.udfs",
     "functions.scalars",
+    "functions.vectors",
     "streaming.events",
 )
 

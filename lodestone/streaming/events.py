@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..registry import query, table
+from ..sources.formats import shared_folder
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +22,22 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(frame: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows that a stream gives until its input ends; they are held in memory, for tests and reports."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The rows that a stream gives until its input ends, as Parquet in the shared folder. Each micro-batch has a folder of its
+    own, which a repeated one writes anew; in complete mode the last one holds all."""
+    spark = frame.sparkSession
+    root, last = shared_folder(spark), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/{number}")
+        last[:] = [number]
+
+    run = frame.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return frame.sparkSession.table(name)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in frame.schema])
+    if not last:
+        return spark.createDataFrame([], schema)
+    path = f"{root}/rows/{last[0]}" if mode == "complete" else f"{root}/rows"
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def tumbling(frame: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -76,15 +91,79 @@ _query("t8_interval_join", "SELECT c.event_id AS click_id, v.event_id AS view_id
 _query("t9_static_join", "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1", "complete")(lambda s, spark, sf: with_segment(s, table(spark, sf, "customer").select("c_custkey", "c_mktsegment")))
 
 
-@query("t10_state", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
-def running_counts(spark, sf_dir):
-    """Arbitrary state: a count per user, kept across batches; the last one of each user."""
-    import pandas as pd
+class Counts(StatefulProcessor):
+    """A count for each key, kept across batches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
 
-    def add(key, batches, state):
-        n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
-        state.update((n,))
+        n = (self.count.get()[0] if self.count.exists() else 0) + sum(len(x) for x in rows)
+        self.count.update((n,))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
 
-    counted = stream(spark, sf_dir).select("user_id").groupBy("user_id").applyInPandasWithState(add, "user_id bigint, n bigint", "n bigint", "update", "NoTimeout")
-    return drained(counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+
+@contextmanager
+def conf(spark: SparkSession, **settings: str):
+    """Settings of the session for as long as the block runs."""
+    names = {name.replace("__", "."): value for name, value in settings.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@query("t10_state", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def running_counts(spark, sf_dir):
+    """Arbitrary state in a RocksDB store: a count per user, kept across batches; the last one of each user."""
+    from ..ship import ship
+
+    ship(spark)
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with conf(spark, spark__sql__streaming__stateStore__providerClass=store):
+        counted = stream(spark, sf_dir).select("user_id").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Counts(), outputStructType="user_id bigint, n bigint", outputMode="update", timeMode="none")
+        return drained(counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+def refused(start: Callable[[], object], condition: str) -> bool:
+    """Whether start() fails with an analysis error of this condition."""
+    try:
+        start()
+    except AnalysisException as error:
+        return condition in f"{error.getCondition()} {error}"
+    return False
+
+
+@query("t1_watermark", "SELECT true AS refused, count(*) AS n FROM events")
+def watermark(spark, sf_dir):
+    """A watermark wants a timestamp: one on timestamp_ntz is refused; the cast column has one and keeps rows in order."""
+    plain = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    said = refused(lambda: drained(plain.withWatermark("ts", "10 minutes").select("event_id")), "EVENT_TIME_IS_NOT_ON_TIMESTAMP_TYPE")
+    kept = drained(stream(spark, sf_dir).withWatermark("ts", "10 minutes").select("event_id"))
+    return kept.agg(F.lit(said).alias("refused"), F.count(F.lit(1)).alias("n"))
+
+
+@query("t6_append_without_watermark", "SELECT true AS refused, count(DISTINCT user_id) AS n FROM events")
+def append_without_watermark(spark, sf_dir):
+    """An aggregation in append mode without a watermark is refused; in complete mode it gives all groups."""
+    counted = stream(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    said = refused(lambda: drained(counted), "STREAMING_OUTPUT_MODE")
+    return drained(counted, "complete").agg(F.lit(said).alias("refused"), F.count(F.lit(1)).alias("n"))
+
+
+@query("t11_late", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def late(spark, sf_dir):
+    """All events, then twice one row days later, then all events again: the second time they are behind the watermark and
+    dropped, so each window has its events once. The row from days later is in no closed window."""
+    root, events = shared_folder(spark), table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    end = events.agg(F.max("ts").alias("ts"))
+    for number, part in enumerate((events, end.selectExpr("ts + INTERVAL 2 DAYS AS ts"), end.selectExpr("ts + INTERVAL 3 DAYS AS ts"), events)):
+        part.repartition(1).write.parquet(f"{root}/{number}")
+    source = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(root)
+    return drained(tumbling(source)).where(F.col("start") <= end.select(F.col("ts").cast("timestamp_ntz")).first()[0])
