@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -52,6 +54,23 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def _give_back() -> None:
+    """Return memory that a worker holds but doesn't use to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """run for mapInArrow, after which the worker gives unused memory back: it goes on to work on other stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return tidied
+
+
 def map_by_place(frame: DataFrame, run, schema: T.StructType) -> DataFrame:
     """mapInArrow for frames whose columns may have any name: run gets and gives columns by their places."""
     plain = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema)])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import checkpoint_root, map_by_place, mapped, remove, ship, slices, table, uri, write
+from .common import checkpoint_root, map_by_place, mapped, remove, ship, slices, table, tidy, uri, write
 from .words import bytes_of, edges, hashes, mix
 
 WINDOW = 10
@@ -205,7 +205,7 @@ def report(docs: DataFrame, bench: DataFrame, most: int = MOST_BROADCAST_BYTES)
                 columns = [found.n_words, found.n_hit, np.fromiter(map(len, items), np.int64, len(items)), digests, found.n_hit > 0]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, columns)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def clean(docs: DataFrame, bench: DataFrame, most_hit: float = 0.5, most: int = MOST_BROADCAST_BYTES) -> DataFrame:
@@ -228,7 +228,7 @@ def clean(docs: DataFrame, bench: DataFrame, most_hit: float = 0.5, most: int =
                     piece = piece.filter(pa.array(found.n_hit <= most_hit * found.n_words))
                 yield piece
 
-    return map_by_place(docs, run, docs.schema)
+    return map_by_place(docs, tidy(run), docs.schema)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

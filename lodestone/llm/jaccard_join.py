@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, slices, table, written
+from .common import cut, ship, slices, table, tidy, written
 from .decontaminate import words_of
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -126,7 +126,7 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(hashes.ravel()))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(keys, pa.binary()), lists], names=["doc_id", "key", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, key binary, bands array<bigint>")
 
 
 def shingles(text: str | None) -> set[tuple[bytes, ...]]:
@@ -165,7 +165,7 @@ def differences(pairs: DataFrame, docs: DataFrame, most_broadcast: int = MOST_BR
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *columns], names=["hub", "node", "n", "hub_n", "alone", "missing"])
 
-    return both.mapInArrow(run, "hub bigint, node bigint, n int, hub_n int, alone array<bigint>, missing array<int>")
+    return both.mapInArrow(tidy(run), "hub bigint, node bigint, n int, hub_n int, alone array<bigint>, missing array<int>")
 
 
 class _Shared:
@@ -271,7 +271,7 @@ def links_of(held: DataFrame, threshold: float) -> DataFrame:
             if out is not None:
                 yield out
 
-    return rows.mapInArrow(run, "node bigint, other bigint, links bigint")
+    return rows.mapInArrow(tidy(run), "node bigint, other bigint, links bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
             keys = pa.array([key_of(words_of(t)) for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], names=["doc_id", "text", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, key binary").where("doc_id is not null and key is not null")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, text string, key binary").where("doc_id is not null and key is not null")
 
 
 def _alike(texts: DataFrame, docs: DataFrame, threshold: float, most_broadcast: int) -> DataFrame:

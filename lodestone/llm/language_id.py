@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_bucket, map_by_place, ship, slices, table
+from .common import id_bucket, map_by_place, ship, slices, table, tidy
 
 SIZES = (1, 2, 3)
 PROFILE = 300
@@ -99,7 +99,7 @@ def learn(docs: DataFrame, most: int = PROFILE) -> dict[str, list[int]]:
                     yield out()
         yield out()
 
-    counted = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint")
+    counted = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(tidy(run), "lang string, gram bigint, n bigint")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram"))
     best = summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], pred: str = "lang_
                 columns = [*piece.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    return map_by_place(docs, run, schema)
+    return map_by_place(docs, tidy(run), schema)
 
 
 #: The remainder of crc32(doc_id) modulo FOLDS that nothing is learned from.

@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship, slices, table
+from .common import ship, slices, table, tidy
 
 SPACE = "▁"
 #: What a byte piece costs, beside any piece's score; and the splits in a worker's table.
-BYTE_SCORE, MOST_SPLITS = -1e6, 250_000
+BYTE_SCORE, MOST_SPLITS = -1e6, 200_000
 #: Bytes of a split that goes through the automaton beside others, and the number of these at once.
 SHORT, BESIDE = 48, 20_000
 _MARK = SPACE.encode()
@@ -66,7 +66,7 @@ class Pieces:
             if state not in ends or (score, -at) > (ends[state][1], -ends[state][2]):
                 ends[state] = (len(raw), score, at)
         count = len(children)
-        self.next = np.zeros((count, 256), dtype=np.int32)
+        self.next = np.zeros((count, 256), dtype=np.uint16 if count <= 1 << 16 else np.int32)
         self.link = np.zeros(count, dtype=np.int32)
         self.size, self.score, self.piece = np.zeros(count, np.int32), np.zeros(count), np.full(count, -1, np.int32)
         for state, (size, score, at) in ends.items():
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), lists, pa.array(same)], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -256,7 +256,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [pieces.decode(i) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, text string")
 
 
 def model_path() -> str:
