@@ -80,7 +80,7 @@ def plain(spark, sf_dir):
     """A row at a time, and a batch of rows at a time as pandas."""
 
     @F.udf("string")
-    def loud(name: str) -> str:
+    def loud(name):
         return f"{name}!"
 
     @F.pandas_udf("bigint")

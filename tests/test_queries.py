@@ -6,6 +6,8 @@ import re
 
 import duckdb
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis.strategies import data, integers, lists, none, tuples
 
 from lodestone import registry
 
@@ -90,6 +92,20 @@ def test_as_of_against_a_loop(spark):
     assert {r.id: r.rid for r in met.collect()} == want
 
 
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data())
+def test_as_of_of_drawn_rows(spark, drawn):
+    from lodestone.operators.joins import as_of
+
+    few = integers(0, 3)
+    left = drawn.draw(lists(tuples(none() | few, none() | few), max_size=12))
+    right = drawn.draw(lists(tuples(none() | few, none() | few, integers(0, 9)), max_size=12))
+    rows = [(k, t, i) for i, (k, t) in enumerate(left)]
+    met = as_of(spark.createDataFrame(rows, "k long, t long, i long"), spark.createDataFrame(right, "k long, u long, r long"), "k", "t", "u", "r")
+    best = lambda k, t: max(((u, r) for o, u, r in right if None not in (k, t, o, u) and o == k and u <= t), default=(None, None))[1]
+    assert sorted(((r.i, r.r) for r in met.collect()), key=repr) == sorted(((i, best(k, t)) for k, t, i in rows), key=repr)
+
+
 def test_as_of_and_range_join_with_clashing_names(spark):
     from lodestone.operators.joins import as_of, range_join
 
@@ -128,9 +144,11 @@ def test_types_that_no_table_has(spark, sql, want):
 
 
 def test_pushdown_reaches_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = registry.queries()["s2_pushdown"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,45.0)" in plan and "EqualTo(l_returnflag,R)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
