@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (verdict, host, path).
@@ -78,8 +80,9 @@ def bloom_blocks(keys: DataFrame, column: str, blocks: int) -> DataFrame:
 
 
 def on_list(urls: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
-    """urls with a boolean on_list: whether the row's key is in listed. urls may repeat; null keys are on no list."""
-    keys = listed.select(F.col(listed_column).alias("listed_key")).where(F.col("listed_key").isNotNull()).distinct()
+    """urls with a boolean on_list: whether the row's key is in listed. urls may repeat; null keys are on no list. The keys
+    and the filter's verdicts are written to the shared folder, so that urls are read once."""
+    keys = written(listed.select(F.col(listed_column).alias("listed_key")).where(F.col("listed_key").isNotNull()).distinct())
     blocks = max(1, -(-keys.count() * BITS_PER_KEY // BLOCK_BITS))
     filled = bloom_blocks(keys, "listed_key", blocks)
     key = F.col(column)
@@ -89,7 +92,7 @@ def on_list(urls: DataFrame, column: str, listed: DataFrame, listed_column: str)
     possible = F.lit(True)
     for i in range(4):
         possible = possible & (F.col(f"bloom_{i}").bitwiseAND(_bit(key, i)) != 0)
-    judged = joined.withColumn("possible", F.coalesce(possible, F.lit(False))).drop("bloom_at", "bloom_block", *(f"bloom_{i}" for i in range(4)))
+    judged = written(joined.withColumn("possible", F.coalesce(possible, F.lit(False))).drop("bloom_at", "bloom_block", *(f"bloom_{i}" for i in range(4))))
     missed = judged.where(~F.col("possible")).drop("possible").withColumn("on_list", F.lit(False))
     exact = judged.where("possible").drop("possible").join(keys, key == F.col("listed_key"), "left")
     return missed.unionByName(exact.withColumn("on_list", F.col("listed_key").isNotNull()).drop("listed_key"))
