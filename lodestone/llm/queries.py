@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontaminate, jaccard_join, language_id, ngram_lm, pieces, pii, quality_rules, token_counts, url_filter
+from . import cotraining, decontaminate, jaccard_join, language_id, ngram_lm, pieces, pii, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_toxicity": toxicity.op11_toxicity,
 }
 ORACLES = {"op10_url_filters": url_filter.ORACLE}
