@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontaminate, jaccard_join, language_id, ngram_lm, pieces, pii, quality_rules, token_counts, toxicity, url_filter
+from . import collocations, cotraining, decontaminate, jaccard_join, language_id, ngram_lm, pieces, pii, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_toxicity": toxicity.op11_toxicity,
+    "op12_collocations": collocations.op12_collocations,
 }
-ORACLES = {"op10_url_filters": url_filter.ORACLE}
+ORACLES = {"op10_url_filters": url_filter.ORACLE, "op12_collocations": collocations.ORACLE}
