@@ -15,6 +15,7 @@ A text of any length may spread over several blocks: a block also holds the few
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, slices, table, tidy, written
-from .words import bytes_of
+from .words import bytes_of, text_parts
 
 LONGEST, LEAST, MOST = 5, 100, 2_000
 #: Words of a block.
@@ -33,6 +34,7 @@ BLOCK_WORDS = 2_000_000
 #: Parts in which a language's phrases are ranked before its best ones meet.
 SALTS = 64
 UNKNOWN = "und"
+_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _OUTSIDE = _ENDS.copy()
@@ -40,9 +42,8 @@ _OUTSIDE[[0x20, 0x09]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words of all texts one after another, the number of each one's text, and whether a piece starts with it."""
-    raw, offsets = bytes_of(texts)
+def tokens(raw: bytes, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts one after another, the number of each one's text, and whether a piece starts with it."""
     data = _LOWER[np.frombuffer(raw, np.uint8)]
     word = ~_OUTSIDE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -114,13 +115,14 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
         for batch in batches:
             for piece in slices(batch, 1):
-                words, text, first = tokens(piece.column(1))
-                if len(words):
-                    langs = np.array([UNKNOWN if x is None else x for x in piece.column(0).to_pylist()], dtype=object)
-                    held.append((words, langs[text].astype(str), first))
-                    size += len(words)
-                if size > 1.5 * block_words:
-                    yield from out(False)
+                langs = np.array([UNKNOWN if x is None else x for x in piece.column(0).to_pylist()], dtype=object)
+                for raw, offsets in text_parts(*bytes_of(piece.column(1)), _END):
+                    words, text, first = tokens(raw, offsets)
+                    if len(words):
+                        held.append((words, langs[text].astype(str), first))
+                        size += len(words)
+                    if size > 1.5 * block_words:
+                        yield from out(False)
         if held:
             yield from out(True)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, cotraining, decontaminate, jaccard_join, language_id, ngram_lm, pieces, pii, quality_rules, token_counts, toxicity, url_filter
+from . import collocations, cotraining, decontaminate, jaccard_join, language_id, lexical_search, ngram_lm, pieces, pii, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_toxicity": toxicity.op11_toxicity,
     "op12_collocations": collocations.op12_collocations,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
-ORACLES = {"op10_url_filters": url_filter.ORACLE, "op12_collocations": collocations.ORACLE}
+ORACLES = {"op10_url_filters": url_filter.ORACLE, "op12_collocations": collocations.ORACLE, "op13_lexical_search": lexical_search.ORACLE}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -59,3 +62,20 @@ def hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
         out[more] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[more], ends[more], strict=True)]
     return out
+
+
+#: Bytes from which a text is read part by part.
+LONG_TEXT = 8_000_000
+
+
+def text_parts(raw: bytes, offsets: np.ndarray, gap: re.Pattern[bytes], most: int = LONG_TEXT) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Texts one after another as they come, or, where they are longer than most bytes, part by part: a part ends after a
+    match of gap, so nothing that gap keeps apart is cut. Offsets always have an entry for each text."""
+    start = 0
+    while len(raw) - start > most:
+        found = gap.search(raw, start + most)
+        if not found:
+            break
+        yield raw[start : found.end()], np.clip(offsets - start, 0, found.end() - start)
+        start = found.end()
+    yield (raw[start:] if start else raw), np.clip(offsets - start, 0, len(raw) - start)
