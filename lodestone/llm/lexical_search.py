@@ -83,11 +83,13 @@ def coded(values: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def decoded(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.int64)
     data = np.frombuffer(raw, np.uint8)
     last = np.flatnonzero(data >= 128)
     starts = np.concatenate([[0], last[:-1] + 1])
     within = np.arange(len(data)) - np.repeat(starts, last - starts + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << 7 * within, starts) if len(data) else np.zeros(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * within, starts)
 
 
 def measures(sizes: np.ndarray, documents: int, total: int) -> np.ndarray:
