@@ -23,6 +23,10 @@ _MODULES = (
     "functions.scalars",
     "functions.vectors",
     "streaming.events",
+    "corpus.exact_copies",
+    "corpus.repeated_lines",
+    "corpus.html_text",
+    "corpus.conversations",
 )
 
 

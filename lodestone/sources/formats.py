@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..registry import query, sql_query, table
+from ..shared import shared_folder
 
 sql_query("s1_scan", "SELECT * FROM {nation}", tables="nation")
 sql_query("s2_pushdown", "SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity >= 45 AND l_returnflag = 'R'", tables="lineitem")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    path = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
-    # what is written there goes when the driver ends
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
 def round_trip(frame: DataFrame, form: str, **options: str) -> DataFrame:
     """Write a frame in a format and read it back with its schema."""
     path = shared_folder(frame.sparkSession)
