@@ -8,8 +8,10 @@ import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis.strategies import data, integers, lists, none, tuples
+from pyspark.sql import functions as F
 
 from lodestone import registry
+from lodestone.registry import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,6 +70,68 @@ def test_nearest_against_a_loop(spark):
     assert nearest(frame, asked.limit(0), 4).count() == nearest(frame.limit(0), asked, 4).count() == 0 and rows_of_zero
 
 
+def _loop(rows, asked, most):
+    """The same answer from all pairs."""
+    import numpy as np
+
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(i, v / np.linalg.norm(v)) for i, v in good]
+    out = []
+    for q in asked:
+        for i, c in sorted(((i, round(float(u @ v), 4) + 0.0) for k, u in good if k == q for i, v in good if len(u) == len(v)), key=lambda x: (-x[1], x[0]))[:most]:
+            out.append((q, i, c))
+    return sorted(out)
+
+
+def _vectors():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(int(i) - 30, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(70)]
+    rows += [(2**62, [1.0, 1.0, 0.0, 0.0]), (-(2**63), [0.5, 0.5, 0.0, 0.0]), (101, [1.0, 2.0]), (102, [2.0, 1.0]), (103, [1.0] * 7), (104, None), (105, []), (106, [0.0] * 4), (107, [1.0, None, 0.0, 2.0])]
+    return [*rows, (108, [float("nan")] * 4), (109, [float("inf"), 0.0, 0.0, 1.0]), (None, [1.0, 0.0, 0.0, 0.0]), (5, [1.0, 1.0, 0.0, 1.0])]
+
+
+@pytest.mark.parametrize("asked", [[-30, -3, 0, 4], [101, 103, -7], [2**62, -(2**63), 104, 106, 108], [3]])
+@pytest.mark.parametrize("index", [False, True])
+def test_vectors_of_several_lengths_and_any_id(spark, asked, index):
+    """One longer row or query among others loses nothing."""
+    from lodestone.functions.vectors import Index, nearest
+
+    rows = _vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    some = frame.where(f"vec_id in ({', '.join(map(str, asked))})".replace(str(-(2**63)), f"{-(2**63) + 1} - 1"))
+    for block in (10_000, 2):
+        found = Index(frame, lists=5, sample=30).nearest(some, 6, 2, block=block) if index else nearest(frame, some, 6, block)
+        assert sorted(tuple(r) for r in found.collect()) == _loop(rows, asked, 6)
+
+
+def test_inverted_file_probing_few_lists(spark):
+    """Recall of the 10 nearest when few lists are probed, and no loss when the others are held against their bounds."""
+    from lodestone.functions.vectors import Index, nearest
+
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    exact = {tuple(r)[:2] for r in nearest(rows, asked).collect()}
+    index = Index(rows)
+    assert index.rows.count() == rows.count() and index.rows.select("list").distinct().count() > 8
+    some = {tuple(r)[:2] for r in index.nearest(asked, exact=False).collect()}
+    assert {tuple(r)[:2] for r in index.nearest(asked).collect()} == exact and len(some & exact) >= 0.9 * len(exact)
+
+
+def test_index_of_equal_and_of_no_vectors(spark):
+    from lodestone.functions.vectors import Index
+
+    same = spark.range(3_000).selectExpr("id AS vec_id", "array(1f, 2f) AS embedding")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index = Index(same, lists=4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.vec_id for r in index.nearest(same.where("vec_id = 7"), 3).orderBy("vec_id").collect()] == [0, 1, 2]
+    parts = index.rows.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert parts.agg(F.max("count")).first()[0] < 3_000, "a list of many rows is spread"
+    assert Index(same.limit(0)).nearest(same.limit(5)).count() == Index(same).nearest(same.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["left", "right", "full"])
 def test_outer_joins_of_whole_tables(spark, duck, kind):
     found = registry.queries()[f"j4_{kind}"](spark, SF)
