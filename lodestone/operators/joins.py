@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..registry import query, sql_query, table
 
@@ -28,16 +29,42 @@ sql_query("j9_lateral", "SELECT c.c_custkey, t.n, t.top FROM {customer} c, LATER
 sql_query("j10_scalar_subquery", "SELECT o_orderkey FROM {orders} o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)", tables="orders")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str) -> DataFrame:
+#: Blocks of time into which a key's rows are dealt.
+TIME_BLOCKS = 1_024
+
+
+def _number(column: Column, kind: DataType) -> Column:
+    """A time as a double that orders as the time does; 0 for types that have no such number."""
+    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+        start = F.expr("timestamp_ntz '1970-01-01 00:00:00'" if isinstance(kind, TimestampNTZType) else "timestamp '1970-01-01 00:00:00'")
+        return F.timestamp_diff("MICROSECOND", start, column.cast("timestamp") if isinstance(kind, DateType) else column).cast("double")
+    return column.cast("double") if isinstance(kind, NumericType) else F.lit(0.0)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str, blocks: int = TIME_BLOCKS) -> DataFrame:
     """Each left row with the id of the latest right row of its key at or before its time, null if there is none; of
-    equal times the largest id. One shuffle on the key. Rows with a null key or time match nothing and aren't shuffled."""
+    equal times the largest id. Rows with a null key or time match nothing and aren't shuffled.
+
+    Rows are shuffled once, by key and block of time, so a key with many rows has many tasks. A right row that no block of
+    its own decides comes from an earlier one: the last right row of each block is carried forward in a table of one row for each key and block."""
     row = F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row")
     kind, good = right.schema[right_id].dataType, F.col(key).isNotNull() & F.col(left_time).isNotNull()
     both = left.where(good).select(row, F.col(key).alias("k"), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(kind).alias("met"))
     known = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull() & F.col(right_id).isNotNull())
     both = both.unionByName(known.select(F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.col(key).alias("k"), F.col(right_time).alias("t"), F.lit(-1).alias("side"), F.col(right_id).alias("met")))
-    order = Window.partitionBy("k").orderBy("t", "side", F.col("met").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("met", F.last("met", ignorenulls=True).over(order)).where("side = 1").select("row", "met")
+    time = _number(F.col("t"), both.schema["t"].dataType)
+    low, high = both.select(time.alias("n")).where("n = n AND abs(n) < double('Infinity')").agg(F.min("n"), F.max("n")).first()
+    block = F.lit(0)
+    if low is not None and high > low:
+        # NaN is after all times
+        block = F.when(F.isnan(time), blocks).otherwise(F.least(F.greatest(F.floor((time - low) / (high - low) * blocks), F.lit(0)), F.lit(blocks)))
+    both = both.withColumn("block", block.cast("int"))
+    order = Window.partitionBy("k", "block").orderBy("t", "side", F.col("met").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("met", F.last("met", ignorenulls=True).over(order)).where("side = 1").select("row", "met", "k", "block")
+    ends = both.groupBy("k", "block").agg(F.max(F.when(F.col("side") == -1, F.struct("t", "met"))).alias("last"))
+    before = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("k", "block", F.last("last.met", ignorenulls=True).over(before).alias("carried"))
+    found = found.join(carried, ["k", "block"], "left").select("row", F.coalesce("met", "carried").alias("met"))
     lone = left.where(~good | good.isNull()).select(row, F.lit(None).cast(kind).alias("met"))
     return found.unionByName(lone).select("row.*", F.col("met").alias(right_id))
 

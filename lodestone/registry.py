@@ -18,6 +18,7 @@ _MODULES = (
     "operators.joins",
     "operators.aggregates",
     "operators.windows",
+    "operators.ranked",
     "operators.sets",
     "operators.udfs",
     "functions.scalars",
