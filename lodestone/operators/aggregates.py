@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query, sql_query, table
+from ..shared import written
 
 sql_query("a2_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM {lineitem} GROUP BY l_returnflag", tables="lineitem")
 for _kind, _by in (("cube", "CUBE (o_orderstatus, o_orderpriority)"), ("rollup", "ROLLUP (o_orderstatus, o_orderpriority)"), ("sets", "GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")):
@@ -79,3 +80,40 @@ def sketches(spark, sf_dir):
     close = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.15 * F.col("exact")
     middle = lambda c: F.col(c).between(F.col("near")[0] - 1, F.col("near")[1] + 1)
     return found.select("l_returnflag", close("a").alias("parts"), close("b").alias("hll"), close("c").alias("theta"), middle("d").alias("med"), middle("e").alias("kll"))
+
+
+def sketched(rows, keys: list[str], counted: str, measured: str):
+    """A row for each group with sketches of the distinct values of one column (hll, theta) and of another's ranks (kll), and its rows (n). They
+    are small, can be stored, and groups of groups merge them without reading the rows again."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(counted, 12).alias("hll"), F.theta_sketch_agg(counted, 14).alias("theta"), F.kll_sketch_agg_double(measured).alias("kll"))
+
+
+@query(
+    "a8_merged_sketches",
+    "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS parts, true AS hll_near, true AS theta_near, true AS kll_near FROM lineitem GROUP BY 1",
+)
+def merged_sketches(spark, sf_dir):
+    """Sketches by flag and quarter, stored as Parquet, read back and merged by flag; beside the exact counts whether the merged estimates
+    are within 5 % of them, and the merged quartiles within 2 % of the ranks."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("quarter", F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")))
+    stored = written(sketched(lines, ["l_returnflag", "quarter"], "l_partkey", "l_extendedprice"))
+    merged = stored.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("hll"), F.theta_sketch_estimate(F.theta_union_agg("theta")).alias("theta"), F.kll_merge_agg_double("kll").alias("kll"))
+    quartiles = [F.kll_sketch_get_quantile_double("kll", F.lit(s)).alias(f"q{i}") for i, s in enumerate((0.25, 0.5, 0.75))]
+    merged = merged.select("l_returnflag", "n", "hll", "theta", *quartiles)
+    below = [F.count_if(F.col("l_extendedprice") <= F.col(f"q{i}")).alias(f"below{i}") for i in range(3)]
+    exact = lines.join(merged, "l_returnflag").groupBy("l_returnflag", "n", "hll", "theta").agg(F.count_distinct("l_partkey").alias("parts"), *below)
+    near = lambda c: F.abs(F.col(c) - F.col("parts")) <= 0.05 * F.col("parts")
+    ranks = F.greatest(*(F.abs(F.col(f"below{i}") / F.col("n") - 0.25 * (i + 1)) for i in range(3)))
+    return exact.select("l_returnflag", "n", "parts", near("hll").alias("hll_near"), near("theta").alias("theta_near"), (ranks <= 0.02).alias("kll_near"))
+
+
+@query("a8_theta_overlap", "SELECT count(*) AS shared, true AS near FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def theta_overlap(spark, sf_dir):
+    """Parts that two flags share: the intersection of their stored sketches, beside the exact number, within 5 % of the union."""
+    lines = table(spark, sf_dir, "lineitem")
+    stored = written(lines.groupBy("l_returnflag").agg(F.theta_sketch_agg("l_partkey", 14).alias("theta")))
+    side = lambda flag, name: stored.where(F.col("l_returnflag") == flag).select(F.col("theta").alias(name))
+    both = side("A", "a").crossJoin(side("R", "r")).select(F.theta_sketch_estimate(F.theta_intersection("a", "r")).alias("met"), F.theta_sketch_estimate(F.theta_union("a", "r")).alias("all"))
+    parts = lambda flag: lines.where(F.col("l_returnflag") == flag).select("l_partkey")
+    exact = parts("A").intersect(parts("R")).agg(F.count(F.lit(1)).alias("shared"))
+    return exact.crossJoin(both).select("shared", (F.abs(F.col("met") - F.col("shared")) <= 0.05 * F.col("all")).alias("near"))

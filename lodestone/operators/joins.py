@@ -87,13 +87,29 @@ sql_query(
 )
 
 
+#: Levels of a range join: each has buckets twice as wide as the one before.
+LEVELS = 40
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= point < high. Spans are dealt to the buckets of the given width that they touch, so points
-    meet few of them; a null point and a span with a null bound meet nothing. Columns may have any name."""
-    bucket = lambda c: F.floor(F.col(c) / width)
+    """Pairs with low <= point < high. Columns may have any name.
+
+    A span goes to the level whose buckets are at least as wide as it is (width, twice, four times and so on), and there to the buckets that it touches, two at
+    most (three, where rounding has it so). Points meet the levels that spans are on, in one bucket each; spans wider than all levels, or with an infinite
+    bound, are on a last level of one bucket. A null or NaN point is in no span; a span with a null or NaN bound, or one not above the other, holds none."""
     own, other = (F.struct(*(F.col(f"`{c}`") for c in frame.columns)) for frame in (points, spans))
-    dealt = spans.where(F.col(low) < F.col(high)).select(other.alias("span"), F.explode(F.sequence(bucket(low), bucket(high))).alias("bucket"))
-    met = points.where(F.col(point).isNotNull()).select(own.alias("point"), bucket(point).alias("bucket")).join(dealt, "bucket")
+    side = lambda c: F.col(f"`{c}`").cast("double")
+    good = spans.where((F.col(f"`{low}`") < F.col(f"`{high}`")) & ~F.isnan(side(low)) & ~F.isnan(side(high)))
+    wide = (side(high) - side(low)) / width
+    # a bucket's number must be exact, so far-off bounds are on the last level too
+    far = (wide > 2.0 ** (LEVELS - 1)) | (F.greatest(F.abs(side(low)), F.abs(side(high))) / width > 2.0**52)
+    level = F.when(far, LEVELS).otherwise(F.ceil(F.log2(F.greatest(wide, F.lit(1.0))))).cast("int")
+    bucket = lambda c, level: F.when(level < LEVELS, F.floor(c / (width * F.pow(F.lit(2.0), level)))).otherwise(0)
+    dealt = good.select(other.alias("span"), level.alias("level"), side(low).alias("l"), side(high).alias("h"))
+    dealt = dealt.select("span", "level", F.explode(F.sequence(bucket(F.col("l"), F.col("level")), bucket(F.col("h"), F.col("level")))).alias("bucket"))
+    levels = sorted(r.level for r in dealt.select("level").distinct().collect())
+    at = points.where(F.col(f"`{point}`").isNotNull() & ~F.isnan(side(point))).select(own.alias("point"), side(point).alias("p"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    met = at.select("point", "level", bucket(F.col("p"), F.col("level")).alias("bucket")).join(dealt, ["level", "bucket"])
     inside = (F.col(f"point.`{point}`") >= F.col(f"span.`{low}`")) & (F.col(f"point.`{point}`") < F.col(f"span.`{high}`"))
     return met.where(inside).select("point.*", "span.*")
 

@@ -28,6 +28,7 @@ _MODULES = (
     "corpus.repeated_lines",
     "corpus.html_text",
     "corpus.conversations",
+    "corpus.licences",
 )
 
 

@@ -1,12 +1,13 @@
-"""X1, X3, X7 and X8 against plain versions: nulls, empties, repeats, long values, hot keys, clashing names."""
+"""X1, X3, X5, X7 and X8 against plain versions: nulls, empties, repeats, long values, hot keys, clashing names."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.corpus import conversations, exact_copies, html_text, repeated_lines
+from lodestone.corpus import conversations, exact_copies, html_text, licences, repeated_lines
 
 # X1
 
@@ -197,3 +198,36 @@ def test_a_long_conversation_is_in_parts(spark):
     turns = spark.range(100_000).selectExpr("1 AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "'text' AS text")
     found = conversations.parts(turns).agg(F.count("*"), F.max("n_turns"), F.sum("n_role_breaks"), F.sum("n_missing")).first()
     assert tuple(found) == (100, 1_000, 0, 0) and conversations.summary(turns).first().sound
+
+
+# X5
+
+
+def plain_notices(rows, phrases):
+    out = []
+    for i, text in rows:
+        for family, own in phrases.items():
+            words = "|".join("[^0-9A-Za-z]+".join(re.findall("[0-9A-Za-z]+", p)) for p in own)
+            out += [(i, family, m.start(), m.end()) for m in re.finditer(words, text or "", re.IGNORECASE | re.ASCII)] if own else []
+    return sorted(out, key=repr)
+
+
+def test_licence_notices(spark):
+    lines = ["Licensed under the Apache License, Version 2.0.", "RELEASED\nunder the  MIT-License", "gnu general public license", "All rights reserved", "Licensed under CC BY-NC 4.0.", "the license of no one", "é🎉 grüße", "a" * 50_000]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(lines) for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(3, None), (None, lines[0]), (4, ""), (5, f"{lines[0]} " * 2_000)]
+    found = sorted((tuple(r) for r in licences.notices(documents(spark, rows)).collect()), key=repr)
+    assert found == plain_notices(rows, licences.PHRASES) and len({f for _, f, _, _ in found}) == 5
+    own = {"mine": ("my licence", "my"), "none": ()}
+    said = spark.createDataFrame([(1, "My licence, my own")], "doc_id long, text string")
+    assert [tuple(r)[1:] for r in licences.notices(said, own).orderBy("start").collect()] == [("mine", 0, 10), ("mine", 12, 14)]
+    assert licences.notices(said, {}).count() == licences.notices(said.limit(0)).count() == 0
+
+
+def test_planted_licence_lines(spark):
+    """Every line of the tables that says it is a licence is found under its family, and no text without one has a notice."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = {"apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc": "Licensed under CC BY-NC 4.0.", "proprietary": "All rights reserved."}
+    want = {(r.doc_id, family) for family, line in planted.items() for r in docs.where(F.contains("text", F.lit(line))).select("doc_id").collect()}
+    found = {(r.doc_id, r.family) for r in licences.notices(docs).collect()}
+    assert want and len(found & want) == len(want) and not found - want, (len(want), len(found), sorted(found - want)[:5])

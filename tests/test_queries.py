@@ -182,6 +182,26 @@ def test_as_of_and_range_join_with_clashing_names(spark):
     assert met.columns == ["p", "bucket", "low", "high", "point"] and {(r.bucket, r.point) for r in met.collect()} == {(1, "a"), (3, "b")}
 
 
+@pytest.mark.parametrize("width", [0.5, 10.0, 1e6])
+def test_range_join_of_drawn_spans(spark, width):
+    """Spans of all widths, the whole domain, infinite and NaN bounds."""
+    import random
+
+    from lodestone.operators.joins import range_join
+
+    rng, nan, inf = random.Random(3), float("nan"), float("inf")
+    points = [(i, rng.choice([rng.uniform(-50, 50), rng.uniform(-1e9, 1e9), float(rng.randint(-8, 8))])) for i in range(150)] + [(900, None), (901, nan), (902, inf), (903, -inf), (904, 1e300), (905, -0.0)]
+    spans = [(i, low, low + rng.choice([0.0, 0.25, 1.0, 8.0, 60.0, 5e8, -1.0])) for i, low in enumerate([float(rng.randint(-60, 60)) for _ in range(80)])]
+    spans += [(900, -inf, inf), (901, -1e12, 1e12), (902, nan, 3.0), (903, None, 3.0), (904, 0.0, nan), (905, 0.0, inf), (906, -1e300, 1e301), (907, 4.0, None), (908, 0.1 + 0.2, 0.3 + 4)]
+    frame = spark.createDataFrame(spans, "sid long, low double, high double")
+    met = range_join(spark.createDataFrame(points, "pid long, p double"), frame, "p", "low", "high", width)
+    good = [(s, a, b) for s, a, b in spans if a is not None and b is not None and a < b]
+    assert sorted((r.pid, r.sid) for r in met.collect()) == sorted((i, s) for i, p in points if p is not None and p == p for s, a, b in good if a <= p < b)
+    whole = spark.createDataFrame([(1, -1e15, 1e15)] * 3, "sid long, low double, high double")
+    plan = range_join(spark.range(5).selectExpr("id", "id + 0.5D AS p"), whole, "p", "low", "high", 1e-3)
+    assert plan.count() == 15
+
+
 def test_not_in_with_a_null(spark):
     spark.createDataFrame([(1,), (None,)], "x int").createOrReplaceTempView("some_and_null")
     assert spark.sql("SELECT * FROM VALUES (1), (2) AS t(x) WHERE x NOT IN (SELECT x FROM some_and_null)").count() == 0
