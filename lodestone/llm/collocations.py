@@ -3,8 +3,9 @@
 The corpus is cut into blocks of about BLOCK_WORDS words, and each block keeps, for every phrase in it, the sorted list of the
 positions where it starts. A phrase grows by one word where its list meets, one position on, the list of a phrase of the same length that
 has the added word: the lists of a block are merge-joined, so a longer phrase's list is made of shorter ones' and its length is the exact
-count. Only counts leave a block. They are summed over all blocks, and the next round reads the lists of phrases that occur often enough
-in the whole corpus; phrases are known by exact numbers given in each round, not by hashes.
+count. Only keys and counts leave a block, dealt to parts by a hash of the key. A part sums the counts of all blocks, gives numbers to
+phrases that occur often enough in the whole corpus, and tells each block which of its lists they are; the block grows only those.
+Phrases are compared as words, or as pairs of such numbers, never by hashes.
 
 All is per language; a null language is "und". Pieces end at [.,;:!?\\x0A-\\x0D] and at the end of a text, and no phrase crosses
 them; a gap in the positions keeps them apart.
@@ -16,6 +17,7 @@ A text of any length may spread over several blocks: a block also holds the few
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table, tidy, written
-from .words import bytes_of, text_parts
+from .common import new_folder, remove, ship, slices, table, tidy, written
+from .words import bytes_of, hashes, mix, text_parts
 
 LONGEST, LEAST, MOST = 5, 100, 2_000
-#: Words of a block.
-BLOCK_WORDS = 2_000_000
+#: Words of a block; bytes of text whose keys a part holds, about.
+BLOCK_WORDS, PART_BYTES = 2_000_000, 3_000_000
 #: Parts in which a language's phrases are ranked before its best ones meet.
 SALTS = 64
 UNKNOWN = "und"
@@ -60,31 +62,57 @@ def tokens(raw: bytes, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.nd
     return words, text, first
 
 
-def pack(places: np.ndarray) -> bytes:
-    """Lists of positions one after another, in few bytes."""
-    steps = np.diff(places, prepend=0).astype("<i4")
-    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+def pack(values: np.ndarray) -> bytes:
+    """Numbers in few bytes, if neighbours are near each other."""
+    steps = np.diff(values.astype(np.int64), prepend=0).astype("<i8")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    parts = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.cumsum(np.ascontiguousarray(parts.reshape(4, -1).T).view("<i4").ravel().astype(np.int64))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel())
 
 
-def lists_of(keys: np.ndarray, places: np.ndarray, own: int) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
-    """The distinct keys in order, their positions list by list, the lists' lengths, and how many positions are below own."""
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(first, len(keys)))
-    return keys[first], pack(places), sizes.astype("<i4"), np.add.reduceat((places < own).astype(np.int64), first)
+class Lists:
+    """The lists of a block: for each key, which are in order of their part and then as given, the sorted positions."""
 
+    def __init__(self, keys: np.ndarray, part_of: np.ndarray, places: np.ndarray, own: int):
+        """keys: a number for each position; part_of: the part of each number."""
+        order = np.lexsort((places, keys, part_of[keys]))
+        keys, places = keys[order], places[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.keys, self.places, self.sizes = keys[first], places, np.diff(np.append(first, len(keys)))
+        self.n = np.add.reduceat((places < own).astype(np.int64), first)
+        self.parts, begins = np.unique(part_of[self.keys], return_index=True)
+        self.ends = np.append(begins[1:], len(self.keys))
 
-_STATE = "block bigint, own bigint, lists binary, sizes binary, n array<bigint>"
+    def state(self, block: int, own: int) -> list[pa.Array]:
+        values = [pack(x) for x in (self.places, self.sizes, self.parts, self.ends)]
+        return [pa.array([block]), pa.array([own]), *(pa.array([v], pa.binary()) for v in values)]
 
+    def cut(self, values: np.ndarray) -> pa.Array:
+        """Values of the keys, packed part by part."""
+        return pa.array([pack(values[a:b]) for a, b in zip(np.append(0, self.ends[:-1]), self.ends, strict=True)], pa.binary())
 
-def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each block, with the lists of its words: keys holds each one's language and word."""
+
+_STATE = "block bigint, own bigint, places binary, sizes binary, parts binary, ends binary"
+_ROWS = f"{_STATE}, part bigint, langs array<string>, lang binary, words binary, ends_at binary, first binary, rest binary, n binary"
+_MERGED = "block bigint, part bigint, at binary, ids binary, found array<struct<id: bigint, first: bigint, rest: bigint, lang: string, word: string, a: bigint>>, total array<struct<lang: string, n: bigint>>"
+_SCHEMA = pa.schema([(name, pa.list_(pa.string()) if name == "langs" else pa.int64() if kind == "bigint" else pa.binary()) for name, kind in (x.split() for x in _ROWS.split(", "))])
+_FOUND = pa.struct([("id", pa.int64()), ("first", pa.int64()), ("rest", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("a", pa.int64())])
+_TOTAL = pa.struct([("lang", pa.string()), ("n", pa.int64())])
+
+
+def _rows(lists: Lists, block: int, own: int, keys: dict[str, pa.Array]) -> pa.Table:
+    """A row with the block's lists and, for each part, a row with its keys and their counts. A row has lists or a part."""
+    count = len(lists.parts)
+    state = dict(zip(("block", "own", "places", "sizes", "parts", "ends"), lists.state(block, own), strict=True))
+    keys = keys | {"block": pa.array(np.full(count, block)), "part": pa.array(lists.parts), "n": lists.cut(lists.n)}
+    return pa.concat_tables([pa.table([x.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in _SCHEMA], schema=_SCHEMA) for x, n in ((state, 1), (keys, count))])
+
+
+def blocks(docs: DataFrame, parts: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The lists of single words of each block, and the words with their counts by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -103,14 +131,19 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     own = block_words
                 stop = min(len(words), start + own + LONGEST - 1)
                 places = np.arange(stop - start) + np.cumsum(first[start:stop])
+                limit = int(places[own - 1]) + 1
                 coded = words.slice(start, stop - start).dictionary_encode()
-                names, both = np.unique(langs[start:stop], return_inverse=True)
-                keys, lists, sizes, n = lists_of(both * len(coded.dictionary) + np.asarray(coded.indices, np.int64), places, int(places[own - 1]) + 1)
-                lang, word = np.divmod(keys, len(coded.dictionary))
-                said = pa.array(names.tolist(), pa.string()).take(pa.array(lang))
-                key = pa.StructArray.from_arrays([said, coded.dictionary.take(pa.array(word)).cast(pa.string())], ["lang", "word"])
-                columns = [pa.array([made]), pa.array([int(places[own - 1]) + 1]), pa.array([lists]), pa.array([sizes.tobytes()]), pa.array([n.tolist()], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays([0, len(key)], key)], names=["block", "own", "lists", "sizes", "n", "keys"])
+                names, lang = np.unique(langs[start:stop], return_inverse=True)
+                distinct, key = np.unique(lang * len(coded.dictionary) + np.asarray(coded.indices, np.int64), return_inverse=True)
+                lang, word = np.divmod(distinct, len(coded.dictionary))
+                raw, offsets = bytes_of(coded.dictionary)
+                named = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in names.tolist()], np.uint64)
+                part = (mix(hashes(raw, offsets[:-1], offsets[1:])[word] + named[lang]) % np.uint64(parts)).astype(np.int64)
+                lists = Lists(key, part, places, limit)
+                raw, offsets = bytes_of(coded.dictionary.take(pa.array(word[lists.keys])))
+                said = [zstandard.ZstdCompressor(level=1).compress(raw[offsets[i] : offsets[j]]) for i, j in zip(np.append(0, lists.ends[:-1]), lists.ends, strict=True)]
+                keys = {"langs": pa.array([names.tolist()] * len(said), pa.list_(pa.string())), "lang": lists.cut(lang[lists.keys]), "words": pa.array(said, pa.binary()), "ends_at": lists.cut(np.diff(offsets))}
+                yield from _rows(lists, made, limit, keys).to_batches()
                 made, start = made + 1, start + own
 
         for batch in batches:
@@ -126,59 +159,124 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         if held:
             yield from out(True)
 
-    return docs.select(F.col("lang").cast("string"), "text").mapInArrow(tidy(run), f"{_STATE}, keys array<struct<lang: string, word: string>>")
-
-
-def grown(key, state: pa.Table, known: pa.Table) -> pa.Table:
-    """The lists of phrases that are one word longer. known: the places and numbers of the lists that are to grow."""
-    names = ["block", "own", "lists", "sizes", "n", "keys"]
-    kind = pa.struct([("first", pa.int64()), ("rest", pa.int64())])
-    none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(kind))], names=names)
-    if not state.num_rows or not known.num_rows:
-        return none
-    own, sizes = state.column("own")[0].as_py(), np.frombuffer(state.column("sizes")[0].as_py(), "<i4")
-    number = np.full(len(sizes), -1)
-    number[np.asarray(known.column("place"))] = np.arange(known.num_rows)
-    ids = np.asarray(known.column("id"), np.int64)
-    places, of = unpack(state.column("lists")[0].as_py()), np.repeat(number, sizes)
-    places, of = places[of >= 0], of[of >= 0]
-    at = np.full(int(places.max()) + 2, -1)
-    at[places] = of
-    met = at[places + 1]
-    left, right, places = of[met >= 0], met[met >= 0], places[met >= 0]
-    if not len(left):
-        return none
-    keys, lists, sizes, n = lists_of(left * len(ids) + right, places, own)
-    first, rest = np.divmod(keys, len(ids))
-    pairs = pa.StructArray.from_arrays([pa.array(ids[first]), pa.array(ids[rest])], fields=list(kind))
-    columns = [pa.array([key[0].as_py()]), pa.array([own]), pa.array([lists]), pa.array([sizes.tobytes()]), pa.array([n.tolist()], pa.list_(pa.int64()))]
-    return pa.table([*columns, pa.ListArray.from_arrays([0, len(pairs)], pairs)], names=names)
-
-
-def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> DataFrame:
+    return docs.select(F.col("lang").cast("string"), "text").mapInArrow(tidy(run), _ROWS)
+
+
+def merger(least: int, parts: int):
+    """For applyInArrow on the rows of a part, from all blocks: keys that occur often enough get numbers, and each block is told which of
+    its keys they are. A block's row has the places of such keys in its part and their numbers, the last row what was found."""
+
+    def merged(rows: pa.Table) -> pa.Table:
+        part, n = rows.column("part")[0].as_py(), [unpack(x) for x in rows.column("n").to_pylist()]
+        sizes, n = np.array([len(x) for x in n]), np.concatenate(n)
+        total = pa.array([[]], pa.list_(_TOTAL))
+        if rows.column("first").null_count:
+            names = [name for own, codes in zip(rows.column("langs").to_pylist(), rows.column("lang").to_pylist(), strict=True) for name in np.array(own, dtype=object)[unpack(codes)]]
+            raw = b"".join(zstandard.ZstdDecompressor().decompress(x) if x else b"" for x in rows.column("words").to_pylist())
+            edges = np.concatenate([[0], np.cumsum(np.concatenate([unpack(x) for x in rows.column("ends_at").to_pylist()]))]).astype(np.int64)
+            lang = pa.array(names, pa.string()).dictionary_encode()
+            word = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
+            key = np.asarray(lang.indices, np.int64) * len(word.dictionary) + np.asarray(word.indices, np.int64)
+            distinct, of = np.unique(key, return_inverse=True)
+            sums = np.zeros(len(lang.dictionary), np.int64)
+            np.add.at(sums, np.asarray(lang.indices), n)
+            total = pa.ListArray.from_arrays([0, len(sums)], pa.StructArray.from_arrays([lang.dictionary, pa.array(sums)], fields=list(_TOTAL)))
+        else:
+            first, rest = (np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("first", "rest"))
+            order = np.lexsort((rest, first))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(first[order]) != 0) | (np.diff(rest[order]) != 0)
+            of = np.empty(len(order), np.int64)
+            of[order] = np.cumsum(new) - 1
+            distinct = order[new]
+        a = np.zeros(len(distinct), np.int64)
+        np.add.at(a, of, n)
+        often = np.flatnonzero(a >= least)
+        number = np.full(len(a), -1)
+        number[often] = np.arange(len(often)) * parts + part
+        if rows.column("first").null_count:
+            own = [pa.array(number[often]), pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), lang.dictionary.take(pa.array(distinct[often] // len(word.dictionary))), word.dictionary.take(pa.array(distinct[often] % len(word.dictionary))).cast(pa.string())]
+        else:
+            own = [pa.array(number[often]), pa.array(first[distinct[often]]), pa.array(rest[distinct[often]]), pa.nulls(len(often), pa.string()), pa.nulls(len(often), pa.string())]
+        found = pa.ListArray.from_arrays([0, len(often)], pa.StructArray.from_arrays([*own, pa.array(a[often])], fields=list(_FOUND)))
+        ids, at = [], []
+        for end, size in zip(np.cumsum(sizes), sizes, strict=True):
+            told = number[of[end - size : end]]
+            at.append(pack(np.flatnonzero(told >= 0)))
+            ids.append(pack(told[told >= 0]))
+        count = len(ids)
+        columns = [
+            pa.concat_arrays([rows.column("block").combine_chunks(), pa.nulls(1, pa.int64())]), pa.array(np.full(count + 1, part)), pa.array([*at, None], pa.binary()), pa.array([*ids, None], pa.binary()),
+            pa.concat_arrays([pa.nulls(count, found.type), found]), pa.concat_arrays([pa.nulls(count, total.type), total]),
+        ]
+        return pa.table(columns, names=["block", "part", "at", "ids", "found", "total"])
+
+    return merged
+
+
+def grower(parts: int):
+    """For applyInArrow on a block's lists and what it was told: the lists of phrases that are one word longer."""
+
+    def grown(key, state: pa.Table, told: pa.Table) -> pa.Table:
+        none = _SCHEMA.empty_table()
+        if not state.num_rows or not told.num_rows:
+            return none
+        own = state.column("own")[0].as_py()
+        places, sizes, numbers, ends = (unpack(state.column(c)[0].as_py()) for c in ("places", "sizes", "parts", "ends"))
+        id_of = np.full(len(sizes), -1)
+        begins = np.append(0, ends[:-1])
+        for part, at, ids in zip(*(told.column(c).to_pylist() for c in ("part", "at", "ids")), strict=True):
+            id_of[begins[np.searchsorted(numbers, part)] + unpack(at)] = unpack(ids)
+        of = np.repeat(id_of, sizes)
+        places, of = places[of >= 0], of[of >= 0]
+        if not len(of):
+            return none
+        known, of = np.unique(of, return_inverse=True)
+        # the lists are merged by position: a phrase grows where one starts a position later
+        at = np.full(int(places.max()) + 2, -1)
+        at[places] = of
+        met = at[places + 1]
+        pair, places = of[met >= 0] * len(known) + met[met >= 0], places[met >= 0]
+        if not len(pair):
+            return none
+        distinct, pair = np.unique(pair, return_inverse=True)
+        first, rest = known[distinct // len(known)], known[distinct % len(known)]
+        part = (mix(mix(first.astype(np.uint64)) + rest.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        lists = Lists(pair, part, places, own)
+        return _rows(lists, key[0].as_py(), own, {"first": lists.cut(first[lists.keys]), "rest": lists.cut(rest[lists.keys])})
+
+    return grown
+
+
+def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, longest: int = LONGEST, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: the first phrases of each language. docs has text and lang."""
     ship(docs.sparkSession)
-    state = written(blocks(docs, block_words))
-    counted = state.select(F.explode(F.arrays_zip("keys", "n")).alias("x")).groupBy("x.keys.lang", "x.keys.word").agg(F.sum("x.n").alias("a"))
-    counted = written(counted)
-    total = counted.groupBy("lang").agg(F.sum("a").alias("n"))
-    no_counts = F.array().cast("array<bigint>")
-    often = counted.where(F.col("a") >= least).select("lang", "word", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", no_counts.alias("starts"), no_counts.alias("rests"))
-    often = written(often.join(total, "lang").withColumn("id", F.monotonically_increasing_id()))
-    on, found = ["lang", "word"], []
-    for words in range(2, longest + 1):
-        places = state.select("block", F.posexplode("keys").alias("place", "key")).select("block", "place", "key.*")
-        known = places.join(often.select(*on, "id"), on).select(F.col("block").alias("within"), "place", "id")
-        state = state.select("block", "own", "lists", "sizes").groupBy("block").cogroup(known.groupBy("within")).applyInArrow(grown, f"{_STATE}, keys array<struct<first: bigint, rest: bigint>>")
-        state, on = written(state), ["first", "rest"]
-        counted = state.select(F.explode(F.arrays_zip("keys", "n")).alias("x")).groupBy("x.keys.first", "x.keys.rest").agg(F.sum("x.n").alias("a")).where(F.col("a") >= least)
-        left = often.select(F.col("id").alias("first"), "lang", "n", "phrase", F.array_append("starts", F.col("a")).alias("starts"))
-        right = often.select(F.col("id").alias("rest"), "last", F.array_append("rests", F.col("a")).alias("rests"))
-        longer = counted.join(left, "first").join(right, "rest").withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
-        longer = written(longer.withColumn("id", F.monotonically_increasing_id()))
+    parts = max(8, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
+    folder = new_folder(docs.sparkSession)
+    rows, found = written(blocks(docs, parts, block_words), folder), []
+    for words in range(1, longest + 1):
+        asked = rows.where("part IS NOT NULL").drop("own", "places", "sizes", "parts", "ends")
+        merged = written(asked.groupBy("part").applyInArrow(merger(least, parts), _MERGED))
+        new = merged.where("block IS NULL").select(F.explode("found").alias("x")).select("x.*")
+        if words == 1:
+            total = merged.where("block IS NULL").select(F.explode("total").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
+            no_counts = F.array().cast("array<bigint>")
+            longer = new.join(total, "lang").select("id", "lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", no_counts.alias("starts"), no_counts.alias("rests"))
+        else:
+            left = often.select(F.col("id").alias("first"), "lang", "n", "phrase", F.array_append("starts", F.col("a")).alias("starts"))
+            right = often.select(F.col("id").alias("rest"), "last", F.array_append("rests", F.col("a")).alias("rests"))
+            longer = new.select("id", "first", "rest", "a").join(left, "first").join(right, "rest").withColumn("phrase", F.concat_ws(" ", "phrase", "last"))
+        longer = written(longer)
         if words > 2:
             found.append(_kept(often, longer, words - 1))
         often = longer
+        if words < longest:
+            told = merged.where("block IS NOT NULL").select(F.col("block").alias("within"), "part", "at", "ids")
+            state = rows.where("part IS NULL").select("block", "own", "places", "sizes", "parts", "ends")
+            last, folder = folder, new_folder(docs.sparkSession)
+            rows = written(state.groupBy("block").cogroup(told.groupBy("within")).applyInArrow(grower(parts), _ROWS), folder)
+            # all that is read from now on is in later tables
+            remove(last)
     found.append(_kept(often, None, longest))
     rows = found[0]
     for more in found[1:]:

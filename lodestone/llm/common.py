@@ -45,10 +45,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def written(frame: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """A new name in the shared checkpoint folder."""
+    return uri(f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
+
+
+def written(frame: DataFrame, folder: str = "") -> DataFrame:
     """Write a frame as Parquet to the shared checkpoint folder and read it again; the files go when the driver ends."""
     spark = frame.sparkSession
-    folder = uri(f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
+    folder = folder or new_folder(spark)
     frame.write.option("compression", "zstd").parquet(folder)
     atexit.register(remove, folder)
     return spark.read.schema(frame.schema).parquet(folder)
