@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..registry import sql_query
+from ..registry import query, sql_query, table
 
 sql_query("f1_strings", "SELECT c_custkey, split(c_name, '#')[0] AS head, cast(levenshtein(c_name, c_mktsegment) AS int) AS lev, regexp_replace(c_name, '[0-9]+', 'N') AS masked, cast(length(c_name) AS int) AS len, md5(c_name) AS m, sha2(c_name, 256) AS s FROM {customer}", "SELECT c_custkey, string_split(c_name, '#')[1] AS head, levenshtein(c_name, c_mktsegment)::INT AS lev, regexp_replace(c_name, '[0-9]+', 'N', 'g') AS masked, length(c_name)::INT AS len, md5(c_name) AS m, sha256(c_name) AS s FROM customer", "customer")
 sql_query("f2_strings", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, split_part(url, '/', 3) AS host, translate(url, ':/', '|_') AS t, cast(regexp_count(url, '[0-9]') AS int) AS digits FROM {pages}", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, split_part(url, '/', 3) AS host, translate(url, ':/', '|_') AS t, len(regexp_extract_all(url, '[0-9]'))::INT AS digits FROM pages", "pages")
@@ -60,3 +60,19 @@ sql_query(
     "SELECT n_regionkey, sum(n_nationkey)::BIGINT AS total, avg(n_nationkey) AS mean, ('1' || n_regionkey)::DECIMAL(2, 0) AS number, true AS none, CASE WHEN n_regionkey = 0 THEN 2147483647 END::INTEGER AS added, [1, 2][n_regionkey + 1] AS item, true AS bad FROM nation GROUP BY n_regionkey",
     "nation",
 )
+
+
+@query(
+    "f4_times",
+    "SELECT event_id, strftime(ts, '%H:%M:%S') AS at, strftime(date_trunc('hour', ts), '%H:%M:%S') AS whole_hour, (date_part('hour', ts) * 60 + date_part('minute', ts))::BIGINT AS minutes, ts::TIME < TIME '12:00:00' AS morning FROM events",
+)
+def times(spark, sf_dir):
+    """The TIME type, which is off unless the session has it on: made from parts, cut to the hour, compared, and its distance from midnight."""
+    name = "spark.sql.timeType.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        made = table(spark, sf_dir, "events").selectExpr("event_id", "make_time(hour(ts), minute(ts), second(ts)) AS t")
+        return made.selectExpr("event_id", "cast(t AS string) AS at", "cast(time_trunc('HOUR', t) AS string) AS whole_hour", "time_diff('MINUTE', make_time(0, 0, 0), t) AS minutes", "t < make_time(12, 0, 0) AS morning")
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -21,9 +21,25 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(frame: DataFrame, mode: str = "append") -> DataFrame:
+#: Parts of equal spans of time in which events come to the streams that are to run over several micro-batches.
+PARTS = 5
+
+
+def parted(spark: SparkSession, sf_dir: str, parts: int = PARTS, *more: DataFrame) -> DataFrame:
+    """events as a stream of one folder after another: one for each part of their time, in order, then those of more. Each
+    micro-batch reads one file; a part of a large table has several, and as many tasks wrote them."""
+    root, events = shared_folder(spark), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    part = F.least((at - F.lit(low)) * parts / F.lit(max(1, (high or 0) - (low or 0))), F.lit(parts - 1)).cast("int")
+    for number, rows in enumerate([*(events.where(part == n) for n in range(parts)), *more]):
+        rows.select(*events.columns).write.parquet(f"{root}/{number}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(root)
+
+
+def drained(frame: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
     """The rows that a stream gives until its input ends, as Parquet in the shared folder. Each micro-batch has a folder of its
-    own, which a repeated one writes anew; in complete mode the last one holds all."""
+    own, which a repeated one writes anew; in complete mode the last one holds all. progress gets what Spark says of each micro-batch."""
     spark = frame.sparkSession
     root, last = shared_folder(spark), []
 
@@ -33,6 +49,8 @@ def drained(frame: DataFrame, mode: str = "append") -> DataFrame:
 
     run = frame.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
+    if progress is not None:
+        progress += run.recentProgress
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in frame.schema])
     if not last:
         return spark.createDataFrame([], schema)
@@ -92,7 +110,7 @@ _query("t9_static_join", "SELECT c_mktsegment, count(*) AS n FROM events JOIN cu
 
 
 class Counts(StatefulProcessor):
-    """A count for each key, kept across batches."""
+    """A count for each key, kept across the micro-batches of a stream."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n bigint")
@@ -105,6 +123,79 @@ class Counts(StatefulProcessor):
         yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
 
 
+class Visits(StatefulProcessor):
+    """A user's visits: events with less than `gap` between them. The times of an open visit are in a list, and a timer on event time is set for
+    when the watermark has passed the last one by the gap; then the visit is given out and its state is gone. A map holds how many clicks came
+    at a time, a value how many visits the user has had. Rows may come in any order within the watermark: an event
+    between two open visits makes them one."""
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at bigint")
+        self.clicks = handle.getMapState("clicks", "at bigint", "n bigint")
+        self.visits = handle.getValueState("visits", "n bigint")
+
+    def _open(self) -> list[list[int]]:
+        """The open visits, each as its times in microseconds, in order."""
+        out: list[list[int]] = []
+        for (at,) in sorted(self.times.get()) if self.times.exists() else ():
+            if out and at < out[-1][-1] + self.gap * 1_000:
+                out[-1].append(at)
+            else:
+                out.append([at])
+        return out
+
+    def _timers(self, visits: list[list[int]]) -> None:
+        """Just the timers of these visits."""
+        for (timer,) in [(t,) if isinstance(t, int) else tuple(t) for t in self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        for visit in visits:
+            # a timer has milliseconds: rounded up, so that none is early
+            self.handle.registerTimer(-(-visit[-1] // 1_000) + self.gap)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
+
+        for part in rows:
+            self.times.appendList([(at,) for at in part["at"].tolist()])
+            for at, n in part.loc[part["event_type"] == "click", "at"].value_counts().items():
+                self.clicks.updateValue((at,), (n + (self.clicks.getValue((at,))[0] if self.clicks.containsKey((at,)) else 0),))
+        self._timers(self._open())
+        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "start": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "clicks": pd.Series([], dtype="int64"), "nth": pd.Series([], dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        visits = self._open()
+        over = [v for v in visits if -(-v[-1] // 1_000) + self.gap <= due]
+        left = [v for v in visits if v not in over]
+        had = self.visits.get()[0] if self.visits.exists() else 0
+        rows = []
+        for number, visit in enumerate(over, had + 1):
+            clicked = [at for (at,) in list(self.clicks.keys()) if visit[0] <= at <= visit[-1]]
+            clicks = sum(self.clicks.getValue((at,))[0] for at in clicked)
+            for at in clicked:
+                self.clicks.removeKey((at,))
+            rows.append((key[0], visit[0], len(visit), clicks, number))
+        self.visits.update((had + len(over),))
+        if left:
+            self.times.put([(at,) for v in left for at in v])
+        else:
+            self.times.clear()
+        yield pd.DataFrame(rows, columns=["user_id", "start", "n", "clicks", "nth"])
+
+
+def visits(frame: DataFrame, late: str = "10 minutes", gap_ms: int = 1_800_000) -> DataFrame:
+    """user_id, start, n, clicks and nth (which of the user's visits it is) of each visit that is over."""
+    rows = frame.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_type")
+    found = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Visits(gap_ms), outputStructType="user_id bigint, start bigint, n bigint, clicks bigint, nth bigint", outputMode="append", timeMode="eventTime")
+    return found.withColumn("start", F.timestamp_micros("start").cast("timestamp_ntz"))
+
+
 @contextmanager
 def conf(spark: SparkSession, **settings: str):
     """Settings of the session for as long as the block runs."""
@@ -121,16 +212,45 @@ def conf(spark: SparkSession, **settings: str):
 
 @query("t10_state", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def running_counts(spark, sf_dir):
-    """Arbitrary state in a RocksDB store: a count per user, kept across batches; the last one of each user."""
+    """Arbitrary state in a RocksDB store: a count per user, kept across several micro-batches; the last one of each user."""
     from ..ship import ship
 
     ship(spark)
     store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     with conf(spark, spark__sql__streaming__stateStore__providerClass=store):
-        counted = stream(spark, sf_dir).select("user_id").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Counts(), outputStructType="user_id bigint, n bigint", outputMode="update", timeMode="none")
+        counted = parted(spark, sf_dir).select("user_id").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Counts(), outputStructType="user_id bigint, n bigint", outputMode="update", timeMode="none")
         return drained(counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
 
 
+@query(
+    "t10_timers",
+    "WITH m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) "
+    f"SELECT user_id, start, n, clicks FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS e, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM g GROUP BY user_id, s) {_CLOSED}",
+)
+def timed_visits(spark, sf_dir):
+    """Visits by list and map state and event-time timers, over several micro-batches; the same as sessions by window."""
+    from ..ship import ship
+
+    ship(spark)
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with conf(spark, spark__sql__streaming__stateStore__providerClass=store):
+        return drained(visits(parted(spark, sf_dir))).select("user_id", "start", "n", "clicks")
+
+
+@query("t7_repeats", "SELECT event_id, event_type FROM events")
+def repeats_over_batches(spark, sf_dir):
+    """Each part of the events comes, and then all events again: copies that come in another micro-batch than the first are dropped, as long as the
+    watermark lets them in, and are behind it later."""
+    again = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return drained(once(parted(spark, sf_dir, PARTS, again)))
+
+
+@query("t8_join_over_batches", "SELECT c.event_id AS click_id, v.event_id AS view_id FROM events c JOIN events v ON c.user_id = v.user_id AND c.event_type = 'click' AND v.event_type = 'view' AND v.ts >= c.ts AND v.ts < c.ts + INTERVAL 15 MINUTE")
+def join_over_batches(spark, sf_dir):
+    """The interval join where a click and its view may come in different micro-batches: clicks wait in the state."""
+    return drained(soon_after(parted(spark, sf_dir)))
+
+
 def refused(start: Callable[[], object], condition: str) -> bool:
     """Whether start() fails with an analysis error of this condition."""
     try:
@@ -164,6 +284,6 @@ def late(spark, sf_dir):
     root, events = shared_folder(spark), table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
     end = events.agg(F.max("ts").alias("ts"))
     for number, part in enumerate((events, end.selectExpr("ts + INTERVAL 2 DAYS AS ts"), end.selectExpr("ts + INTERVAL 3 DAYS AS ts"), events)):
-        part.repartition(1).write.parquet(f"{root}/{number}")
+        part.write.parquet(f"{root}/{number}")
     source = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(root)
     return drained(tumbling(source)).where(F.col("start") <= end.select(F.col("ts").cast("timestamp_ntz")).first()[0])

@@ -247,3 +247,33 @@ def test_late_rows_are_dropped(spark, tmp_path):
     dropped = sum(s["numRowsDroppedByWatermark"] for p in run.recentProgress for s in p["stateOperators"])
     first = spark.table("late").where("start = timestamp_ntz '2024-01-01 01:00:00'").collect()
     assert dropped == 1 and [r.n for r in first] == [1]
+
+
+def test_streams_over_several_micro_batches(spark):
+    """Timers, repeats and joins meet rows of earlier micro-batches; the numbers of batches and of dropped rows are Spark's own."""
+    from lodestone.shared import written
+    from lodestone.ship import ship
+    from lodestone.streaming import events
+
+    ship(spark)
+    made = [(i, f"2024-01-01 {t}", 1 + i % 2, kind) for i, (t, kind) in enumerate([("00:00:00", "click"), ("00:01:00", "click"), ("00:10:00.5", "view"), ("00:25:00", "click"), ("03:00:00", "view"), ("06:00:00", "click"), ("09:00:00", "click"), ("12:00:00", "view")])]
+    rows = spark.createDataFrame(made, "event_id long, s string, user_id long, event_type string").selectExpr("event_id", "cast(s AS timestamp_ntz) AS ts", "user_id", "event_type", "1.0D AS value", "'' AS props")
+    folder = written(rows.coalesce(1)).inputFiles()[0].rsplit("/", 1)[0]
+    root = f"{folder}-tables"
+    spark.read.parquet(folder).write.parquet(f"{root}/events.parquet")
+    late = rows.where("event_id = 1").withColumn("ts", F.col("ts").cast("timestamp"))
+    said: list = []
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with events.conf(spark, spark__sql__streaming__stateStore__providerClass=store):
+        found = events.drained(events.visits(events.parted(spark, root, 5, late)), progress=said)
+    got = sorted((r.user_id, str(r.start)[11:16], r.n, r.clicks, r.nth) for r in found.collect())
+    assert got == [(1, "00:00", 2, 1, 1), (1, "03:00", 1, 0, 2), (1, "09:00", 1, 1, 3), (2, "00:01", 2, 2, 1), (2, "06:00", 1, 1, 2)]
+    assert sum(p["numInputRows"] > 0 for p in said) >= 5 and sum(s["numRowsDroppedByWatermark"] for p in said for s in p["stateOperators"]) == 1
+    said = []
+    again = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    once = events.drained(events.once(events.parted(spark, root, 5, again)), progress=said)
+    assert sorted(r.event_id for r in once.collect()) == list(range(8)) and sum(p["numInputRows"] for p in said) == 16
+    said = []
+    spark.read.parquet(folder).where("event_id < 3").write.parquet(f"{root}-few/events.parquet")
+    met = events.drained(events.soon_after(events.parted(spark, f"{root}-few", 4)), progress=said)
+    assert [tuple(r) for r in met.collect()] == [(0, 2)] and sum(p["numInputRows"] > 0 for p in said) == 2
