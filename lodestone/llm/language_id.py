@@ -5,7 +5,8 @@ n-gram itself. A document takes the language whose profile is nearest to its own
 The score is 1 - distance / greatest possible distance.
 
 Rows: null texts, and texts without a letter, are "und" with score 0, as are all if nothing was learned.
-Repeated rows are judged each; other columns are carried along untouched.
+Repeated rows are judged each; other columns are carried along untouched, but ones with the names of the two new columns are
+replaced. A text of any length is judged as a whole, in memory in proportion to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ p(w|c) = seen(c, w) + left(c) * p(w|shorter c), down to (count + 1) / (N + V + 1
 seen as one. The first token of a text has no context.
 
 One pass counts words, a second one counts trigrams, whose sums are the bigrams' counts. A word before many others is
-spread over as many parts as its count asks for; a pair of words has no more rows than there are words. Each part is
+spread over as many parts as its count asks for; a pair of words stays in one part, with a row for each word after it from each
+block of text, so a very frequent pair makes a large part. Each part is
 built by one task from sorted rows, written to the folder of spark.checkpoint.dir and memory-mapped by the workers; a
 lost task writes the same file again. The driver removes the files when it ends, unless train() was given a folder.
 

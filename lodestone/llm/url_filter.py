@@ -80,12 +80,14 @@ def bloom_blocks(keys: DataFrame, column: str, blocks: int) -> DataFrame:
 
 
 def on_list(urls: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
-    """urls with a boolean on_list: whether the row's key is in listed. urls may repeat; null keys are on no list. The keys
-    and the filter's verdicts are written to the shared folder, so that urls are read once."""
+    """urls with a boolean on_list: whether the row's key is in listed. urls may repeat; null keys are on no list. Other columns may have
+    any name; one named on_list is replaced. The keys and the filter's verdicts are written to the shared folder, so that urls are read once."""
+    names = [name for name in urls.columns if name != "on_list"]
+    urls = urls.select(F.struct(*(F.col(f"`{name}`") for name in names)).alias("row"), F.col(f"`{column}`").alias("key"))
     keys = written(listed.select(F.col(listed_column).alias("listed_key")).where(F.col("listed_key").isNotNull()).distinct())
     blocks = max(1, -(-keys.count() * BITS_PER_KEY // BLOCK_BITS))
     filled = bloom_blocks(keys, "listed_key", blocks)
-    key = F.col(column)
+    key = F.col("key")
     probe = urls.withColumn("bloom_at", F.when(key.isNotNull(), _block(key, blocks)))
     side = F.broadcast(filled) if blocks <= MOST_BROADCAST_BLOCKS else filled
     joined = probe.join(side, F.col("bloom_at") == F.col("bloom_block"), "left")
@@ -95,7 +97,8 @@ def on_list(urls: DataFrame, column: str, listed: DataFrame, listed_column: str)
     judged = written(joined.withColumn("possible", F.coalesce(possible, F.lit(False))).drop("bloom_at", "bloom_block", *(f"bloom_{i}" for i in range(4))))
     missed = judged.where(~F.col("possible")).drop("possible").withColumn("on_list", F.lit(False))
     exact = judged.where("possible").drop("possible").join(keys, key == F.col("listed_key"), "left")
-    return missed.unionByName(exact.withColumn("on_list", F.col("listed_key").isNotNull()).drop("listed_key"))
+    found = missed.unionByName(exact.withColumn("on_list", F.col("listed_key").isNotNull()).drop("listed_key"))
+    return found.select("row.*", "on_list")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

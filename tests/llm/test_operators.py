@@ -551,3 +551,14 @@ def test_empty_tables(spark):
     row = ngram_lm.score(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"), model).collect()[0]
     assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, row.base_score)
     assert quality_rules.judge(none, quality_rules.train(none, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+
+
+def test_url_list_with_clashing_names(spark):
+    names = ["listed_key", "bloom_at", "bloom_block", "bloom_0", "possible", "key", "row", "on_list", "a.b"]
+    urls = spark.createDataFrame([("u1",), ("u1",), ("u2",), (None,), ("",)], "url string").select("url", *(url_filter.F.lit(name).alias(name) for name in names))
+    listed = spark.createDataFrame([("u1",), ("",), (None,)], "u string")
+    found = url_filter.on_list(urls, "url", listed, "u")
+    assert found.columns == ["url", *(n for n in names if n != "on_list"), "on_list"]
+    rows = sorted(((r.url, r.on_list) for r in found.collect()), key=repr)
+    assert rows == sorted([("u1", True), ("u1", True), ("u2", False), (None, False), ("", True)], key=repr)
+    assert all(r[name] == name for r in found.collect() for name in names if name != "on_list")
