@@ -19,12 +19,18 @@ from ..ship import ship
 
 #: Rows that may share a line; parts over which the rows that hold one line are spread.
 MOST, SALTS = 10, 64
+#: Bytes of keys that are broadcast at most.
+MOST_BYTES = 8_000_000
 
 
-def _met(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
-    """Rows whose key is among few, which holds each key once. Each key is there SALTS times, so that a hot one has as many tasks."""
+def _met(rows: DataFrame, few: DataFrame, on: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Rows whose key is among few, a written table that holds each key once. It is broadcast if its keys take at most most_bytes; else both
+    sides are shuffled, and each key is there SALTS times, so that the rows of a hot one have as many tasks."""
+    size = few.agg(F.count(F.lit(1)) * 32 + F.coalesce(F.sum(F.octet_length(F.col(on).cast("string"))), F.lit(0))).first()[0]
+    if size <= most_bytes:
+        return rows.join(F.broadcast(few.select(on)), on)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row", "place"), F.lit(SALTS)).cast("int"))
-    return salted.join(few.select(on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), [on, "salt"]).drop("salt")
+    return salted.join(few.select(on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge"), [on, "salt"]).drop("salt")
 
 
 def dropped(numbered: DataFrame, most: int = MOST) -> DataFrame:
@@ -37,7 +43,7 @@ def dropped(numbered: DataFrame, most: int = MOST) -> DataFrame:
     placed = numbered.select("row", F.posexplode(lines).alias("place", "line")).withColumn("h", F.xxhash64("line")).where("line RLIKE '[^ \\t\\r]'")
     hits = written(_met(placed, often, "h").select("row", "place", "line"))
     shared = hits.select("row", "line").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    return _met(hits, shared, "line").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return _met(hits, written(shared), "line").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 def without_repeated_lines(docs: DataFrame, most: int = MOST) -> DataFrame:

@@ -26,7 +26,9 @@ sql_query("p3_inline", "SELECT n_nationkey, inline(array(named_struct('k', 'name
 sql_query("p3_stack", "SELECT n_nationkey, stack(2, 'name', n_name, 'region', cast(n_regionkey AS string)) AS (k, v) FROM {nation}", "SELECT n_nationkey, 'name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation", "nation")
 sql_query("p5_qualify", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) WHERE rn = 1", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1", "orders")
 sql_query("p6_pipe", "FROM {customer} |> WHERE c_acctbal > 0 |> AGGREGATE count(*) AS n, round(sum(c_acctbal), 2) AS bal GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer WHERE c_acctbal > 0 GROUP BY 1", "customer")
-sql_query("p7_recursive", "WITH RECURSIVE walk(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM walk WHERE n < 40) SELECT n, total FROM walk")
+# up to five steps from each customer's first order to the next
+_WALK = "WITH RECURSIVE placed AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step FROM {orders}), walk(o_custkey, o_orderkey, step, total) AS (SELECT o_custkey, o_orderkey, step, o_totalprice FROM placed WHERE step = 1 UNION ALL SELECT p.o_custkey, p.o_orderkey, p.step, w.total + p.o_totalprice FROM walk w JOIN placed p ON p.o_custkey = w.o_custkey AND p.step = w.step + 1 WHERE w.step < 5) "
+sql_query("p7_recursive", _WALK + "SELECT o_custkey, o_orderkey, cast(step AS int) AS step, round(total, 2) AS total FROM walk", tables="orders")
 sql_query("l1_sort_limit_offset", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 25", tables="customer")
 sql_query("l2_top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", tables="orders")
 

@@ -35,36 +35,44 @@ def binary(spark, sf_dir):
     return spark.read.format("binaryFile").load(f"{sf_dir}/nation.parquet").selectExpr("startswith(decode(left(content, 4), 'US-ASCII'), 'PAR1') AS filled", "length = octet_length(content) AS sized")
 
 
-class Squares(DataSource):
-    """A Python data source: n and its square, in parts."""
+class RowGroups(DataSource):
+    """A Python data source: the columns of Parquet files under a path that the schema names, read in Arrow batches. A part is a row group."""
 
     @classmethod
     def name(cls) -> str:
-        return "squares"
-
-    def schema(self) -> str:
-        return "n bigint, square bigint"
+        return "row_groups"
 
     def reader(self, schema):
-        return SquaresReader(int(self.options.get("rows", "10")), int(self.options.get("parts", "2")))
+        return RowGroupReader(self.options["path"], schema.fieldNames())
+
+
+class RowGroupReader(DataSourceReader):
+    def __init__(self, path: str, columns: list[str]):
+        self.path, self.columns = path, columns
 
+    def _files(self):
+        from pyarrow import fs
 
-class SquaresReader(DataSourceReader):
-    def __init__(self, rows: int, parts: int):
-        self.rows, self.parts = rows, parts
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
     def partitions(self):
-        return [InputPartition(i) for i in range(self.parts)]
+        import pyarrow.dataset as ds
+
+        system, path = self._files()
+        return [InputPartition((fragment.path, group.id)) for fragment in ds.dataset(path, filesystem=system, format="parquet").get_fragments() for group in fragment.row_groups]
 
     def read(self, partition):
-        for n in range(partition.value, self.rows, self.parts):
-            yield n, n * n
+        import pyarrow.parquet as pq
+
+        path, group = partition.value
+        with self._files()[0].open_input_file(path) as raw:
+            yield from pq.ParquetFile(raw).read_row_group(group, columns=self.columns).to_batches()
 
 
-@query("s7_python_source", "SELECT i::BIGINT AS n, (i * i)::BIGINT AS square FROM range(0, 100) t(i)")
+@query("s7_python_source", "SELECT s_suppkey, s_acctbal FROM supplier")
 def python_source(spark, sf_dir):
     from ..ship import ship
 
     ship(spark)
-    spark.dataSource.register(Squares)
-    return spark.read.format("squares").options(rows="100", parts="4").load()
+    spark.dataSource.register(RowGroups)
+    return spark.read.format("row_groups").schema("s_suppkey bigint, s_acctbal double").load(f"{sf_dir}/supplier.parquet")

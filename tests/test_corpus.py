@@ -51,12 +51,16 @@ def plain_lines(rows, most):
     return out
 
 
-def test_repeated_lines(spark):
+@pytest.mark.parametrize("salted", [False, True])
+def test_repeated_lines(spark, monkeypatch, salted):
     rng = random.Random(2)
     common = ["shared line", "other one", " ", "", "\t", "tail\r", "rare"]
     text = lambda: "\n".join(rng.choice([*common, f"own {rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 9)))
     rows = [(i, text()) for i in range(60)] + [(1, None), (None, "shared line"), (2, ""), (2, ""), (3, "shared line\nshared line"), (4, "\n".join(f"w{i}" for i in range(50_000)) + "\nshared line\nend")]
-    found = repeated_lines.without_repeated_lines(documents(spark, rows), 5)
+    frame = documents(spark, rows)
+    if salted:
+        monkeypatch.setattr(repeated_lines._met, "__defaults__", (0,))
+    found = repeated_lines.without_repeated_lines(frame, 5)
     order = lambda x: sorted(x, key=repr)
     assert order(tuple(r) for r in found.collect()) == order(plain_lines(rows, 5))
     assert repeated_lines.without_repeated_lines(documents(spark, rows).limit(0)).count() == 0
@@ -72,8 +76,11 @@ def test_lines_whose_hashes_clash_are_compared(spark, monkeypatch):
 def test_a_hot_line_is_spread(spark):
     """The rows of one line are dealt to many keys."""
     rows = spark.range(4_000).selectExpr("id AS row", "0 AS place", "'hot' AS line", "id AS h")
-    met = repeated_lines._met(rows, spark.createDataFrame([("hot",)], "line string"), "line")
-    assert met.count() == 4_000 and met.columns == ["line", "row", "place", "h"]
+    few = spark.createDataFrame([("hot",)], "line string")
+    for bound in (0, repeated_lines.MOST_BYTES):
+        met = repeated_lines._met(rows, few, "line", bound)
+        assert met.count() == 4_000 and met.columns == ["line", "row", "place", "h"]
+        assert ("SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()) == (bound == 0)
     salts = rows.select(F.pmod(F.xxhash64("row", "place"), F.lit(repeated_lines.SALTS)).alias("s")).groupBy("s").count()
     assert salts.count() == repeated_lines.SALTS and salts.agg(F.max("count")).first()[0] < 4_000 / 20
 
