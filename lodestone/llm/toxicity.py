@@ -6,7 +6,8 @@ of ordinary text; the toxic one also has a dictionary trained on toxic pieces, s
 and a window's gain is what the toxic pieces save. Labels are of whole texts, so the pieces are found first:
 dictionaries of one half of the toxic texts propose the words that save bytes in windows of the other half, and words that
 do so in a much larger share of toxic than of ordinary texts are kept. The gains of a text's best windows and the number of its
-windows become a score by a logistic curve that is fitted on whole texts which no dictionary was trained on.
+windows become a score by a logistic curve that is fitted on whole texts which no dictionary was trained on, and moved so that 0.5 is
+where F1 is highest on them.
 
 All that is learned comes from a bounded sample: labelled rows whose hashed ids are smallest, MOST_TOXIC and MOST_ORDINARY
 of them, at most WINDOWS_EACH windows of each, spread evenly over the whole text, for the dictionaries. Scores take all
@@ -201,9 +202,21 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     said = np.array([float(r.toxic) for r in held])
     if len(said) and 0 < said.mean() < 1:
         model.curve = gbm.logistic(np.array([r.gains for r in held]), said)
+        # the share that takes toxic and other texts apart best becomes 0.5
+        best = cut_for(model.scores(np.array([r.gains for r in held])), said)
+        model.curve[-1] -= np.log(best / (1 - best))
     return model
 
 
+def cut_for(p: np.ndarray, said: np.ndarray, low: float = 0.05, high: float = 0.95) -> float:
+    """The probability, between low and high, from which texts are taken for toxic so that F1 is highest; half-way to the next lower one."""
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(said[order])
+    cuts = (p + np.append(p[1:], 0)) / 2
+    f1 = np.where(np.append(p[1:] != p[:-1], True) & (cuts >= low) & (cuts <= high), 2 * hits / (np.arange(1, len(p) + 1) + said.sum()), 0)
+    return float(cuts[f1.argmax()]) if f1.any() else 0.5
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from a score of 0.5 on) for each row of docs."""
     spark = docs.sparkSession

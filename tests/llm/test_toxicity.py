@@ -89,3 +89,13 @@ def test_held_out_documents(spark):
     toxic, other = ([r.score for r in held if r.toxic == kind] for kind in (1, 0))
     above = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in other])
     assert found.count() == 1000 and above > 0.8 and np.mean([s < 0.5 for s in other]) > 0.95
+
+
+def test_the_cut_with_the_highest_f1():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        p, said = np.round(rng.random(40), 1), (rng.random(40) < 0.3).astype(float)
+        if 0 < said.sum() < 40:
+            f1 = lambda cut: 2 * said[p >= cut].sum() / ((p >= cut).sum() + said.sum())  # noqa: B023, E731
+            cut = toxicity.cut_for(p, said)
+            assert f1(cut) == max(f1(c) for c in np.arange(0.05, 0.96, 0.1))
