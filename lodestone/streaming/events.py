@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -25,16 +25,31 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = 5
 
 
+def staged(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
+    """The parts, of one schema, as a stream that has one micro-batch for each, in order. A micro-batch takes a fixed number of files, the oldest ones,
+    so each part is written by that many tasks; where some had no rows, files without rows make up the number."""
+    root, files = shared_folder(spark), spark.sparkContext.defaultParallelism
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system, settings, blank = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), spark._jsc.hadoopConfiguration(), None
+    for number, rows in enumerate(parts):
+        folder = f"{root}/in/{number}"
+        rows.repartition(files).write.parquet(folder)
+        found = [x.getPath() for x in system.listStatus(path(folder)) if x.getPath().getName().startswith("part-")]
+        if len(found) < files and blank is None:
+            rows.limit(0).coalesce(1).write.parquet(f"{root}/blank")
+            (blank,) = [x.getPath() for x in system.listStatus(path(f"{root}/blank")) if x.getPath().getName().startswith("part-")]
+        for more in range(len(found), files):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, blank, system, path(f"{folder}/part-more-{more}.parquet"), False, settings)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(f"{root}/in")
+
+
 def parted(spark: SparkSession, sf_dir: str, parts: int = PARTS, *more: DataFrame) -> DataFrame:
-    """events as a stream of one folder after another: one for each part of their time, in order, then those of more. Each
-    micro-batch reads one file; a part of a large table has several, and as many tasks wrote them."""
-    root, events = shared_folder(spark), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """events as a stream of one micro-batch after another: one for each part of their time, in order, then those of more."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.unix_micros("ts")
     low, high = events.agg(F.min(at), F.max(at)).first()
     part = F.least((at - F.lit(low)) * parts / F.lit(max(1, (high or 0) - (low or 0))), F.lit(parts - 1)).cast("int")
-    for number, rows in enumerate([*(events.where(part == n) for n in range(parts)), *more]):
-        rows.select(*events.columns).write.parquet(f"{root}/{number}")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(root)
+    return staged(spark, (rows.select(*events.columns) for rows in (*(events.where(part == n) for n in range(parts)), *more)))
 
 
 def drained(frame: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
@@ -281,9 +296,7 @@ def append_without_watermark(spark, sf_dir):
 def late(spark, sf_dir):
     """All events, then twice one row days later, then all events again: the second time they are behind the watermark and
     dropped, so each window has its events once. The row from days later is in no closed window."""
-    root, events = shared_folder(spark), table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
     end = events.agg(F.max("ts").alias("ts"))
-    for number, part in enumerate((events, end.selectExpr("ts + INTERVAL 2 DAYS AS ts"), end.selectExpr("ts + INTERVAL 3 DAYS AS ts"), events)):
-        part.write.parquet(f"{root}/{number}")
-    source = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(root)
+    source = staged(spark, (events, end.selectExpr("ts + INTERVAL 2 DAYS AS ts"), end.selectExpr("ts + INTERVAL 3 DAYS AS ts"), events))
     return drained(tumbling(source)).where(F.col("start") <= end.select(F.col("ts").cast("timestamp_ntz")).first()[0])

@@ -277,3 +277,28 @@ def test_streams_over_several_micro_batches(spark):
     spark.read.parquet(folder).where("event_id < 3").write.parquet(f"{root}-few/events.parquet")
     met = events.drained(events.soon_after(events.parted(spark, f"{root}-few", 4)), progress=said)
     assert [tuple(r) for r in met.collect()] == [(0, 2)] and sum(p["numInputRows"] > 0 for p in said) == 2
+
+
+def events_of_several_files(spark, files=4):
+    """A folder of tables whose events are in several files, each with times of all days."""
+    from lodestone.shared import shared_folder
+
+    root = shared_folder(spark)
+    made = spark.range(400).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 40 * ((id * 37) % 400)) AS ts", "id % 150 AS user_id", "if(id % 3 = 0, 'click', 'view') AS event_type", "1.0D AS value", "'' AS props")
+    made.repartition(files).write.parquet(f"{root}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{root.removeprefix('file://')}/events.parquet/*.parquet'")
+    return root, con
+
+
+def equal_to_sql(spark, name, root, con):
+    frame = registry.queries()[name](spark, root)
+    found = con.execute(registry.oracles()[name])
+    want = rows(found.fetchall(), [c[0] for c in found.description])
+    return len(want) > 1 and rows([tuple(r) for r in frame.collect()], frame.columns) == want
+
+
+@pytest.mark.parametrize("name", ["t11_late", "t7_repeats"])
+def test_a_part_of_several_files_is_one_micro_batch(spark, name):
+    root, con = events_of_several_files(spark)
+    assert equal_to_sql(spark, name, root, con)
