@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -124,6 +124,15 @@ _query("t8_interval_join", "SELECT c.event_id AS click_id, v.event_id AS view_id
 _query("t9_static_join", "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1", "complete")(lambda s, spark, sf: with_segment(s, table(spark, sf, "customer").select("c_custkey", "c_mktsegment")))
 
 
+#: Users whose state has one key: every access to state is a message to Spark and back, and so is shared by many.
+BLOCK = 64
+
+
+def _users(key: tuple, part) -> list:
+    """The users of a part; the users of block null are null."""
+    return [None] * len(part) if key[0] is None else part["user_id"].tolist()
+
+
 class Counts(StatefulProcessor):
     """A count for each key, kept across the micro-batches of a stream."""
 
@@ -139,75 +148,76 @@ class Counts(StatefulProcessor):
 
 
 class Visits(StatefulProcessor):
-    """A user's visits: events with less than `gap` between them. The times of an open visit are in a list, and a timer on event time is set for
-    when the watermark has passed the last one by the gap; then the visit is given out and its state is gone. A map holds how many clicks came
-    at a time, a value how many visits the user has had. Rows may come in any order within the watermark: an event
-    between two open visits makes them one."""
+    """The visits of a block of users: a user's events with less than `gap` between them. A list holds user, first time, last time, events and
+    clicks of each open visit, in order, a map how many visits each user has had. One timer on event time is set for when the watermark has
+    passed the first visit to end by the gap; then all visits that it has passed are given out and their state is gone. Rows may come in any order
+    within the watermark: an event between two open visits makes them one."""
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "at bigint")
-        self.clicks = handle.getMapState("clicks", "at bigint", "n bigint")
-        self.visits = handle.getValueState("visits", "n bigint")
-
-    def _open(self) -> list[list[int]]:
-        """The open visits, each as its times in microseconds, in order."""
-        out: list[list[int]] = []
-        for (at,) in sorted(self.times.get()) if self.times.exists() else ():
-            if out and at < out[-1][-1] + self.gap * 1_000:
-                out[-1].append(at)
+        self.open = handle.getListState("open", "user_id bigint, first bigint, last bigint, n bigint, clicks bigint")
+        self.visits = handle.getMapState("visits", "user_id bigint", "n bigint")
+
+    def _due(self, visit: tuple) -> int:
+        """When a visit is over; a timer has milliseconds: rounded up, so that none is early."""
+        return -(-visit[2] // 1_000) + self.gap
+
+    def _joined(self, spans: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for user, first, last, n, clicks in sorted(spans):
+            if out and out[-1][0] == user and first < out[-1][2] + self.gap * 1_000:
+                _, start, end, had, clicked = out[-1]
+                out[-1] = (user, start, max(end, last), had + n, clicked + clicks)
             else:
-                out.append([at])
+                out.append((user, first, last, n, clicks))
         return out
 
-    def _timers(self, visits: list[list[int]]) -> None:
-        """Just the timers of these visits."""
-        for (timer,) in [(t,) if isinstance(t, int) else tuple(t) for t in self.handle.listTimers()]:
-            self.handle.deleteTimer(timer)
-        for visit in visits:
-            # a timer has milliseconds: rounded up, so that none is early
-            self.handle.registerTimer(-(-visit[-1] // 1_000) + self.gap)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
+        before = [tuple(v) for v in self.open.get()]
+        visits = before
         for part in rows:
-            self.times.appendList([(at,) for at in part["at"].tolist()])
-            for at, n in part.loc[part["event_type"] == "click", "at"].value_counts().items():
-                self.clicks.updateValue((at,), (n + (self.clicks.getValue((at,))[0] if self.clicks.containsKey((at,)) else 0),))
-        self._timers(self._open())
-        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "start": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "clicks": pd.Series([], dtype="int64"), "nth": pd.Series([], dtype="int64")})
+            visits = self._joined(visits + [(user, at, at, 1, int(click)) for user, at, click in zip(_users(key, part), part["at"].tolist(), part["click"].tolist())])
+        self.open.put(visits)
+        had, due = min(map(self._due, before), default=None), min(map(self._due, visits))
+        if had != due:
+            if had is not None:
+                self.handle.deleteTimer(had)
+            self.handle.registerTimer(due)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        visits = self._open()
-        over = [v for v in visits if -(-v[-1] // 1_000) + self.gap <= due]
-        left = [v for v in visits if v not in over]
-        had = self.visits.get()[0] if self.visits.exists() else 0
-        rows = []
-        for number, visit in enumerate(over, had + 1):
-            clicked = [at for (at,) in list(self.clicks.keys()) if visit[0] <= at <= visit[-1]]
-            clicks = sum(self.clicks.getValue((at,))[0] for at in clicked)
-            for at in clicked:
-                self.clicks.removeKey((at,))
-            rows.append((key[0], visit[0], len(visit), clicks, number))
-        self.visits.update((had + len(over),))
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        visits = [tuple(v) for v in self.open.get()]
+        over, left = [v for v in visits if self._due(v) <= due], [v for v in visits if self._due(v) > due]
+        before = {user: n for (user,), (n,) in self.visits.iterator()}
+        had, rows = dict(before), []
+        for user, first, _, n, clicks in over:
+            had[user] = had.get(user, 0) + 1
+            rows.append((user, first, n, clicks, had[user]))
+        for user, n in had.items():
+            if before.get(user) != n:
+                self.visits.updateValue((user,), (n,))
         if left:
-            self.times.put([(at,) for v in left for at in v])
+            self.open.put(left)
+            self.handle.registerTimer(min(map(self._due, left)))
         else:
-            self.times.clear()
+            self.open.clear()
         yield pd.DataFrame(rows, columns=["user_id", "start", "n", "clicks", "nth"])
 
 
+def in_blocks(frame: DataFrame) -> GroupedData:
+    return frame.withColumn("block", F.expr(f"user_id div {BLOCK}")).groupBy("block")
+
+
 def visits(frame: DataFrame, late: str = "10 minutes", gap_ms: int = 1_800_000) -> DataFrame:
     """user_id, start, n, clicks and nth (which of the user's visits it is) of each visit that is over."""
-    rows = frame.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_type")
-    found = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Visits(gap_ms), outputStructType="user_id bigint, start bigint, n bigint, clicks bigint, nth bigint", outputMode="append", timeMode="eventTime")
+    rows = frame.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce(F.col("event_type") == "click", F.lit(False)).alias("click"))
+    found = in_blocks(rows).transformWithStateInPandas(statefulProcessor=Visits(gap_ms), outputStructType="user_id bigint, start bigint, n bigint, clicks bigint, nth bigint", outputMode="append", timeMode="eventTime")
     return found.withColumn("start", F.timestamp_micros("start").cast("timestamp_ntz"))
 
 

@@ -302,3 +302,18 @@ def equal_to_sql(spark, name, root, con):
 def test_a_part_of_several_files_is_one_micro_batch(spark, name):
     root, con = events_of_several_files(spark)
     assert equal_to_sql(spark, name, root, con)
+
+
+def test_visits_of_users_are_kept_by_block_in_a_micro_batch_a_part(spark):
+    from lodestone.ship import ship
+    from lodestone.streaming import events
+
+    root, con = events_of_several_files(spark)
+    assert equal_to_sql(spark, "t10_timers", root, con)
+    ship(spark)
+    said: list = []
+    with events.conf(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        events.drained(events.visits(events.parted(spark, root)), progress=said)
+    assert sum(p["numInputRows"] > 0 for p in said) == events.PARTS
+    # 150 users in three blocks, each with one timer
+    assert 0 < sum(s["customMetrics"]["numRegisteredTimers"] for p in said for s in p["stateOperators"]) <= 3 * 2 * (events.PARTS + 1)
