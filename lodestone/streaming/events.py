@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -134,17 +135,21 @@ def _users(key: tuple, part) -> list:
 
 
 class Counts(StatefulProcessor):
-    """A count for each key, kept across the micro-batches of a stream."""
+    """A count for each user, kept across the micro-batches of a stream, in a list for each block of users."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n bigint")
+        self.counts = handle.getListState("counts", "user_id bigint, n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        n = (self.count.get()[0] if self.count.exists() else 0) + sum(len(x) for x in rows)
-        self.count.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+        counts, come = dict(self.counts.get()), Counter()
+        for part in rows:
+            come.update(_users(key, part))
+        for user, n in come.items():
+            counts[user] = counts.get(user, 0) + n
+        self.counts.put(list(counts.items()))
+        yield pd.DataFrame({"user_id": list(come), "n": [counts[user] for user in come]})
 
 
 class Visits(StatefulProcessor):
@@ -243,7 +248,7 @@ def running_counts(spark, sf_dir):
     ship(spark)
     store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     with conf(spark, spark__sql__streaming__stateStore__providerClass=store):
-        counted = parted(spark, sf_dir).select("user_id").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Counts(), outputStructType="user_id bigint, n bigint", outputMode="update", timeMode="none")
+        counted = in_blocks(parted(spark, sf_dir).select("user_id")).transformWithStateInPandas(statefulProcessor=Counts(), outputStructType="user_id bigint, n bigint", outputMode="update", timeMode="none")
         return drained(counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
 
 

@@ -317,3 +317,17 @@ def test_visits_of_users_are_kept_by_block_in_a_micro_batch_a_part(spark):
     assert sum(p["numInputRows"] > 0 for p in said) == events.PARTS
     # 150 users in three blocks, each with one timer
     assert 0 < sum(s["customMetrics"]["numRegisteredTimers"] for p in said for s in p["stateOperators"]) <= 3 * 2 * (events.PARTS + 1)
+
+
+def test_counts_of_users_are_kept_by_block_in_a_micro_batch_a_part(spark):
+    root, con = events_of_several_files(spark)
+    assert equal_to_sql(spark, "t10_state", root, con)
+    from lodestone.ship import ship
+    from lodestone.streaming import events
+
+    ship(spark)
+    said: list = []
+    with events.conf(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        counted = events.in_blocks(events.parted(spark, root).select("user_id")).transformWithStateInPandas(statefulProcessor=events.Counts(), outputStructType="user_id bigint, n bigint", outputMode="update", timeMode="none")
+        events.drained(counted, "update", said)
+    assert sum(p["numInputRows"] > 0 for p in said) == events.PARTS
