@@ -23,12 +23,25 @@ for _kind in ("LEFT", "RIGHT", "FULL OUTER"):
 sql_query("j4_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n", tables="region nation")
 sql_query("j5_semi", "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49)", tables="orders lineitem")
 sql_query("j6_anti", "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)", tables="orders lineitem")
-sql_query("j7_not_in", "SELECT o_orderkey FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem})", tables="orders lineitem")
 sql_query("j8_theta", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey", tables="nation")
 sql_query("j9_lateral", "SELECT c.c_custkey, t.n, t.top FROM {customer} c, LATERAL (SELECT count(*) AS n, max(o.o_totalprice) AS top FROM {orders} o WHERE o.o_custkey = c.c_custkey) t", tables="customer orders")
 sql_query("j10_scalar_subquery", "SELECT o_orderkey FROM {orders} o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)", tables="orders")
 
 
+def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of left whose key is NOT IN right's column. Spark's own plan broadcasts the whole column, to know of its nulls; here one row says
+    whether it has any rows and nulls, and the rest is an anti join of any size."""
+    said = right.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(other).isNull()).alias("_nulls"))
+    values = right.select(F.col(other).alias("_other"))
+    kept = left.join(values, F.col(key) == F.col("_other"), "left_anti").join(F.broadcast(said))
+    return kept.where((F.col("_rows") == 0) | (F.col("_nulls") == 0) & F.col(key).isNotNull()).select(*left.columns)
+
+
+@query("j7_not_in", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orders_not_in_lines(spark, sf_dir):
+    return not_in(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
 #: Blocks of time into which a key's rows are dealt.
 TIME_BLOCKS = 1_024
 

@@ -331,3 +331,17 @@ def test_counts_of_users_are_kept_by_block_in_a_micro_batch_a_part(spark):
         counted = events.in_blocks(events.parted(spark, root).select("user_id")).transformWithStateInPandas(statefulProcessor=events.Counts(), outputStructType="user_id bigint, n bigint", outputMode="update", timeMode="none")
         events.drained(counted, "update", said)
     assert sum(p["numInputRows"] > 0 for p in said) == events.PARTS
+
+
+def test_not_in_needs_no_broadcast_of_the_column(spark):
+    from lodestone.operators.joins import not_in
+
+    for have in ([], [1, 3], [1, None], [None]):
+        left, right = spark.createDataFrame([(1,), (2,), (2,), (None,)], "x int"), spark.createDataFrame([(v,) for v in have], "y int")
+        left.createOrReplaceTempView("not_in_left"), right.createOrReplaceTempView("not_in_right")
+        want = spark.sql("SELECT x FROM not_in_left WHERE x NOT IN (SELECT y FROM not_in_right)").collect()
+        assert sorted(map(str, not_in(left, "x", right, "y").collect())) == sorted(map(str, want))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = registry.queries()["j7_not_in"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
