@@ -1,8 +1,9 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and settings of the session."""
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,17 @@ def written(frame: DataFrame) -> DataFrame:
     path = shared_folder(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def conf(spark: SparkSession, **settings: str):
+    """Settings of the session for as long as the block runs."""
+    names = {name.replace("__", "."): value for name, value in settings.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

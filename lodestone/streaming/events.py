@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, GroupedData, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..registry import query, table
+from ..shared import conf
 from ..sources.formats import shared_folder
 
 
@@ -226,20 +226,6 @@ def visits(frame: DataFrame, late: str = "10 minutes", gap_ms: int = 1_800_000)
     return found.withColumn("start", F.timestamp_micros("start").cast("timestamp_ntz"))
 
 
-@contextmanager
-def conf(spark: SparkSession, **settings: str):
-    """Settings of the session for as long as the block runs."""
-    names = {name.replace("__", "."): value for name, value in settings.items()}
-    before = {name: spark.conf.get(name, None) for name in names}
-    for name, value in names.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
 @query("t10_state", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def running_counts(spark, sf_dir):
     """Arbitrary state in a RocksDB store: a count per user, kept across several micro-batches; the last one of each user."""

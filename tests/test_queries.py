@@ -345,3 +345,12 @@ def test_not_in_needs_no_broadcast_of_the_column(spark):
     plan = registry.queries()["j7_not_in"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_recursion_is_not_limited_in_rows(spark):
+    from lodestone.shared import conf
+
+    # the walk has more rows than this
+    with conf(spark, spark__sql__cteRecursionRowLimit="100"):
+        assert registry.queries()["p7_recursive"](spark, SF).count() > 100
+        assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "100"
