@@ -354,3 +354,10 @@ def test_recursion_is_not_limited_in_rows(spark):
     with conf(spark, spark__sql__cteRecursionRowLimit="100"):
         assert registry.queries()["p7_recursive"](spark, SF).count() > 100
         assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "100"
+
+
+def test_sketches_are_made_by_flag_only(spark):
+    """No sketch is made for each flag and part, as beside an exact distinct count."""
+    plan = registry.queries()["a8_sketches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.split("\n") if "theta_sketch_agg" in line and "Aggregate(" in line]
+    assert made and not any("keys=[l_returnflag#" in line and "l_partkey#" in line.split("functions=")[0] for line in made)
