@@ -361,3 +361,17 @@ def test_sketches_are_made_by_flag_only(spark):
     plan = registry.queries()["a8_sketches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     made = [line for line in plan.split("\n") if "theta_sketch_agg" in line and "Aggregate(" in line]
     assert made and not any("keys=[l_returnflag#" in line and "l_partkey#" in line.split("functions=")[0] for line in made)
+
+
+@pytest.mark.parametrize("name", ["u4_grouped_pandas", "u4_grouped_arrow"])
+def test_grouped_maps_get_a_block_of_keys(spark, name):
+    from lodestone.operators.udfs import KEYS
+    from lodestone.shared import shared_folder
+
+    root = shared_folder(spark)
+    made = [(None if i % 7 == 0 else (i % 5) * KEYS // 2 - KEYS, i, None if i % 4 == 0 else i * 1.25) for i in range(60)] + [(9, 99, None)]
+    spark.createDataFrame(made, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(f"{root}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{root.removeprefix('file://')}/orders.parquet/*.parquet'")
+    assert equal_to_sql(spark, name, root, con)
+    assert "block" in registry.queries()[name](spark, root)._jdf.queryExecution().executedPlan().toString()
