@@ -136,12 +136,14 @@ def cogroup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     events = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    left = keys.join(orders, "k", "left").fillna(0)
+    left = keys.join(orders, "k", "left").fillna(0, "n")
 
-    def both(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [key[0]], "orders": [int(one.n.sum())], "events": [int(two.n.sum())]}) if len(one) else pd.DataFrame({"k": [], "orders": [], "events": []})
+    def both(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        # a null key meets no events
+        found = one.k.map(two.set_index("k").n).where(one.k.notna()).fillna(0).astype("int64")
+        return pd.DataFrame({"k": one.k, "orders": one.n, "events": found})
 
-    return left.groupBy("k").cogroup(events.groupBy("k")).applyInPandas(both, "k bigint, orders bigint, events bigint")
+    return blocks(left, "k").groupBy("block").cogroup(blocks(events, "k").groupBy("block")).applyInPandas(both, "k bigint, orders bigint, events bigint")
 
 
 @query("u5_sql_function", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS side FROM customer")

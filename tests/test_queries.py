@@ -375,3 +375,20 @@ def test_grouped_maps_get_a_block_of_keys(spark, name):
     con.execute(f"create view orders as select * from '{root.removeprefix('file://')}/orders.parquet/*.parquet'")
     assert equal_to_sql(spark, name, root, con)
     assert "block" in registry.queries()[name](spark, root)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cogroup_gets_a_block_of_keys(spark):
+    from lodestone.operators.udfs import KEYS
+    from lodestone.shared import shared_folder
+
+    root, con = shared_folder(spark), duckdb.connect()
+    keys = [None, -3, 0, 1, KEYS - 1, KEYS, 5 * KEYS, 2**60 + 1]
+    for name, schema, made in (
+        ("customer", "c_custkey long", [(k,) for k in keys]),
+        ("orders", "o_custkey long", [(k,) for k in [None, -3, 0, 0, KEYS, 2**60 + 1, 2**60 + 2]]),
+        ("events", "user_id long", [(k,) for k in [None, 0, 1, 1, 7 * KEYS, 2**60 + 1]]),
+    ):
+        spark.createDataFrame(made, schema).write.parquet(f"{root}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{root.removeprefix('file://')}/{name}.parquet/*.parquet'")
+    assert equal_to_sql(spark, "u4_cogroup", root, con)
+    assert "block" in registry.queries()["u4_cogroup"](spark, root)._jdf.queryExecution().executedPlan().toString()
