@@ -392,3 +392,16 @@ def test_cogroup_gets_a_block_of_keys(spark):
         con.execute(f"create view {name} as select * from '{root.removeprefix('file://')}/{name}.parquet/*.parquet'")
     assert equal_to_sql(spark, "u4_cogroup", root, con)
     assert "block" in registry.queries()["u4_cogroup"](spark, root)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_hot_keys_are_aggregated_in_parts(spark, monkeypatch):
+    from lodestone.operators import udfs
+    from lodestone.shared import shared_folder
+
+    root, con = shared_folder(spark), duckdb.connect()
+    monkeypatch.setattr(udfs, "PART", 50)
+    made = spark.range(1_000).selectExpr("id AS event_id", "if(id < 300, 1, if(id < 400, null, id div 20)) AS user_id", "cast((id * 37) % 1000 AS double) AS value")
+    made.write.parquet(f"{root}/events.parquet")
+    con.execute(f"create view events as select * from '{root.removeprefix('file://')}/events.parquet/*.parquet'")
+    assert equal_to_sql(spark, "u2_udaf", root, con)
+    assert "splits" in registry.queries()["u2_udaf"](spark, root)._jdf.queryExecution().executedPlan().toString()
