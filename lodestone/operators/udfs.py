@@ -44,10 +44,12 @@ def udaf(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     # at most one hot key for each PART rows
     hot = events.groupBy(F.col("user_id").alias("hot")).agg(F.ceil(F.count(F.lit(1)) / PART).alias("splits")).where("splits > 1")
-    split = F.coalesce(F.pmod(F.xxhash64("event_id"), F.col("splits")), F.lit(0)).alias("split")
     dealt = events.join(F.broadcast(hot), F.col("user_id").eqNullSafe(F.col("hot")), "left")
-    parts = dealt.groupBy("user_id", split).agg(lowest("value").alias("low"), highest("value").alias("high"))
-    return parts.groupBy("user_id").agg(F.round(spread("low", "high"), 6).alias("spread"))
+    whole = lambda low, high: F.round(spread(low, high), 6).alias("spread")
+    split = F.pmod(F.xxhash64("event_id"), F.col("splits")).alias("split")
+    parts = dealt.where("splits IS NOT NULL").groupBy("user_id", split).agg(lowest("value").alias("low"), highest("value").alias("high"))
+    few = dealt.where("splits IS NULL").groupBy("user_id").agg(whole("value", "value"))
+    return few.union(parts.groupBy("user_id").agg(whole("low", "high")))
 
 
 @query("u2_udaf_window", "SELECT event_id, round(max(value) OVER w - min(value) OVER w, 6) AS spread FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
